@@ -75,9 +75,9 @@ class CanonicalList:
         self.names: dict[str, int] = {}
         self.exact: dict[str, int] = {}
         for entry, names in entries:
+            self.exact.setdefault(names[0], entry)
             for name in names:
                 if name and plain(name):
-                    self.exact.setdefault(name, entry)
                     self.names.setdefault(plain(name), entry)
         self.sets = [(name, name.split(), entry) for name, entry in self.names.items()]
         self.automaton = ahocorasick.Automaton()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escriba.llm import canonical, containers, leakage, lookalikes, proportions, related_splits, residue
+from escriba.llm import canonical, containers, leakage, lookalikes, proportions, related_splits, residue, scans
 from escriba.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,31 @@ def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     return gt.unionByName(hyp)
 
 
+def _scanned(spark: SparkSession, folder: str) -> tuple[DataFrame, scans.Repair]:
+    gt = table(spark, folder, "gt_page").select(F.col("gt_id").alias("rec"), F.col("gt_text").alias("scan"), "page_id")
+    whole = table(spark, folder, "transcripcion").select(F.col("tr_id").alias("rec"), F.col("md").alias("scan"))
+    model = scans.trained(table(spark, folder, "vocab"), table(spark, folder, "gt_page"))
+    return gt.select("rec", "scan").unionByName(whole), model
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that are furniture, or have a word that is broken off or misread."""
+    rows, model = _scanned(spark, folder)
+    return scans.repairs(rows, "rec", "scan", model).select("rec_id", "line_no", "kind").distinct()
+
+
+def p3_repairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every repair: the line, what was read and what is meant."""
+    rows, model = _scanned(spark, folder)
+    return scans.repairs(rows, "rec", "scan", model)
+
+
+def p3_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The repaired texts in paragraphs."""
+    rows, model = _scanned(spark, folder)
+    return scans.repaired(rows, "rec", "scan", model)
+
+
 def _mapped(spark: SparkSession, folder: str) -> DataFrame:
     reference = table(spark, folder, "letra_reference")
     entries = canonical.map_values(table(spark, folder, "document_entry"), "entry_id", "letra", reference)
@@ -153,7 +178,7 @@ SELECT DISTINCT a AS doc_a, b AS doc_b FROM reach WHERE a < b
 
 def queries() -> dict[str, Query]:
     """Queries by name."""
-    named = [p1_found, p1_sample, p1_report, p2_found, p2_classes, p4_found, p4_unmatched, p5_found, p5_splits]
+    named = [p1_found, p1_sample, p1_report, p2_found, p2_classes, p3_found, p3_repairs, p3_text, p4_found, p4_unmatched, p5_found, p5_splits]
     named += [p6_found, p6_containers, p6_report, p7_found, p7_leaks, p8_found, p8_kinds, p8_templates]
     return {fn.__name__: fn for fn in named}
 
