@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from escriba.llm.shared import cut, ensure_checkpoint_dir, is_blank, unit_interval
+from escriba.llm.shared import Tables, cut, unit_interval
 
 #: Random-mate contraction ends after a number of rounds in proportion to the logarithm of the vertices; this only stops a fault.
 MOST_ROUNDS = 200
@@ -60,44 +60,39 @@ def _coin(vertex: Column | str, turn: int, seed: int) -> Column:
     return (F.xxhash64(F.lit(seed), F.lit(turn), vertex) % 2) == 0
 
 
-def components(edges: DataFrame, seed: int = 7, rounds_a_cut: int = 3) -> DataFrame:
+def components(edges: DataFrame, seed: int = 7) -> DataFrame:
     """(vertex, component) of every vertex that has an edge; the component is named by one of its vertices.
 
     Random-mate contraction. The coin of a vertex is a hash of its name and the round, so a lost task draws it again alike.
+    Each round is written to the shared folder before the next, so that no plan grows with the rounds.
     Self-loops and repeated edges are dropped; an empty table gives an empty one.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    left = cut(edges.select("a", "b").where("a <> b").distinct())
+    tables = Tables(edges.sparkSession)
+    left = tables.keep(edges.select("a", "b").where("a <> b").distinct())
     collapsed: list[DataFrame] = []
     turn = 0
     while not left.isEmpty():
         if turn >= MOST_ROUNDS:
             raise RuntimeError("the contraction did not end")
-        for _ in range(rounds_a_cut):
-            both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            mates = (
-                both.where(_coin("a", turn, seed) & ~_coin("b", turn, seed)).groupBy("a").agg(F.min("b").alias("into"))
-            )
-            mates = cut(mates, eager=False)
-            collapsed.append(mates)
-            moved = left
-            for side in ("a", "b"):
-                step = mates.select(F.col("a").alias("from_vertex"), "into")
-                moved = moved.join(step, F.col(side) == F.col("from_vertex"), "left").withColumn(side, F.coalesce("into", side)).select("a", "b")
-            left = moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            turn += 1
-        left = cut(left)
+        both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        mates = tables.keep(both.where(_coin("a", turn, seed) & ~_coin("b", turn, seed)).groupBy("a").agg(F.min("b").alias("into")))
+        collapsed.append(mates)
+        moved = left
+        for side in ("a", "b"):
+            step = mates.select(F.col("a").alias("from_vertex"), "into")
+            moved = moved.join(step, F.col(side) == F.col("from_vertex"), "left").withColumn(side, F.coalesce("into", side)).select("a", "b")
+        left = tables.keep(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        turn += 1
     if not collapsed:
-        return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component")).limit(0)
-    links = cut(reduce(DataFrame.unionByName, [x.select(F.col("a").alias("vertex"), "into") for x in collapsed]))
+        return left.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
+    links = tables.keep(reduce(DataFrame.unionByName, [x.select(F.col("a").alias("vertex"), "into") for x in collapsed]))
     depth = 1
     while depth < turn:  # after k doublings a pointer spans 2^k collapses
         ahead = links.select(F.col("vertex").alias("into"), F.col("into").alias("further"))
-        links = links.join(ahead, "into", "left").select("vertex", F.coalesce("further", "into").alias("into"))
+        links = tables.keep(links.join(ahead, "into", "left").select("vertex", F.coalesce("further", "into").alias("into")))
         depth *= 2
-    links = cut(links)
     roots = links.select(F.col("into").alias("vertex")).distinct().withColumn("into", F.col("vertex"))
-    return links.unionByName(roots).select("vertex", F.col("into").alias("component"))
+    return tables.last(links.unionByName(roots).select("vertex", F.col("into").alias("component")))
 
 
 def related_classes(rows: DataFrame, doc: str = "doc_id", page: str = "page_id", seed: int = 7) -> DataFrame:
@@ -109,7 +104,7 @@ def related_classes(rows: DataFrame, doc: str = "doc_id", page: str = "page_id",
 
 def related_pairs(rows: DataFrame, doc: str = "doc_id", page: str = "page_id", seed: int = 7) -> DataFrame:
     """Pairs (doc_a, doc_b), doc_a < doc_b in code point order, that must not be separated."""
-    found = cut(components(related_edges(rows, doc, page), seed))
+    found = components(related_edges(rows, doc, page), seed)
     a = found.select("component", F.col("vertex").alias("doc_a"))
     b = found.select("component", F.col("vertex").alias("doc_b"))
     return a.join(b, "component").where("doc_a < doc_b").select("doc_a", "doc_b")
