@@ -5,30 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from escriba.functions.align import edit_distance, word_edit_distance
 from escriba.functions.text import NOT_SPACE, SPACE, TIERS
 
-#: First code point that words are mapped to for the word error rate, and how many words of a pair that leaves room for.
-WORD_BASE, WORD_ROOM = 0x4E00, 20_000
-
-
 def _ratio(part: Column, whole: Column) -> Column:
     return part.cast("double") / whole.cast("double")
 
 
 def cer(ref: Column, hyp: Column) -> Column:
     """M1: edit distance over the reference's length, unbounded; an empty reference gives 1 against any text, else 0."""
-    return F.when(F.length(ref) == 0, F.when(F.length(hyp) > 0, 1.0).otherwise(0.0)).otherwise(_ratio(F.levenshtein(ref, hyp), F.length(ref)))
+    return F.when(F.length(ref) == 0, F.when(F.length(hyp) > 0, 1.0).otherwise(0.0)).otherwise(_ratio(edit_distance(ref, hyp), F.length(ref)))
 
 
 def cer_or_zero(ref: Column, hyp: Column) -> Column:
     """The same, but 0 for an empty reference."""
-    return F.when(F.length(ref) == 0, 0.0).otherwise(_ratio(F.levenshtein(ref, hyp), F.length(ref)))
+    return F.when(F.length(ref) == 0, 0.0).otherwise(_ratio(edit_distance(ref, hyp), F.length(ref)))
 
 
 def nls(ref: Column, hyp: Column) -> Column:
     """M3: 1 less the edit distance over the longer length; 1 for two empty texts."""
     longest = F.greatest(F.length(ref), F.length(hyp))
-    return F.when(longest == 0, 1.0).otherwise(F.lit(1.0) - _ratio(F.levenshtein(ref, hyp), longest))
+    return F.when(longest == 0, 1.0).otherwise(F.lit(1.0) - _ratio(edit_distance(ref, hyp), longest))
 
 
 def words(text: Column) -> Column:
@@ -36,23 +33,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
-def _as_characters(own: Column, known: Column) -> Column:
-    """One character per word, so that the edit distance of words is one of characters."""
-    codes = F.transform(own, lambda w: F.lpad(F.hex(F.array_position(known, w) + F.lit(WORD_BASE - 1)), 4, "0"))
-    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
-
-
-def word_distance(ref: Column, hyp: Column) -> Column:
-    """Edit distance in words. Null for a pair of more than WORD_ROOM different words, which no page has."""
-    a, b = words(ref), words(hyp)
-    known = F.array_distinct(F.concat(a, b))
-    return F.when(F.size(known) <= WORD_ROOM, F.levenshtein(_as_characters(a, known), _as_characters(b, known)))
-
-
 def wer(ref: Column, hyp: Column) -> Column:
     """M4: edit distance in words over the words of the reference; a blank reference gives 1 against any word, else 0."""
     blank = ~ref.rlike(NOT_SPACE)
-    return F.when(blank, F.when(hyp.rlike(NOT_SPACE), 1.0).otherwise(0.0)).otherwise(_ratio(word_distance(ref, hyp), F.size(words(ref))))
+    return F.when(blank, F.when(hyp.rlike(NOT_SPACE), 1.0).otherwise(0.0)).otherwise(_ratio(word_edit_distance(ref, hyp), F.size(words(ref))))
 
 
 def line_errors(ref: Column, hyp: Column) -> tuple[Column, Column]:
@@ -104,7 +88,7 @@ def tier_error_rates(ref: Column, hyp: Column) -> dict[str, Column]:
     for name, tier in TIERS.items():
         a, b = tier(ref), tier(hyp)
         empty = F.when(F.length(TIERS["T1_raw"](hyp)) > 0, 1.0).otherwise(0.0)
-        out[name] = F.when(first == 0, empty).otherwise(_ratio(F.levenshtein(a, b), first))
+        out[name] = F.when(first == 0, empty).otherwise(_ratio(edit_distance(a, b), first))
     return out
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
 import unicodedata
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,22 +81,25 @@ def insertion_class(text: Column) -> Column:
 def spans(pairs: DataFrame, keys: list[str], words: bool = False) -> DataFrame:
     """One row per operation: (keys, place, tag, ref_span, hyp_span, size). Texts are normalized for error analysis first.
 
-    Of words, spans are joined by single spaces and sizes count words.
+    Of words, spans are joined by single spaces and sizes count words. What agrees has a size but no text, which no one asks for.
     """
-    rows = pairs.select(*keys, for_error_analysis(F.col("ref")).alias("ref"), for_error_analysis(F.col("hyp")).alias("hyp"))
-    ops = align.word_operations(F.col("ref"), F.col("hyp")) if words else align.character_operations(F.col("ref"), F.col("hyp"))
-    rows = rows.withColumn("ops", ops)
-    if words:
-        rows = rows.withColumn("r", F.split("ref", " ")).withColumn("h", F.split("hyp", " "))
-    o = rows.select(*keys, *(["r", "h"] if words else ["ref", "hyp"]), F.posexplode("ops").alias("place", "op"))
-    ref_size, hyp_size = F.col("op.ref_end") - F.col("op.ref_start"), F.col("op.hyp_end") - F.col("op.hyp_start")
-    if words:
-        ref_span = F.array_join(F.slice("r", F.col("op.ref_start") + 1, ref_size), " ")
-        hyp_span = F.array_join(F.slice("h", F.col("op.hyp_start") + 1, hyp_size), " ")
-    else:
-        ref_span = F.substring(F.col("ref"), F.col("op.ref_start") + 1, ref_size)
-        hyp_span = F.substring(F.col("hyp"), F.col("op.hyp_start") + 1, hyp_size)
-    return o.select(*keys, "place", "op.tag", ref_span.alias("ref_span"), hyp_span.alias("hyp_span"), F.greatest(ref_size, hyp_size).alias("size"))
+    kinds = dict(pairs.dtypes)
+    names = [*keys, "place", "tag", "ref_span", "hyp_span", "size"]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        glue = " " if words else ""
+        for batch in batches:
+            out = []
+            rows = zip(batch["ref"], batch["hyp"], *[batch[k] for k in keys], strict=True)
+            for ref, hyp, *own in rows:
+                a, b = (ref.split(), hyp.split()) if words else (ref, hyp)
+                for place, (tag, i, j, k, m) in enumerate(align.operations(a, b)):
+                    equal = tag == "equal"
+                    out.append((*own, place, tag, "" if equal else glue.join(a[i:j]), "" if equal else glue.join(b[k:m]), max(j - i, m - k)))
+            yield pd.DataFrame(out, columns=names)
+
+    rows = pairs.where("ref IS NOT NULL AND hyp IS NOT NULL").select(*keys, for_error_analysis(F.col("ref")).alias("ref"), for_error_analysis(F.col("hyp")).alias("hyp"))
+    return rows.mapInPandas(work, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", place int, tag string, ref_span string, hyp_span string, size int")
 
 
 def confusions(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -104,11 +110,13 @@ def confusions(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def error_classes(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, class, n): substitutions by character, deletions and insertions by span."""
-    subs = confusions(rows, by).groupBy(*by, "class").agg(F.sum("n").alias("n"))
-    dels = rows.where("tag = 'delete'").groupBy(*by, deletion_class(F.col("ref_span")).alias("class")).agg(F.count("*").alias("n"))
-    ins = rows.where("tag = 'insert'").groupBy(*by, insertion_class(F.col("hyp_span")).alias("class")).agg(F.count("*").alias("n"))
-    return subs.unionByName(dels).unionByName(ins)
+    """(by, class, n): substitutions by character, deletions and insertions by span; equal ones are counted before they are classed."""
+    chars = F.arrays_zip(F.split("ref_span", "").alias("r"), F.split("hyp_span", "").alias("h"))
+    parts = F.when(F.col("tag") == "replace", chars).otherwise(F.array(F.struct(F.col("ref_span").alias("r"), F.col("hyp_span").alias("h"))))
+    pairs = rows.where("tag <> 'equal'").select(*by, "tag", F.explode(parts).alias("p")).where("tag <> 'replace' OR (p.r <> '' AND p.h <> '')")
+    counted = pairs.groupBy(*by, "tag", "p.r", "p.h").agg(F.count("*").alias("n"))
+    kind = F.when(F.col("tag") == "replace", substitution_class(F.col("r"), F.col("h"))).when(F.col("tag") == "delete", deletion_class(F.col("r"))).otherwise(insertion_class(F.col("h")))
+    return counted.groupBy(*by, kind.alias("class")).agg(F.sum("n").alias("n"))
 
 
 def garbled_runs(rows: DataFrame, keys: list[str], least: int = GARBLED) -> DataFrame:
@@ -145,11 +153,6 @@ def persistent_confusions(confused: DataFrame, version: str = "model", top: int
 
 def line_diff(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Per text the lines kept, replaced, left out and put in, as runs of lines of both sides."""
-    import difflib
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from escriba.functions import align, metrics
 from escriba.functions.text import TIERS, evaluation_text, strip
-from escriba.operators.pairs import by_page, distinct_texts, page_dimension
+from escriba.operators.pairs import busy, by_page, page_dimension, with_values
 
 # Editions that a subset has, and pages that are never compared.
 EDITIONS = {"codea": ("paleographic", "critical"), "toledo": ("editorial",)}
@@ -29,40 +29,54 @@ def exclude_pages(rows: DataFrame, excluded: DataFrame | None = None, pages: tup
     return rows.where(~F.col("page_id").isin(*pages)) if pages else rows
 
 
+def texts_to_compare(gt: DataFrame, hypotheses: DataFrame, mode: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Both sides of J1: (subset, edition, page_id, ref) and (model, page_id, hyp), each text normalized once, repeated rows as one."""
+    refs = with_values(busy(valid_editions(gt)), "subset", "edition", "page_id", "gt_text")
+    hyps = with_values(busy(hypotheses), "model", "page_id", "hyp_text")
+    refs = refs.select("subset", "edition", "page_id", evaluation_text(strip(F.col("gt_text")), mode).alias("ref")).distinct()
+    return refs, hyps.select("model", "page_id", evaluation_text(strip(F.col("hyp_text")), mode).alias("hyp")).distinct()
+
+
 def compared(gt: DataFrame, hypotheses: DataFrame, mode: str = "content") -> DataFrame:
     """Every (subset, edition, page_id, model, ref, hyp), texts normalized for the mode.
 
     Normalizing goes before the join, once per text; repeated runs and editions count once. Rows without a text or page are left out.
     """
-    refs = distinct_texts(valid_editions(gt), "subset", "edition", "page_id", "gt_text")
-    hyps = distinct_texts(hypotheses, "model", "page_id", "hyp_text")
-    refs = refs.select("subset", "edition", "page_id", evaluation_text(strip(F.col("gt_text")), mode).alias("ref")).distinct()
-    hyps = hyps.select("model", "page_id", evaluation_text(strip(F.col("hyp_text")), mode).alias("hyp")).distinct()
-    return by_page(refs, hyps)
+    return by_page(*texts_to_compare(gt, hypotheses, mode))
 
 
 KEYS = ["subset", "edition", "page_id", "model"]
 
 
 def core_metrics(pairs: DataFrame) -> DataFrame:
-    """M1, M3, M4, M5 and the lengths of each pair; everything stays in the JVM."""
+    """M1, M3, M4, M5 and the lengths of each pair; everything stays in the JVM, and each distance is computed once."""
     ref, hyp = F.col("ref"), F.col("hyp")
-    return pairs.select(
+    rows = pairs.withColumn("distance", align.edit_distance(ref, hyp)).withColumn("gt_chars", F.length(ref)).withColumn("hyp_chars", F.length(hyp))
+    longest = F.greatest("gt_chars", "hyp_chars")
+    empty = F.when(F.col("hyp_chars") > 0, 1.0).otherwise(0.0)
+    return rows.select(
         *KEYS,
-        metrics.cer(ref, hyp).alias("cer"),
-        metrics.nls(ref, hyp).alias("nls"),
+        F.when(F.col("gt_chars") == 0, empty).otherwise(F.col("distance") / F.col("gt_chars")).alias("cer"),
+        F.when(longest == 0, 1.0).otherwise(F.lit(1.0) - F.col("distance") / longest).alias("nls"),
         metrics.wer(ref, hyp).alias("wer"),
         metrics.ser(ref, hyp).alias("ser"),
-        F.levenshtein(ref, hyp).alias("distance"),
-        F.length(ref).alias("gt_chars"),
-        F.length(hyp).alias("hyp_chars"),
+        "distance",
+        "gt_chars",
+        "hyp_chars",
     )
 
 
-def tier_metrics(pairs: DataFrame) -> DataFrame:
-    """M8 of each pair."""
-    rates = metrics.tier_error_rates(F.col("ref"), F.col("hyp"))
-    return pairs.select(*KEYS, *[rate.alias(name) for name, rate in rates.items()])
+def tier_metrics(gt: DataFrame, hypotheses: DataFrame, mode: str = "content") -> DataFrame:
+    """M8 of each pair. The tiers of a text are made once, before it meets the texts it is compared with."""
+    refs, hyps = texts_to_compare(gt, hypotheses, mode)
+    for name, tier in TIERS.items():
+        refs = refs.withColumn(f"ref_{name}", tier(F.col("ref")))
+        hyps = hyps.withColumn(f"hyp_{name}", tier(F.col("hyp")))
+    pairs = by_page(refs.drop("ref"), hyps.drop("hyp"))
+    first = F.length("ref_T1_raw")
+    empty = F.when(F.length("hyp_T1_raw") > 0, 1.0).otherwise(0.0)
+    rates = [F.when(first == 0, empty).otherwise(align.edit_distance(F.col(f"ref_{n}"), F.col(f"hyp_{n}")) / first).alias(n) for n in TIERS]
+    return pairs.select(*KEYS, *rates)
 
 
 def tier_lengths(pairs: DataFrame) -> DataFrame:

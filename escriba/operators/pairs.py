@@ -11,12 +11,17 @@ HOT_SHARE = 0.005
 MOST_SALTS = 256
 
 
-def distinct_texts(rows: DataFrame, *columns: str) -> DataFrame:
-    """The given columns without repeated rows; rows with a null among them are left out."""
+def with_values(rows: DataFrame, *columns: str) -> DataFrame:
+    """The given columns of the rows that have none of them null."""
     rows = rows.select(*columns)
     for column in columns:
         rows = rows.where(F.col(column).isNotNull())
-    return rows.distinct()
+    return rows
+
+
+def distinct_texts(rows: DataFrame, *columns: str) -> DataFrame:
+    """The same without repeated rows."""
+    return with_values(rows, *columns).distinct()
 
 
 def by_page(left: DataFrame, right: DataFrame, key: str = "page_id") -> DataFrame:
@@ -32,9 +37,19 @@ def by_page(left: DataFrame, right: DataFrame, key: str = "page_id") -> DataFram
         .select(key, F.least(F.lit(MOST_SALTS), F.ceil(F.col("n") / (F.col("total") * HOT_SHARE))).cast("int").alias("parts"))
     )
     hot = F.broadcast(hot)  # at most 1 / HOT_SHARE rows
-    spread = right.join(hot, key, "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.floor(F.rand(7) * F.col("parts")).cast("int")).otherwise(0)).drop("parts")
+    others = [c for c in right.columns if c != key]
+    place = F.pmod(F.xxhash64(*others), F.col("parts")).cast("int")
+    spread = right.join(hot, key, "left").withColumn("part", F.coalesce(place, F.lit(0))).drop("parts")
     repeated = left.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return repeated.join(spread, [key, "part"]).drop("part")
+    # what is done with a pair costs far more than its bytes suggest, so the number of tasks isn't left to their size
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return repeated.repartition(tasks, key, "part").hint("merge").join(spread.repartition(tasks, key, "part"), [key, "part"]).drop("part")
+
+
+def busy(rows: DataFrame) -> DataFrame:
+    """Rows in as many partitions as the cluster has cores, if a small input has fewer; a large one is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def page_dimension(manifest: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escriba.functions import editions, metrics, text
+from escriba.functions import align, editions, metrics, text
 from escriba.operators import corpus, errors, evaluation, layout, matching, pairs, quality, sampling, stats, vocabulary
 from escriba.plans import sql
 from escriba.plans.registry import query
@@ -26,7 +26,7 @@ def _letters(column: str):
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """Distances and lengths over letters alone, which SQL can check."""
     rows = _compared(spark, d).select(*KEYS, _letters("ref").alias("ref"), _letters("hyp").alias("hyp"))
-    return rows.select(*KEYS, F.levenshtein("ref", "hyp").alias("distance"), F.length("ref").alias("gt_chars"), F.length("hyp").alias("hyp_chars"))
+    return rows.select(*KEYS, align.edit_distance(F.col("ref"), F.col("hyp")).alias("distance"), F.length("ref").alias("gt_chars"), F.length("hyp").alias("hyp_chars"))
 
 
 def _rates(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,7 @@ _ALIASES = (
     + " AS text FROM hypothesis",
 )
 def n6_model_output(spark, d):
-    return table(spark, d, "hypothesis").select("hyp_id", text.normalize_model_output(F.col("hyp_text"), F.col("model")).alias("text"))
+    return pairs.busy(table(spark, d, "hypothesis")).select("hyp_id", text.normalize_model_output(F.col("hyp_text"), F.col("model")).alias("text"))
 
 
 @query(
@@ -98,7 +98,7 @@ def n6_model_output(spark, d):
 )
 def n7a_markers(spark, d):
     t = F.col("gt_text")
-    return table(spark, d, "gt_page").select("gt_id", text.strip_markers(t, "content").alias("content"), text.strip_markers(t, "lenient").alias("lenient"))
+    return pairs.busy(table(spark, d, "gt_page")).select("gt_id", text.strip_markers(t, "content").alias("content"), text.strip_markers(t, "lenient").alias("lenient"))
 
 
 def _keep_text_sql(t: str) -> str:
@@ -192,7 +192,7 @@ def m1_m5_core(spark, d):
 
 @query("m8_tiers")
 def m8_tiers(spark, d):
-    return evaluation.tier_metrics(_compared(spark, d))
+    return evaluation.tier_metrics(table(spark, d, "gt_page"), table(spark, d, "hypothesis"))
 
 
 @query(
@@ -285,7 +285,7 @@ def a1_model_summary(spark, d):
 
 @query("a2_tier_means")
 def a2_tier_means(spark, d):
-    rows = evaluation.tier_metrics(_compared(spark, d))
+    rows = evaluation.tier_metrics(table(spark, d, "gt_page"), table(spark, d, "hypothesis"))
     return rows.groupBy("model").agg(*[F.avg(t).alias(t) for t in text.TIERS])
 
 
@@ -607,14 +607,18 @@ def j6_unknown_words(spark, d):
     return vocabulary.unknown_words(_found(spark, d), _vocab(spark, d)).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("gt_id").alias("texts"))
 
 
-_VARIED = " OR ".join(("substr(word, 1, 2) = substr(form, 1, 2)", "substr(word, 2, 1) || substr(word, 1, 1) = substr(form, 1, 2)", "(length(form) >= 2 AND substr(word, 2, 1) = substr(form, 2, 1))", "substr(word, 1, 1) = substr(form, 1, 1) AND length(form) >= 2"))
+_VARIED = " OR ".join((
+    "substr(word, 1, 2) = substr(form, 1, 2)",
+    "substr(word, 2, 1) || substr(word, 1, 1) = substr(form, 1, 2)",
+    f"(length(form) >= 2 AND substr(word, 2, 1) = substr(form, 2, 1) AND strpos('{vocabulary.ALPHABET}', substr(form, 1, 1)) > 0)",
+    f"(length(form) >= 2 AND substr(word, 1, 1) = substr(form, 1, 1) AND strpos('{vocabulary.ALPHABET}', substr(form, 2, 1)) > 0)",
+))
 
 
 @query(
     "v3_candidates",
     f"""WITH {_UNKNOWN}, asked AS (SELECT DISTINCT word FROM unknown), near AS (
-  SELECT word, form AS candidate, levenshtein({sql.narrow("word")}, {sql.narrow("form")}) AS distance FROM asked JOIN forms ON abs(length(word) - length(form)) <= 3 AND ({_VARIED})
-  WHERE regexp_matches(form, '^[a-záéíóúñçü]+$') OR substr(word, 1, 2) = substr(form, 1, 2))
+  SELECT word, form AS candidate, levenshtein({sql.narrow("word")}, {sql.narrow("form")}) AS distance FROM asked JOIN forms ON abs(length(word) - length(form)) <= 3 AND ({_VARIED}))
 SELECT word, candidate, CAST(distance AS INT) AS distance, CAST(row_number() OVER (PARTITION BY word ORDER BY distance, candidate) AS INT) AS rank FROM near WHERE distance <= 3 QUALIFY rank <= 3""",
 )
 def v3_candidates(spark, d):

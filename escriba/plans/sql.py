@@ -54,8 +54,8 @@ def t4(text: str) -> str:
 
 
 #: Letters beyond ASCII that letters-only texts have, and control characters that stand for them, so that bytes count as letters do.
-WIDE = "áéíóúñçü"
-NARROW = "||".join(f"chr({i})" for i in range(1, 9))
+WIDE = "áéíóúñçüãõàèòïêôâ·ìùû"
+NARROW = "||".join(f"chr({i})" for i in [*range(1, 9), *range(14, 27)])
 
 
 def letters(text: str) -> str:
