@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from escriba.llm.lookalikes import NOT_PLAIN, Skeletons
+from escriba.operators.pairs import busy
 
 #: Words of a window, and words from one window of a passage to the next: any run of WINDOW + STRIDE - 1 words of a passage holds one.
 WINDOW, STRIDE = 13, 3
@@ -330,4 +331,4 @@ def leaked_passages(documents: DataFrame, passages: DataFrame, key: str = "doc_i
 
     kind = dict(documents.dtypes)[key]
     with_text = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, text)
-    return with_text.mapInPandas(search, f"item_id bigint, {key} {kind}, words int, similarity double")
+    return busy(with_text).mapInPandas(search, f"item_id bigint, {key} {kind}, words int, similarity double")

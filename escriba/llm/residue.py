@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escriba.llm.lookalikes import NOT_PLAIN, Skeletons
+from escriba.operators.pairs import busy
 
 #: Tokens that lead from the root of the prefix tree to a leaf, after the number of tokens.
 TREE_DEPTH = 3
@@ -310,7 +311,7 @@ def mined_segments(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     rows = documents.where(F.col(text).isNotNull() & _may_hold(F.col(text))).select(key, text)
     kind = dict(rows.dtypes)[key]
-    return rows.mapInPandas(mine, f"{key} {kind}, leaf string, local string")
+    return busy(rows).mapInPandas(mine, f"{key} {kind}, leaf string, local string")
 
 
 def message_templates(mined: DataFrame, similarity: float = DEFAULT_SIMILARITY) -> DataFrame:
