@@ -60,8 +60,8 @@ def text_files(spark: SparkSession, path: str, pattern: str, names: list[str]) -
 
 def model_texts(spark: SparkSession, root: str, stage: str = "normalized") -> DataFrame:
     """(model, page_id, text) of all models under a folder; names with a leading underscore are skipped."""
-    rows = text_files(spark, root, rf".*?/((?:[^/_][^/]*/)?[^/_][^/]*)/{stage}/([^/]+?)(?:_raw)?\.txt$", ["model", "page_id"])
-    return rows.where(~F.col("model").rlike("(^|/)_"))
+    base = re.escape(root.rstrip("/").rsplit("/", 1)[-1])
+    return text_files(spark, root, rf".*/{base}/((?:[^/_][^/]*/)?[^/_][^/]*)/{stage}/([^/]+?)(?:_raw)?\.txt$", ["model", "page_id"])
 
 
 def ground_truth_texts(spark: SparkSession, root: str) -> DataFrame:
