@@ -69,7 +69,7 @@ def with_transcriptions(images: DataFrame, transcribe: Callable[[bytes], str], c
                 except Exception as error:  # whatever the model raises
                     texts.append(None)
                     errors.append(str(error))
-            yield pd.DataFrame({"path": batch["path"], "text": texts, "error": errors})
+            yield pd.DataFrame({"path": list(batch["path"]), "text": texts, "error": errors})
 
     return images.select("path", content).mapInPandas(work, "path string, text string, error string")
 

@@ -171,7 +171,7 @@ def f6_paths(spark, d):
     return quality.paths(table(spark, d, "manifest")).select("man_id", "page_key", "image")
 
 
-@query("p4_page_parts", r"SELECT man_id, regexp_extract(page_id, '(?s)^(.*)_([^_]*)$', 1) AS doc, regexp_extract(page_id, '(?s)^(.*)_([^_]*)$', 2) AS page FROM manifest")
+@query("sample_p4_page_parts", r"SELECT man_id, regexp_extract(page_id, '(?s)^(.*)_([^_]*)$', 1) AS doc, regexp_extract(page_id, '(?s)^(.*)_([^_]*)$', 2) AS page FROM manifest")
 def page_parts(spark, d):
     doc, page = sampling.split_id(F.col("page_id"))
     return table(spark, d, "manifest").select("man_id", doc.alias("doc"), page.alias("page"))
@@ -839,19 +839,19 @@ def k3_markdown(spark, d):
 # --- samples and splits ----------------------------------------------------------------------------------------
 
 
-@query("p1_stratified_documents")
+@query("sample_p1_documents")
 def stratified_documents(spark, d):
     return sampling.stratified_documents(table(spark, d, "document_entry"))
 
 
-@query("p1_diversity")
+@query("sample_p1_diversity")
 def diversity(spark, d):
     entries = table(spark, d, "document_entry")
     return sampling.diversity(entries, sampling.stratified_documents(entries)).select("doc_id", "score")
 
 
 @query(
-    "p3_train_split",
+    "sample_p3_train_split",
     """WITH s AS (SELECT doc_id, count(*) AS pages FROM manifest WHERE doc_id IS NOT NULL GROUP BY doc_id), t AS (SELECT CAST(floor(sum(pages) * 0.2) AS BIGINT) AS target FROM s),
 r AS (SELECT doc_id, pages, coalesce(sum(pages) OVER (ORDER BY pages, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY pages, doc_id) AS k FROM s),
 o AS (SELECT r.*, before + pages > target + pages // 2 AS over FROM r, t), e AS (SELECT *, bool_or(over) OVER (ORDER BY k) AS ended FROM o)
