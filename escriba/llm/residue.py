@@ -305,7 +305,8 @@ def mined_segments(documents: DataFrame, key: str = "doc_id", text: str = "text"
                     keys.append(k)
                     found.append(tree.add(segment.split()))
             templates = [" ".join(t) for t in found]  # after the whole batch, so that all of it has the same form
-            yield pd.DataFrame({key: keys, "leaf": [tree.leaf(t.split()) for t in templates], "local": templates}, columns=[key, "leaf", "local"])
+            rows = [(k, tree.leaf(t.split()), t) for k, t in zip(keys, templates, strict=True)]
+            yield pd.DataFrame(rows, columns=[key, "leaf", "local"])  # of rows, as empty lists by column would come out as numbers
             if tree.size > TREE_LIMIT:
                 tree = PrefixTree(similarity)
 
@@ -321,13 +322,12 @@ def message_templates(mined: DataFrame, similarity: float = DEFAULT_SIMILARITY)
     """
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n", "local"], ascending=[False, True])
+        rows = sorted(zip((int(n) for n in group["n"]), group["local"], strict=True), key=lambda r: (-r[0], r[1]))
         tree = PrefixTree(similarity, depth=0)
-        merged = [tree.add(local.split()) for local in group["local"]]
-        group["template"] = [" ".join(t) for t in merged]
-        kinds = {t: classify(t) for t in set(group["template"])}
-        group["kind"] = [kinds[t] for t in group["template"]]
-        return group[["local", "template", "kind", "n"]]
+        merged = [tree.add(local.split()) for _, local in rows]
+        templates = [" ".join(t) for t in merged]
+        kinds = {t: classify(t) for t in set(templates)}
+        return pd.DataFrame({"local": [r[1] for r in rows], "template": templates, "kind": [kinds[t] for t in templates], "n": [r[0] for r in rows]})
 
     counted = mined.groupBy("leaf", "local").agg(F.count("*").alias("n"))
     return counted.groupBy("leaf").applyInPandas(merge, "local string, template string, kind string, n bigint")
