@@ -41,7 +41,7 @@ LEAST_WINDOW = 0.6
 #: Words of all passages; a set beyond it is refused, as it would have to be shipped to every task.
 PASSAGE_LIMIT = 5_000_000
 #: Words whose windows are handled at once.
-CHUNK = 20_000
+CHUNK = 4_000
 
 _ODD, _LOOKS = re.compile(NOT_PLAIN.replace(r"\z", r"\Z")), Skeletons()
 _MARKS = re.compile(r"\[[^\[\]]{0,80}\]|\{[^{}]{0,40}\}|<[^<>]{0,40}>")
@@ -101,6 +101,7 @@ class Passages:
     def __init__(self, rows: list[tuple[int, str]], window: int = WINDOW, stride: int = STRIDE, radius: int = RADIUS) -> None:
         self.window, self.radius = window, radius
         self.words: dict[int, list[str]] = {}
+        self._matches: dict[int, ItemWords] = {}
         owner: list[int] = []
         start: list[int] = []
         prints: list[np.ndarray] = []
@@ -143,6 +144,12 @@ class Passages:
         self.window_weights = weights[self.window_ids]
         self.window_weights /= np.maximum(self.window_weights.sum(axis=1, keepdims=True), 1e-9)
 
+    def matches(self, item: int) -> ItemWords:
+        """The passage as the alignment wants it."""
+        if item not in self._matches:
+            self._matches[item] = ItemWords(self.words[item])
+        return self._matches[item]
+
     def _sums(self, words: list[str]) -> np.ndarray:
         known = {w: i for i, w in enumerate(dict.fromkeys(words))}
         rows = _vectors(list(known))[[known[w] for w in words]]
@@ -168,24 +175,29 @@ class Passages:
         """(window, passage window) of every pair within the radius."""
         packed = _pack(sums)
         wide, blocks = packed.view(np.uint64).reshape(-1, 2), packed.view(np.uint16).reshape(-1, BLOCKS)
+        left, right = np.ascontiguousarray(wide[:, 0]), np.ascontiguousarray(wide[:, 1])
+        own_left, own_right = np.ascontiguousarray(self.prints[:, 0]), np.ascontiguousarray(self.prints[:, 1])
         found_a, found_b = [], []
         for b, (bounds, ids) in enumerate(self.tables):
             low = bounds[blocks[:, b]]
             count = bounds[blocks[:, b].astype(np.int64) + 1] - low
-            if not count.sum():
+            total = int(count.sum())
+            if not total:
                 continue
-            at = np.repeat(np.arange(len(count)), count)
-            offset = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-            other = ids[low[at] + offset]
-            apart = np.bitwise_count(wide[at, 0] ^ self.prints[other, 0]).astype(np.int16)
-            apart += np.bitwise_count(wide[at, 1] ^ self.prints[other, 1])
+            at = np.repeat(np.arange(len(count), dtype=np.int32), count)
+            first = np.repeat((low - (np.cumsum(count) - count)).astype(np.int32), count)
+            other = ids[first + np.arange(total, dtype=np.int32)]
+            apart = np.bitwise_count(left[at] ^ own_left[other])
+            some = np.flatnonzero(apart <= self.radius)  # one half tells nearly all pairs apart
+            at, other, apart = at[some], other[some], apart[some].astype(np.int16)
+            apart += np.bitwise_count(right[at] ^ own_right[other])
             hit = apart <= self.radius
             found_a.append(at[hit])
             found_b.append(other[hit])
         if not found_a:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)], axis=1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+        pairs = np.unique(np.concatenate(found_a).astype(np.int64) << 32 | np.concatenate(found_b))
+        return pairs >> 32, pairs & 0xFFFFFFFF
 
     def share(self, ids: np.ndarray, other: np.ndarray) -> np.ndarray:
         """Of each passage window, the share of its words' weight that the window with these word ids holds."""
@@ -253,47 +265,76 @@ def _alike(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
-def align(text: list[str], item: list[str], reward: float = 1.0, penalty: float = 1.5) -> tuple[int, int, int, int, int]:
+def _shortened(word: str) -> list[str]:
+    """The word, and with each of its letters left out; words that differ in one letter share one of these."""
+    return [word, *(word[:k] + word[k + 1 :] for k in range(len(word)))] if len(word) >= 4 else [word]
+
+
+class ItemWords:
+    """Places in a passage of the words that agree with a given one."""
+
+    def __init__(self, item: list[str]) -> None:
+        self.item = item
+        self.places: dict[str, list[int]] = defaultdict(list)
+        for j, word in enumerate(item):
+            for form in set(_shortened(word)):
+                self.places[form].append(j)
+        self.known: dict[str, frozenset[int]] = {}
+
+    def of(self, word: str) -> frozenset[int]:
+        found = self.known.get(word)
+        if found is None:
+            near = {j for form in _shortened(word) for j in self.places.get(form, ())}
+            found = self.known[word] = frozenset(j for j in near if _alike(word, self.item[j]))
+        return found
+
+
+def align(text: list[str], item: ItemWords, reward: float = 1.0, penalty: float = 1.5) -> tuple[int, int, int, int, int]:
     """Best local alignment (text start, text end, item start, item end, words that agree)."""
-    width = len(item)
+    width = len(item.item)
     score = [0.0] * (width + 1)
     origin: list[tuple[int, int, int]] = [(0, j, 0) for j in range(width + 1)]
     best = (0.0, 0, 0, 0, 0, 0)
     for i, word in enumerate(text, 1):
+        agree = item.of(word)
         last, last_origin = score[0], origin[0]
         score[0], origin[0] = 0.0, (i, 0, 0)
+        beside = 0.0
         for j in range(1, width + 1):
-            same = _alike(word, item[j - 1])
-            diagonal = last + (reward if same else -penalty)
-            value, source = diagonal, (last_origin[0], last_origin[1], last_origin[2] + same)
-            if score[j] - penalty > value:
-                value, source = score[j] - penalty, origin[j]
-            if score[j - 1] - penalty > value:
-                value, source = score[j - 1] - penalty, origin[j - 1]
+            above = score[j]
+            if j - 1 in agree:
+                value, source = last + reward, (last_origin[0], last_origin[1], last_origin[2] + 1)
+            else:
+                value, source = last - penalty, last_origin
+            if above - penalty > value:
+                value, source = above - penalty, origin[j]
+            if beside - penalty > value:
+                value, source = beside - penalty, origin[j - 1]
             if value <= 0:
                 value, source = 0.0, (i, j, 0)
-            last, last_origin = score[j], origin[j]
+            last, last_origin = above, origin[j]
             score[j], origin[j] = value, source
+            beside = value
             if value > best[0]:
                 best = (value, source[0], i, source[1], j, source[2])
     return best[1:]
 
 
-def verify(text: list[str], item: list[str], places: list[tuple[int, int]], passages: Passages, slack: int = 25) -> tuple[int, float] | None:
+def verify(text: list[str], item: ItemWords, places: list[tuple[int, int]], passages: Passages, slack: int = 25) -> tuple[int, float] | None:
     """(words of the item in the piece, similarity) if the text holds the item, or enough of it in one piece."""
     best: tuple[int, float] | None = None
     done: list[tuple[int, int]] = []
     for at, start in sorted(places):
-        low, high = max(0, at - start - slack), min(len(text), at - start + len(item) + slack)
+        low, high = max(0, at - start - slack), min(len(text), at - start + len(item.item) + slack)
         if any(a <= at and at + WINDOW <= b for a, b in done):
             continue
         done.append((low, high))
         a, b, c, d, agree = align(text[low:high], item)
         span = d - c
-        needed = min(LEAST_WORDS, len(item))
+        needed = min(LEAST_WORDS, len(item.item))
         if span < needed or agree < LEAST_AGREEMENT * max(span, b - a):
             continue
-        close = passages.similarity(text[low + a : low + b], item[c:d])
+        close = passages.similarity(text[low + a : low + b], item.item[c:d])
         if close >= LEAST_SIMILARITY and (best is None or span > best[0]):
             best = (span, close)
     return best
@@ -324,7 +365,7 @@ def leaked_passages(documents: DataFrame, passages: DataFrame, key: str = "doc_i
             texts = [words_of(t) for t in batch[text]]
             out = []
             for (i, item), places in index.candidates(texts).items():
-                held = verify(texts[i], index.words[item], places, index)
+                held = verify(texts[i], index.matches(item), places, index)
                 if held:
                     out.append((item, keys[i], held[0], held[1]))
             yield pd.DataFrame(out, columns=["item_id", key, "words", "similarity"])

@@ -317,7 +317,7 @@ def test_a_text_longer_than_a_chunk(corpus_words):
     long = [rng.choice(corpus_words) for _ in range(leakage.CHUNK - 20)]
     text = [leakage.word_key(w) for w in [*long, *item, *long]]
     places = index.candidates([["x"] * 30, text])[1, 1]
-    assert leakage.verify(text, index.words[1], places, index)[0] == 40
+    assert leakage.verify(text, index.matches(1), places, index)[0] == 40
 
 
 # --- 8 -----------------------------------------------------------------------------------------------------------
