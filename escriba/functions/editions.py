@@ -224,6 +224,8 @@ def _annotations(text: Column) -> Column:
         (r"\[\s*_([^_]+)_\s*\]", "$1"),
         (rf"\[\s*(?!(?:{named})\s*[:\]])([a-záéíóúñç]{{1,5}})\s*\]", "[$1]"),
         (r"\[(?:margen|tachado|interlineado): \]", ""),
+        # slashes inside these markers are line breaks of the manuscript; each match goes on where the one before ended
+        (r"(\[(?:margen|tachado|interlineado): |(?!\A)\G)([^\]/]*?)\s*/\s*", "$1$2 "),
         (r"\[(\d+)\]", ""),
         (r"_/_", "/"),
     )
