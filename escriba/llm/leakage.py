@@ -2,8 +2,10 @@
 
 Each passage gives windows of words at a fixed stride, each document a window at every word. Windows have 128-bit SimHash
 fingerprints; a multi-index over blocks of 16 bits finds every pair within the radius (pigeonhole: of 8 blocks at least one
-differs in no more than radius // 8 bits). Candidates are then checked exactly: the words are aligned and the aligned piece
-must be long enough, close enough word by word, and close enough by its weighted shingles.
+differs in no more than radius // 8 bits). Fingerprints lose short pieces with several changed words, so places where three
+words in sequence are alike, and enough around them, are candidates as well. Candidates are then checked exactly: the words
+are aligned and the aligned piece must be long enough, close enough word by word, and close enough by its weighted shingles or
+by what its agreeing words say beyond a formula.
 
 The passages are a held-out set of fixed size; their index travels with the task and its size is checked. Documents are
 read once, in place; only found pairs are shuffled.
@@ -42,6 +44,20 @@ LEAST_WINDOW = 0.6
 PASSAGE_LIMIT = 5_000_000
 #: Words whose windows are handled at once.
 CHUNK = 4_000
+#: Words in sequence that every piece shares: of LEAST_WORDS with LEAST_AGREEMENT of them alike, some three in sequence are. Around
+#: them, with words shifted by at most DRIFT, LEAST_NEAR of LEAST_WORDS must be alike before the piece is aligned.
+SEED, DRIFT, LEAST_NEAR = 3, 2, 9
+#: What the agreeing words of a piece must say, less what the changed ones would have said, in nats: formulas that differ in their
+#: names stay below. Or its shingles reach LEAST_SIMILARITY.
+LEAST_SAID = 18.0
+#: Of what a word says, the share that one a letter apart says.
+VARIANT = 0.75
+#: Occurrences that a word's plain frequency counts for when its neighbours are asked.
+BACKOFF = 2.0
+#: What a changed word at the end of a piece costs, in nats.
+CHANGE_COST = 3.0
+#: Around a seed, either nearly all words agree or those that do say so much, before the piece is aligned.
+NEARLY_ALL, LEAST_SAID_NEAR = 14, 6.0
 
 _ODD, _LOOKS = re.compile(NOT_PLAIN.replace(r"\z", r"\Z")), Skeletons()
 _MARKS = re.compile(r"\[[^\[\]]{0,80}\]|\{[^{}]{0,40}\}|<[^<>]{0,40}>")
@@ -143,11 +159,111 @@ class Passages:
         self.window_ids = np.array(rows_of, dtype=np.int32).reshape(-1, window)
         self.window_weights = weights[self.window_ids]
         self.window_weights /= np.maximum(self.window_weights.sum(axis=1, keepdims=True), 1e-9)
+        self._index_runs()
+
+    def _index_runs(self) -> None:
+        """The passages one after another as word ids, zeros between them, and the places of every SEED words in sequence."""
+        apart = [0] * (2 * LEAST_WORDS + DRIFT)
+        line, self.begins = list(apart), {}
+        for item, words in self.words.items():
+            self.begins[item] = len(line)
+            line += [*(self.ids[w] for w in words), *apart]
+        self.line = np.array(line, dtype=np.int64)
+        self.line_items = np.array(list(self.begins), dtype=np.int64)
+        self.line_begins = np.array(list(self.begins.values()), dtype=np.int64)
+        self.known_words = ItemWords(list(self.ids))
+        self.many = len(self.ids) + 1
+        if self.many**SEED >= 1 << 63:
+            raise ValueError("the passages hold too many different words")
+        runs = np.lib.stride_tricks.sliding_window_view(self.line, SEED)
+        places = np.flatnonzero((runs > 0).all(axis=1))
+        keys = self._run_keys(runs[places])
+        order = np.argsort(keys, kind="stable")
+        self.runs, self.run_places = keys[order], places[order]
+        pairs, singles = Counter(p for words in self.words.values() for p in zip(words, words[1:], strict=False)), Counter(w for words in self.words.values() for w in words)
+        total = max(1, sum(singles.values()))
+        self.alone = {w: -math.log(n / total) for w, n in singles.items()}
+        # the place itself is left out of what foretells its word, else every rare word would be foretold by its neighbour
+        foretold = lambda n, of, w: -math.log((n - 1 + BACKOFF * singles[w] / total) / (singles[of] - 1 + BACKOFF))
+        #: How much a word says where it stands: little if the word before or after it foretells it, as in a formula.
+        self.told = {p: foretold(n, p[0], p[1]) for p, n in pairs.items()}, {p: foretold(n, p[1], p[0]) for p, n in pairs.items()}
+        self.line_rarity = np.zeros(len(self.line))
+        for item, begin in self.begins.items():
+            self.line_rarity[begin : begin + len(self.words[item])] = self.rarity(self.words[item])
+
+    def _run_keys(self, runs: np.ndarray) -> np.ndarray:
+        keys = np.zeros(len(runs), dtype=np.int64)
+        for k in range(SEED):
+            keys = keys * self.many + runs[:, k]
+        return keys
+
+    def rarity(self, words: list[str]) -> list[float]:
+        """What each word of a passage says, beyond what its neighbours foretell."""
+        after, before = self.told
+        out = []
+        for j, w in enumerate(words):
+            said = [self.alone[w]]
+            if j:
+                said.append(after[words[j - 1], w])
+            if j + 1 < len(words):
+                said.append(before[w, words[j + 1]])
+            out.append(min(said))
+        return out
+
+    def runs_shared(self, words: list[str], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the text, place in the line of passages) where SEED words in sequence are alike and enough of those around them.
+
+        index has the number in words of each word of the text. Of hits that follow each other only the first is given.
+        """
+        alike = [np.array(sorted(self.known_words.of(w)), dtype=np.int64) + 1 for w in words]
+        counts = np.array([len(a) for a in alike])
+        first = np.cumsum(counts) - counts
+        flat = np.concatenate(alike) if alike else np.zeros(0, dtype=np.int64)
+        per_place = counts[index]
+        size = len(index) - SEED + 1
+        many = np.ones(max(0, size), dtype=np.int64)
+        for k in range(SEED):
+            many *= per_place[k : k + size]
+        at = np.repeat(np.arange(len(many)), many)
+        rest = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        keys = np.zeros(len(at), dtype=np.int64)
+        for k in range(SEED):
+            own = per_place[at + k]
+            keys = keys * self.many + flat[first[index[at + k]] + rest % np.maximum(own, 1)]
+            rest //= np.maximum(own, 1)
+        low = np.searchsorted(self.runs, keys, "left")
+        found = np.searchsorted(self.runs, keys, "right") - low
+        begin = np.repeat(low - (np.cumsum(found) - found), found)
+        a, b = np.repeat(at, found), self.run_places[begin + np.arange(int(found.sum()))]
+        pairs = np.unique(a << 32 | b)
+        pairs = pairs[~np.isin(pairs, pairs + ((1 << 32) + 1))]
+        a, b = pairs >> 32, pairs & 0xFFFFFFFF
+        known = np.unique(np.repeat(np.arange(len(words)), counts) * self.many + flat)
+        good = np.zeros(len(a), dtype=bool)
+        for start in range(0, len(a), CHUNK):
+            part = slice(start, start + CHUNK)
+            reach = np.arange(1 - LEAST_WORDS, LEAST_WORDS + SEED - 1)
+            there = a[part][:, None] + reach
+            inside = (there >= 0) & (there < len(index))
+            word = index[np.clip(there, 0, len(index) - 1)] * self.many
+            held, told = np.zeros(there.shape, dtype=bool), np.zeros(there.shape)
+            for shift in range(-DRIFT, DRIFT + 1):
+                beside = b[part][:, None] + reach + shift
+                other = self.line[beside]
+                key = word + other
+                agrees = (known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key) & (other > 0) & inside
+                held |= agrees
+                np.maximum(told, agrees * self.line_rarity[beside], out=told)
+            told -= np.where(held, 0.0, self.line_rarity[b[part][:, None] + reach])
+            near, said = (np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1) for x in (held, told))
+            near, said = (x[:, LEAST_WORDS:] - x[:, :-LEAST_WORDS] for x in (near, said))
+            good[part] = ((near >= NEARLY_ALL) | (near >= LEAST_NEAR) & (said >= LEAST_SAID_NEAR)).any(axis=1)
+        return a[good], b[good]
 
     def matches(self, item: int) -> ItemWords:
         """The passage as the alignment wants it."""
         if item not in self._matches:
-            self._matches[item] = ItemWords(self.words[item])
+            self._matches[item] = ItemWords(self.words[item], self.rarity(self.words[item]), [self.alone[w] for w in self.words[item]])
         return self._matches[item]
 
     def _sums(self, words: list[str]) -> np.ndarray:
@@ -249,6 +365,18 @@ class Passages:
             for p, w, o in zip(place[a], which[a], b, strict=True):
                 start = int(ends[w] - lengths[w])
                 found[batch[int(w)], int(self.owner[o])].append((int(p) - start, int(self.start[o])))
+        words = list(known)
+        overlap = 2 * LEAST_WORDS
+        for begin in range(0, len(index), CHUNK):
+            low, high = max(0, begin - overlap), min(len(index), begin + CHUNK + overlap)
+            here, place = np.unique(index[low:high], return_inverse=True)
+            a, b = self.runs_shared([words[k] for k in here], place)
+            a += low
+            w, o = np.searchsorted(ends, a, "right"), np.searchsorted(self.line_begins, b, "right") - 1
+            inside = a + SEED <= ends[w]
+            for p, w, o, q in zip(a[inside], w[inside], o[inside], b[inside], strict=True):
+                start = int(ends[w] - lengths[w])
+                found[batch[int(w)], int(self.line_items[o])].append((int(p) - start, int(q - self.line_begins[o])))
 
 
 def _alike(a: str, b: str) -> bool:
@@ -271,10 +399,11 @@ def _shortened(word: str) -> list[str]:
 
 
 class ItemWords:
-    """Places in a passage of the words that agree with a given one."""
+    """Places in a passage of the words that agree with a given one, and what each of its words says, where it stands and alone."""
 
-    def __init__(self, item: list[str]) -> None:
+    def __init__(self, item: list[str], rarity: list[float] | None = None, alone: list[float] | None = None) -> None:
         self.item = item
+        self.rarity, self.alone = rarity or [1.0] * len(item), alone or [1.0] * len(item)
         self.places: dict[str, list[int]] = defaultdict(list)
         for j, word in enumerate(item):
             for form in set(_shortened(word)):
@@ -284,6 +413,8 @@ class ItemWords:
     def of(self, word: str) -> frozenset[int]:
         found = self.known.get(word)
         if found is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
             near = {j for form in _shortened(word) for j in self.places.get(form, ())}
             found = self.known[word] = frozenset(j for j in near if _alike(word, self.item[j]))
         return found
@@ -320,23 +451,84 @@ def align(text: list[str], item: ItemWords, reward: float = 1.0, penalty: float
     return best[1:]
 
 
+def extended(text: list[str], item: ItemWords, piece: tuple[int, int, int, int, int]) -> tuple[int, int, int, int, int]:
+    """The piece that align() gave, whose ends are taken on past changed words, to a word that agrees.
+
+    What the agreeing words of such an end say must outweigh its changed words, and the whole must keep to LEAST_AGREEMENT.
+    """
+    a, b, c, d, agree = piece
+    for step in (-1, 1):
+        i, j = (a - 1, c - 1) if step < 0 else (b, d)
+        size, further, gain, best = max(d - c, b - a), 0, 0.0, (0, 0)
+        for n in range(1, LEAST_WORDS + 1):
+            if not (0 <= i < len(text) and 0 <= j < len(item.item)):
+                break
+            if j in item.of(text[i]):
+                further, gain = further + 1, gain + item.alone[j]
+                if gain > 0 and agree + further >= LEAST_AGREEMENT * (size + n):
+                    best = (n, further)
+            else:
+                gain -= CHANGE_COST
+            i, j = i + step, j + step
+        n, further = best
+        agree += further
+        a, b, c, d = (a - n, b, c - n, d) if step < 0 else (a, b + n, c, d + n)
+    return a, b, c, d, agree
+
+
+def said(text: list[str], item: ItemWords, begin: int, end: int) -> float:
+    """What the words of item[begin:end] that agree with the text, in order, say, less what the others would have said."""
+    best = [0.0] * (end - begin + 1)
+    for word in text:
+        agree, before, beside = item.of(word), 0.0, 0.0
+        for k in range(1, end - begin + 1):
+            above = best[k]
+            j = begin + k - 1
+            value = before + item.rarity[j] * (1.0 if word == item.item[j] else VARIANT) if j in agree else 0.0
+            beside = best[k] = max(above, beside, value)
+            before = above
+    return 2 * best[-1] - sum(item.rarity[begin:end])
+
+
+def _as_item(text: list[str], item: ItemWords, begin: int, end: int) -> list[str]:
+    """The text with words one letter apart from a word of item[begin:end] written as there."""
+    own = set(item.item[begin:end])
+    out = []
+    for i, word in enumerate(text):
+        near = () if word in own else [j for j in item.of(word) if begin <= j < end]
+        out.append(item.item[min(near, key=lambda j: (abs(j - begin - i), j))] if near else word)
+    return out
+
+
 def verify(text: list[str], item: ItemWords, places: list[tuple[int, int]], passages: Passages, slack: int = 25) -> tuple[int, float] | None:
     """(words of the item in the piece, similarity) if the text holds the item, or enough of it in one piece."""
     best: tuple[int, float] | None = None
+    needed = min(LEAST_WORDS, len(item.item))
     done: list[tuple[int, int]] = []
     for at, start in sorted(places):
-        low, high = max(0, at - start - slack), min(len(text), at - start + len(item.item) + slack)
-        if any(a <= at and at + WINDOW <= b for a, b in done):
+        if any(a <= at and at + SEED <= b for a, b in done):
             continue
-        done.append((low, high))
-        a, b, c, d, agree = align(text[low:high], item)
-        span = d - c
-        needed = min(LEAST_WORDS, len(item.item))
-        if span < needed or agree < LEAST_AGREEMENT * max(span, b - a):
-            continue
-        close = passages.similarity(text[low + a : low + b], item.item[c:d])
-        if close >= LEAST_SIMILARITY and (best is None or span > best[0]):
-            best = (span, close)
+        parts = [(max(0, at - start - slack), min(len(text), at - start + len(item.item) + slack))]
+        done += parts
+        while parts:
+            low, high = parts.pop()
+            if high - low < needed or not any(low <= p and p + SEED <= high for p, _ in places):
+                continue
+            core = align(text[low:high], item)
+            if core[4] < SEED:
+                continue
+            for a, b, c, d, agree in dict.fromkeys((extended(text[low:high], item, core), core)):
+                span = d - c
+                if span < needed or agree < LEAST_AGREEMENT * max(span, b - a):
+                    continue
+                piece = text[low + a : low + b]
+                close = passages.similarity(_as_item(piece, item, c, d), item.item[c:d])
+                if close >= LEAST_SIMILARITY or said(piece, item, c, d) >= LEAST_SAID:
+                    if best is None or span > best[0]:
+                        best = (span, close)
+                    break
+            else:  # the best piece is none: another may stand beside it
+                parts += [(low, low + core[0]), (low + core[1], high)]
     return best
 
 

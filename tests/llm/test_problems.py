@@ -320,6 +320,31 @@ def test_a_text_longer_than_a_chunk(corpus_words):
     assert leakage.verify(text, index.matches(1), places, index)[0] == 40
 
 
+def test_short_pieces_with_changed_words(corpus_words):
+    rng = random.Random(12)
+    items = {i: [rng.choice(corpus_words) for _ in range(40)] for i in range(20)}
+    formula = "sepan quantos esta carta vieren como yo diego morales vezino desta villa otorgo e conozco".split()
+    for words in items.values():
+        words += [*formula[:7], rng.choice(corpus_words), rng.choice(corpus_words), *formula[9:]]
+    index = leakage.Passages([(i, " ".join(w)) for i, w in items.items()])
+    items, formula = index.words, leakage.words_of(" ".join(formula))
+
+    def found(item, piece):
+        text = [rng.choice(corpus_words) + "zz" for _ in range(25)]
+        text = [*text[:12], *piece, *text[12:]]
+        places = index.candidates([text]).get((0, item))
+        return places is not None and leakage.verify(text, index.matches(item), places, index) is not None
+
+    for item in items:
+        for size, changed in ((15, (1, 13)), (15, (4, 8, 11)), (15, (1, 7, 13)), (17, (1, 5, 9, 15)), (20, (3, 7, 11, 15, 17))):
+            piece = [w if k not in changed else "otrapalaura" for k, w in enumerate(items[item][4 : 4 + size])]
+            assert found(item, piece), (item, size, changed)
+        spelt = [w if k % 3 or len(w) < 5 else w[:2] + "w" + w[3:] for k, w in enumerate(items[item][4:19])]
+        assert found(item, spelt)
+        assert not found(item, items[item][4:17])
+        assert not found(item, [*formula[:7], "alonso", "perez", *formula[9:]])
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------------
 
 RESIDUE = [
