@@ -112,6 +112,14 @@ def page_offset(text: Column, doc: Column | None = None) -> Column:
     return out
 
 
+def last_image(text: Column, doc: Column | None = None) -> Column:
+    """Number of the last image with text of a transcription: the highest page of its folio markers and the images before them, at least 1."""
+    body = without_front_matter(text)
+    parts = _parts(body)
+    pages = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), _number)
+    return F.greatest(F.lit(1), F.array_max(pages)) + F.coalesce(page_offset(body, doc), F.lit(0))
+
+
 def is_transcribed(page_text: Column) -> Column:
     """whether a page has text enough, bracketed marks aside."""
     plain = F.regexp_replace(F.regexp_replace(page_text, r"\[.*?\]", ""), f"{SPACE}+", " ")

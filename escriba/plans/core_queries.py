@@ -732,7 +732,8 @@ def n12_folio_pages(spark, d):
 
 @query("n17_transcriptions")
 def n17_transcriptions(spark, d):
-    pages = table(spark, d, "transcripcion").select("doc_id", "md", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page"))
+    last = editions.last_image(F.col("md"), F.col("doc_id"))
+    pages = table(spark, d, "transcripcion").select("doc_id", "md", F.explode(F.sequence(F.lit(1), last)).alias("page"))
     return pages.select("doc_id", "page", text.normalize_unicode(editions.parse_transcription(F.col("md"), F.col("page"), F.col("doc_id"))).alias("text"))
 
 

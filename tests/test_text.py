@@ -89,6 +89,19 @@ def test_page_of_a_transcription(spark):
     assert second == "otra\npágina"
 
 
+def test_every_page_of_a_transcription(spark, tmp_path):
+    from escriba.plans.core_queries import n17_transcriptions
+
+    folios = [f"[Fol. {n // 2 + 1} {'vuelto' if n % 2 else 'recto'}]\npágina / {n + 1}" for n in range(7)]
+    covered = "Portada de la escritura " * 6 + "\n" + "\n".join(folios)
+    rows = [("plain", "\n".join(["página / 1", *folios[1:5]])), ("covered", covered), ("none", "sin / folios"), ("null", None)]
+    spark.createDataFrame(rows, "doc_id string, md string").write.parquet(str(tmp_path / "transcripcion.parquet"))
+    found = {(r.doc_id, r.page): r.text for r in n17_transcriptions(spark, str(tmp_path)).collect()}
+    assert {p: found["plain", p] for d, p in found if d == "plain"} == {p: f"página\n{p}" for p in range(1, 6)}
+    assert {p for d, p in found if d == "covered"} == set(range(1, 9)) and found["covered", 8] == "página\n7" and found["covered", 1] == ""
+    assert found["none", 1] == "sin\nfolios" and {p for d, p in found if d == "none"} == {1}
+
+
 def test_footnotes():
     body = "texto / 3 sigue\n[Fol. 1 vuelto]\n3 En el original se lee otra cosa distinta\nque sigue aquí.\nfin"
     notes, rest = editions.Notes.take(body)
