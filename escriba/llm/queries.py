@@ -134,9 +134,10 @@ def p8_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_templates(spark: SparkSession, folder: str) -> DataFrame:
-    """The mined templates that were judged to be messages or filler, and how many segments they hold."""
-    mined = residue.mined_segments(table(spark, folder, "documents"))
-    return residue.message_templates(mined).where("kind IS NOT NULL").groupBy("template", "kind").agg(F.sum("n").alias("n"))
+    """The mined templates that were judged to be messages or filler, and how many documents hold them."""
+    documents = table(spark, folder, "documents")
+    model = residue.trained(documents)
+    return residue.templates(residue.mined(documents, model), model).where("kind IS NOT NULL").select("template", "kind", "documents")
 
 
 P1_FOUND_SQL = """

@@ -1,32 +1,40 @@
 """Problem 8: template residue, filler, error messages and notices about scripts or cookies.
 
-Segments that hold a signal word are mined for message templates with a prefix tree of fixed depth: by number of tokens,
-then by the first tokens, then by similarity to the templates of the leaf. Each partition mines its own segments, the few
-templates that come of it are merged over all partitions by the same tree, each merged template is classified once, and its
-verdict goes back to all its segments. Unfilled fields inside ordinary text are found separately, in the JVM.
+A perceptron is fitted on labelled examples, spliced into sentences of the corpus at hand, and on sentences of the corpus
+itself. It gives words and pairs of words weights, and a text is a message where a run of words weighs enough. Sentences are trimmed to the part
+that can weigh anything, so that a message inside a sentence comes out like one that stands alone. These parts go through a prefix tree of fixed
+depth: by number of tokens, then by the first tokens, then by similarity to the templates of the leaf. Each batch mines its own, the templates
+of all batches are merged by the same tree, each merged template is judged once, and its verdict goes back to the documents.
+Unfilled fields inside ordinary text are found separately, in the JVM.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from escriba.llm.examples import GENUINE, MESSAGES
 from escriba.llm.lookalikes import NOT_PLAIN, Skeletons
+from escriba.llm.shared import cut
 from escriba.operators.pairs import busy
 
 #: Tokens that lead from the root of the prefix tree to a leaf, after the number of tokens.
 TREE_DEPTH = 3
 #: Share of equal tokens at which a segment joins a template.
 DEFAULT_SIMILARITY = 0.5
-#: A partition's tree starts anew beyond so many templates; the merge over partitions makes up for it.
-TREE_LIMIT = 50_000
-#: Different filler words in one segment that make it filler.
-FILLER_WORDS = 4
+#: Documents whose sentences the model learns ordinary text from, at most; drawn by a hash of the text.
+TRAIN_DOCUMENTS = 600
+#: Parts into which the templates of a leaf are split before they are merged as a whole.
+SALTS = 32
+#: Score below zero that ordinary text, and above zero that messages must keep in training.
+MARGIN = 1.0
 
 # Notations of an unfilled field; a field name is an identifier.
 _NAME = r"\p{L}[\p{L}\p{N}_.\-]*"
@@ -41,296 +49,330 @@ SLOTS = (
     r"@@\s*" + _NAME + r"\s*@@",
     r"\[\[\s*" + _NAME + r"\s*\]\]",
     r"(?<![\w_])__\p{L}\w*?__(?![\w_])",
-    r"(?iu)\[\s*(?:insertar|inserte|insert|inserir|inserir aqui|completar|rellenar|fill in|enter)\s+[^\[\]:]{1,40}\]",
-    r"(?iu)\[\s*[\p{L}_][\p{L}\p{N}_ ]{0,40}?\s(?:aquí|aqui|here|aquí va)\s*\]",
-    r"(?iu)<\s*(?:insertar|insert|inserir)\s+[^<>]{1,40}>",
+    r"(?iu)\[\s*(?:insertar|inserte|insert|inserir|inserir aqui|completar|rellenar|fill in|enter)\s+[^\[\]:]+\]",
+    r"(?iu)\[\s*[\p{L}_][\p{L}\p{N}_ ]*?\s(?:aquí|aqui|here|aquí va)\s*\]",
+    r"(?iu)<\s*(?:insertar|insert|inserir)\s+[^<>]+>",
 )
 
-# Words of the usual filler text.
-LOREM = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua "
-    "enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat"
-).split()
-#: Of them, words that Latin and Romance text has as well.
-LOREM_COMMON = "dolor sit magna quis nisi enim elit labore tempor dolore".split()
-
-# Phrases of messages, in plain lower case without accents; "#" stands for a number or code.
-ERROR_PHRASES = """
-not found
-page not found
-forbidden
-bad gateway
-gateway timeout
-service unavailable
-internal server error
-too many requests
-rate limited
-access denied
-permission denied
-request timed out
-session has expired
-session expired
-pagina no encontrada
-pagina solicitada no existe
-pagina solicitada nao existe
-pagina nao encontrada
-pagina no trobada
-pagina sol licitada no existeix
-acceso denegado
-acesso negado
-acces denegat
-recurso no disponible temporalmente
-recurso no disponible
-servidor tardo demasiado en responder
-error interno del servidor
-erro interno do servidor
-error intern del servidor
-servicio no disponible
-sesion ha caducado
-sesion ha expirado
-sessao expirou
-sessio ha caducat
-vuelva a intentarlo mas tarde
-intentelo de nuevo
-tente novamente
-torneu a provar
-try again later
-please contact the administrator
-contact the administrator
-contacte con el administrador
-regrese al inicio
-request id
-codigo de error #
-http #
-status #
-error #
-erro #
-estado #
-server is down for maintenance
-down for maintenance
-no se ha podido cargar
-no se pudo cargar
-no se pudo conectar con la base de datos
-could not connect to the database
-failed to load
-checking your browser
-traceback most recent call last
-stack trace
-sqlstate
-undefined variable
-undefined index
-undefined undefined
-nullpointerexception
-null pointer exception
-object object
-fatal error
-syntax error
-segmentation fault
-keyerror
-typeerror
-valueerror
-exception in thread
-unhandled exception
-on line #
-""".split("\n")
-NOTICE_PHRASES = """
-scripting turned on
-javascript is disabled
-javascript is required
-javascript desactivado
-requires javascript
-requiere javascript
-necesita javascript
-navegador no admite
-navegador no soporta
-navegador nao suporta
-navegador no admet
-browser does not support
-guiones activos
-scripts o los tiene desactivados
-we use cookies
-este sitio usa cookies
-cookies to continue
-accept all cookies
-""".split("\n")
-FILLER_PHRASES = """
-texto de ejemplo
-texto de prueba
-texto de relleno
-texto de muestra
-parrafo de relleno
-parrafo de ejemplo
-contenido de prueba
-contenido de ejemplo
-contenido de relleno
-aqui va el texto
-inserte aqui
-borrar antes de publicar
-sample paragraph
-sample text
-placeholder text
-dummy text
-replace with the real description
-replace with description
-your text here
-text goes here
-texto de exemplo
-text d exemple
-tbd tbd
-asdf
-qwer
-zxcv
-qwerty
-xxxx xxxx
-""".split("\n")
-# Asking for scripts or cookies, in one sentence and this order.
-ASK = "enable|enabling|allow|accept|activate|turn on|switch on|permit|requires|require|need|needs|active|activar|habilite|habilitar|permita|permitir|necesita|requiere|ative|ativar|permite|activeu|activar|accepteu|acepte|aceite"
-ASKED = "javascript|java script|scripts|scripting|cookies|guiones"
-ASK_PATTERN = rf"\b(?:{ASK})\b(?: \S+){{0,3}} (?:{ASKED})\b"
-#: A segment without one of these is never a message and isn't mined.
-SIGNAL_WORDS = sorted(
-    {w for p in ERROR_PHRASES + NOTICE_PHRASES + FILLER_PHRASES for w in p.split() if len(w) > 3 and w != "#"}
-    - set("page text with this line your most call last para esta este antes has been all aqui texto pagina contenido conectar base datos lang tarde demasiado inicio nuevo todo publicar later real description mas replace texto borrar".split())
-    | {"http", "erro", "error", "estado", "status", "javascript", "cookies", "scripts", "guiones", "tbd", "asdf", "qwer", "nan", "texto", "contenido", "pagina"}
-    | set(LOREM)
-)
+_SPLIT = re.compile(r"(?<=[.!?…])\s+|[\n\r]+|</?\w+[^<>]*>|\*{2,}")
+_ODD, _LOOKS = re.compile(NOT_PLAIN.replace(r"\z", r"\Z")), Skeletons()
+_TOKEN = re.compile(r"[^\W_]+")
+_CODE = re.compile(r"(?=[0-9a-f]*[0-9])[0-9a-f]+\Z")
+_ACCENTS = re.compile("[̀-ͯ]+")
+KINDS = ("notice", "error", "filler")
 
 
-def plain(text: str) -> str:
-    """Lower case, no accents, numbers and codes as '#', other signs as spaces."""
-    text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn").lower()
-    text = re.sub(r"\b(?=[0-9a-f]*[0-9])[0-9a-f]+\b", "#", text)
-    return " ".join(re.findall(r"[^\W_]+|#", text))
+def flat(text: str) -> str:
+    """Lower case, without accents, look-alike characters unified."""
+    if not text.isascii():
+        if _ODD.search(text):
+            text = _LOOKS.of(text)
+        text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
+    return text.lower()
 
 
-def _phrases(lines: list[str]) -> re.Pattern[str]:
-    found = sorted({line for line in lines if line}, key=len, reverse=True)
-    return re.compile(r"(?<!\S)(?:" + "|".join(re.escape(p) for p in found) + r")(?!\S)")
+def _token(word: str) -> str:
+    if word.isalpha():
+        return "=" if len(word) > 2 and word.count(word[0]) == len(word) else word
+    return "#" if _CODE.match(word) else word
 
 
-_ERROR, _NOTICE, _FILLER, _ASK = _phrases(ERROR_PHRASES), _phrases(NOTICE_PHRASES), _phrases(FILLER_PHRASES), re.compile(ASK_PATTERN)
-_SAME_LETTER = re.compile(r"(?<!\S)(\w)\1{2,}(?: \1{2,})+(?!\S)")
+def tokens(part: str) -> list[str]:
+    """Words of a flat text; numbers and codes are '#', runs of one letter '='."""
+    return [_token(w) for w in _TOKEN.findall(part)]
 
 
-def classify(template: str) -> str | None:
-    """What a template is: notice, error, filler, or none of these."""
-    if _ASK.search(template) or _NOTICE.search(template):
-        return "notice"
-    if _ERROR.search(template):
-        return "error"
-    words = set(template.split())
-    lorem = words & set(LOREM)
-    if len(lorem) >= FILLER_WORDS and len(lorem - set(LOREM_COMMON)) >= 2 or {"lorem", "ipsum"} <= words:
-        return "filler"
-    if _FILLER.search(template) or _SAME_LETTER.search(template):
-        return "filler"
-    return None
+def segments(text: str) -> Iterator[list[str]]:
+    """The different sentences and lines of a text as tokens."""
+    seen = set()
+    for part in _SPLIT.split(flat(text)):
+        if part and part not in seen:
+            seen.add(part)
+            found = tokens(part)
+            if found:
+                yield found
 
 
-_SPLIT = re.compile(r"(?<=[.!?…])\s+|[\n\r]+|</?\w+[^<>]*>|\*{2,}")
-_ODD, _LOOKS = re.compile(NOT_PLAIN.replace(r"\z", r"\Z")), Skeletons()
-_SIGNALS = frozenset(SIGNAL_WORDS)
-#: Words that a verdict can hang on; a template keeps them as they are.
-_KEPT = _SIGNALS | {w for p in ERROR_PHRASES + NOTICE_PHRASES + FILLER_PHRASES for w in p.split()} | set(re.split(r"[| ]", f"{ASK}|{ASKED}"))
+class MessageModel:
+    """Weights of words and of pairs of neighbours per kind of residue; the run of words that weighs most decides.
 
+    Learning: where a labelled message weighs less than the margin, its features gain; where the heaviest run of an ordinary
+    text weighs more than the negative margin, its features lose. Weights are averaged over all steps.
+    """
+
+    def __init__(self) -> None:
+        self.weights: dict[str, dict[str, float]] = {k: {} for k in KINDS}
+        self.bias = dict.fromkeys(KINDS, -MARGIN)
+
+    def best_run(self, words: list[str], kind: str) -> tuple[float, int, int]:
+        """(score, start, end) of the heaviest run of words."""
+        weights, base = self.weights[kind], self.bias[kind]
+        best, run, begin = (base, 0, 0), 0.0, 0
+        before = ""
+        for i, word in enumerate(words):
+            single = weights.get(word, 0.0)
+            if run + (pair := weights.get(f"{before} {word}", 0.0)) > 0:
+                run += single + pair
+            else:
+                run, begin = single, i
+            if run + base > best[0]:
+                best = (run + base, begin, i + 1)
+            before = word
+        return best
+
+    def run_score(self, words: list[str], kind: str) -> float:
+        weights = self.weights[kind]
+        return self.bias[kind] + sum(weights.get(f, 0.0) for f in self.features(words))
+
+    @staticmethod
+    def features(words: list[str]) -> list[str]:
+        return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+    def verdict(self, words: list[str]) -> str | None:
+        """The kind of the heaviest run, or None where no run weighs enough."""
+        score, kind = max((self.best_run(words, k)[0], k) for k in KINDS)
+        return kind if score > 0 else None
+
+    def fit(self, messages: list[tuple[str, list[str]]], ordinary: list[list[str]], contexts: list[list[str]], rounds: int = 12, seed: int = 8) -> MessageModel:
+        """Learn from labelled messages, alone and spliced into contexts, and from ordinary text."""
+        rng = random.Random(seed)
+        examples: list[tuple[str, list[str], list[str]]] = []
+        for kind, words in messages:
+            examples.append((kind, words, words))
+            for _ in range(2 if contexts else 0):
+                around = rng.choice(contexts)
+                at = rng.randint(0, len(around))
+                examples.append((kind, words, around[:at] + words + around[at:]))
+        examples += [("", [], words) for words in ordinary]
+        sums = {k: {} for k in KINDS}
+        bias_sums = dict.fromkeys(KINDS, 0.0)
+        step = 0
+
+        def move(kind: str, features: list[str], by: float) -> None:
+            weights, total = self.weights[kind], sums[kind]
+            for f in features:
+                weights[f] = weights.get(f, 0.0) + by
+                total[f] = total.get(f, 0.0) + by * step
+            self.bias[kind] += by / 4
+            bias_sums[kind] += by / 4 * step
+
+        for _ in range(rounds):
+            rng.shuffle(examples)
+            wrong = 0
+            for kind, words, whole in examples:
+                step += 1
+                if kind and self.run_score(words, kind) < MARGIN:
+                    wrong += 1
+                    move(kind, self.features(words), 2 / (len(words) + 2))
+                for other in KINDS:
+                    if other == kind:
+                        continue
+                    score, begin, end = self.best_run(whole, other)
+                    if end > begin and score > -MARGIN / 2 and (not kind or score > self.run_score(words, kind) - MARGIN):
+                        wrong += 1
+                        move(other, self.features(whole[begin:end]), -2 / (end - begin + 2))
+            if not wrong:
+                break
+        step = max(1, step)
+        for kind in KINDS:
+            averaged = {f: w - sums[kind][f] / step for f, w in self.weights[kind].items()}
+            self.weights[kind] = {f: w for f, w in averaged.items() if abs(w) > 0.02}
+            self.bias[kind] -= bias_sums[kind] / step
+        return self
+
+    def gains(self) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
+        """What a word, and a word after another, adds to a run at most, whatever the kind; only what adds something."""
+        singles: dict[str, float] = {}
+        pairs: dict[str, dict[str, float]] = {}
+        for weights in self.weights.values():
+            for f, v in weights.items():
+                if v > 0:
+                    a, _, b = f.partition(" ")
+                    into, key = (pairs.setdefault(b, {}), a) if b else (singles, a)
+                    into[key] = max(v, into.get(key, 0.0))
+        return singles, pairs
+
+    def weighed(self) -> set[str]:
+        """Words that have any weight, alone or in a pair."""
+        return {w for weights in self.weights.values() for f in weights for w in f.split(" ")}
+
+
+def labelled() -> tuple[list[tuple[str, list[str]]], list[list[str]]]:
+    """The labelled examples as tokens: messages by kind, and genuine text that speaks of such things."""
+    return [(k, tokens(flat(x))) for k, lines in MESSAGES.items() for x in lines], [tokens(flat(x)) for x in GENUINE]
+
+
+def trained_on(texts: list[str], messages: list[tuple[str, list[str]]] | None = None) -> MessageModel:
+    """The model, fitted on the labelled examples and on ordinary sentences of the texts.
+
+    A sentence of the corpus counts as ordinary unless a first model, fitted without the corpus, finds a message in it.
+    """
+    known, genuine = labelled()
+    known = messages or known
+    first = MessageModel().fit(known, genuine, [])
+    ordinary = []
+    for text in texts:
+        ordinary += [s for s in segments(text) if first.verdict(s) is None]
+    return MessageModel().fit(known, genuine * 4 + ordinary, ordinary or genuine)
 
-def segments(text: str) -> list[str]:
-    """Plain segments of a text that hold a signal word."""
-    out = []
-    if _ODD.search(text):
-        text = _LOOKS.of(text)
-    for part in _SPLIT.split(text):
-        if part and part.strip():
-            flat = plain(part)
-            if not _SIGNALS.isdisjoint(flat.split()):
-                out.append(flat)
-    return out
+
+def trained(documents: DataFrame, text: str = "text", limit: int = TRAIN_DOCUMENTS) -> MessageModel:
+    """The model, fitted with the ordinary text of up to ``limit`` documents, drawn by a hash of the text."""
+    rows = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(text).alias("text"))
+    drawn = rows.withColumn("draw", F.xxhash64("text")).orderBy("draw", "text").limit(limit).collect()
+    return trained_on([r.text for r in drawn])
 
 
 class PrefixTree:
-    """Templates of token sequences; '*' in a template stands for any token. Words that verdicts hang on are never generalised."""
+    """Templates of token sequences; '*' in a template stands for any token. Tokens that the model gives a weight stay as they
+    are, hence a template and all that it holds weigh the same."""
 
-    def __init__(self, similarity: float = DEFAULT_SIMILARITY, depth: int = TREE_DEPTH) -> None:
-        self.similarity, self.depth = similarity, depth
-        self.leaves: dict[str, list[list[str]]] = {}
-        self.size = 0
+    def __init__(self, weighed: set[str], similarity: float = DEFAULT_SIMILARITY, depth: int = TREE_DEPTH) -> None:
+        self.weighed, self.similarity, self.depth = weighed, similarity, depth
+        self.leaves: dict[tuple[str, ...], dict[tuple[str, ...], list[list[str]]]] = {}
 
-    def leaf(self, tokens: list[str]) -> str:
-        kept = [f"{i}:{t}" for i, t in enumerate(tokens) if t in _KEPT]
-        return " ".join([str(len(tokens)), *tokens[: self.depth], "|", *kept])
+    def leaf(self, words: list[str]) -> tuple[str, ...]:
+        return (str(len(words)), *words[: self.depth])
 
-    def add(self, tokens: list[str]) -> list[str]:
+    def add(self, words: list[str]) -> list[str]:
         """The template that the tokens belong to, generalised to hold them."""
-        group = self.leaves.setdefault(self.leaf(tokens), [])
-        best, at = 0.0, -1
-        for i, template in enumerate(group):
-            same = sum(a == b for a, b in zip(template, tokens, strict=True)) / len(tokens)
+        weighed = self.weighed
+        fixed = tuple(w if w in weighed else "*" for w in words)
+        group = self.leaves.setdefault(self.leaf(words), {}).setdefault(fixed, [])
+        best, at = 0, None
+        for template in group:
+            same = sum(a == b for a, b in zip(template, words, strict=True))
             if same > best:
-                best, at = same, i
-        if at < 0 or best < self.similarity:
-            group.append(list(tokens))
-            self.size += 1
+                best, at = same, template
+        if at is None or best < self.similarity * len(words):
+            group.append(list(words))
             return group[-1]
-        template = group[at]
-        for i, (a, b) in enumerate(zip(template, tokens, strict=True)):
-            if a != b:
-                template[i] = "*"
-        return template
-
-
-_FOLD = ("áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc")
-
-
-def _may_hold(text: Column) -> Column:
-    """Whether a text has a signal word at all; decided in the JVM so that other texts never reach Python."""
-    flat = F.translate(F.lower(text), *_FOLD)
-    signal = r"(?<![\p{L}])(?:" + "|".join(SIGNAL_WORDS) + r")(?![\p{L}])|(?<![\p{L}])(\p{L})\1{2,}\s+\1{2,}"
-    return flat.rlike(signal) | text.rlike(NOT_PLAIN)
+        if best < len(words):
+            for i, (a, b) in enumerate(zip(at, words, strict=True)):
+                if a != b:
+                    at[i] = "*"
+        return at
+
+
+class Miner:
+    """Trims the sentences of texts to what can weigh anything and mines them for templates."""
+
+    def __init__(self, model: MessageModel, similarity: float = DEFAULT_SIMILARITY) -> None:
+        self.singles, self.pairs = model.gains()
+        self.least = -max(model.bias.values())
+        self.tree = PrefixTree(model.weighed(), similarity)
+
+    def trimmed(self, words: list[str]) -> list[str]:
+        """From the first to the last token that adds weight, beyond which no heaviest run reaches; nothing if all that add weight
+        together can't make a message."""
+        singles, pairs = self.singles, self.pairs
+        begin, end, weight, before = -1, 0, 0.0, ""
+        for i, word in enumerate(words):
+            gain, first = singles.get(word, 0.0), i
+            after = pairs.get(word)
+            if after is not None and before in after:
+                gain, first = gain + after[before], i - 1
+            if gain:
+                weight += gain
+                end = i + 1
+                if begin < 0:
+                    begin = first
+            before = word
+        return words[begin:end] if weight > self.least else []
+
+    def add(self, text: str) -> list[list[str]]:
+        out = []
+        for words in segments(text):
+            part = self.trimmed(words)
+            if part:
+                out.append(self.tree.add(part))
+        return out
+
+
+def _number(template: str) -> int:
+    return xxhash.xxh3_64_intdigest(template) - (1 << 63)
 
 
 def unresolved_slots(text: Column) -> Column:
     """True where a text holds an unfilled field of a software template."""
-    return F.coalesce(text.rlike("|".join(f"(?:{s})" for s in SLOTS)), F.lit(False))
+    signs = F.lit(False)
+    for sign in ("{", "<", "%(", "##", "@@", "[", "__"):  # cheap to look for, and every notation has one
+        signs = signs | F.contains(text, F.lit(sign))
+    return F.coalesce(signs & text.rlike("|".join(f"(?:{s})" for s in SLOTS)), F.lit(False))
 
 
-def mined_segments(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = DEFAULT_SIMILARITY) -> DataFrame:
-    """(key, leaf, local): per segment with a signal word the template that its partition's tree gave it."""
+def mined(documents: DataFrame, model: MessageModel, key: str = "doc_id", text: str = "text", similarity: float = DEFAULT_SIMILARITY) -> DataFrame:
+    """(key, found, leaf, template): per document the numbers of its templates; and per batch its templates, where the key is null
+    and found has the documents of the template and its number.
+
+    Written to the shared folder once, since both kinds of rows are read.
+    """
+    shipped = documents.sparkSession.sparkContext.broadcast(model)  # weights of a bounded sample
 
     def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = PrefixTree(similarity)
+        known = shipped.value
         for batch in batches:
-            keys, found = [], []
-            for k, t in zip(batch[key], batch[text], strict=True):
-                for segment in dict.fromkeys(segments(t)):
-                    keys.append(k)
-                    found.append(tree.add(segment.split()))
-            templates = [" ".join(t) for t in found]  # after the whole batch, so that all of it has the same form
-            rows = [(k, tree.leaf(t.split()), t) for k, t in zip(keys, templates, strict=True)]
-            yield pd.DataFrame(rows, columns=[key, "leaf", "local"])  # of rows, as empty lists by column would come out as numbers
-            if tree.size > TREE_LIMIT:
-                tree = PrefixTree(similarity)
-
-    rows = documents.where(F.col(text).isNotNull() & _may_hold(F.col(text))).select(key, text)
+            miner = Miner(known, similarity)
+            held = [(k, miner.add(t)) for k, t in zip(batch[key], batch[text], strict=True)]
+            names = {id(t): " ".join(t) for _, found in held for t in found}  # after the whole batch, so that all of it has one form
+            rows = [(k, sorted({_number(names[id(t)]) for t in found}), None, None) for k, found in held if found]
+            counted: dict[str, int] = {}
+            for _, found in held:
+                for name in {names[id(t)] for t in found}:
+                    counted[name] = counted.get(name, 0) + 1
+            rows += [(None, [n, _number(name)], " ".join(miner.tree.leaf(name.split(" "))), name) for name, n in counted.items()]
+            out = pd.DataFrame(rows, columns=[key, "found", "leaf", "template"])
+            out[key] = out[key].astype(object)
+            yield out
+
+    rows = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, text)
     kind = dict(rows.dtypes)[key]
-    return busy(rows).mapInPandas(mine, f"{key} {kind}, leaf string, local string")
+    return cut(busy(rows).mapInPandas(mine, f"{key} {kind}, found array<bigint>, leaf string, template string"))
 
 
-def message_templates(mined: DataFrame, similarity: float = DEFAULT_SIMILARITY) -> DataFrame:
-    """(local, template, kind, n): the partitions' templates merged leaf by leaf, each merged template classified once.
+def templates(parts: DataFrame, model: MessageModel, key: str = "doc_id", similarity: float = DEFAULT_SIMILARITY) -> DataFrame:
+    """(local, template, kind, documents): the batches' templates merged leaf by leaf, each merged template judged once.
 
-    A leaf has as many rows as the partitions have different templates in it, never the segments themselves.
+    Equal templates are counted first; then each leaf is merged in SALTS parts, then as a whole, so that no task sees all
+    templates of a leaf that fills the corpus.
     """
+    shipped = parts.sparkSession.sparkContext.broadcast(model)
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip((int(n) for n in group["n"]), group["local"], strict=True), key=lambda r: (-r[0], r[1]))
-        tree = PrefixTree(similarity, depth=0)
-        merged = [tree.add(local.split()) for _, local in rows]
-        templates = [" ".join(t) for t in merged]
-        kinds = {t: classify(t) for t in set(templates)}
-        return pd.DataFrame({"local": [r[1] for r in rows], "template": templates, "kind": [kinds[t] for t in templates], "n": [r[0] for r in rows]})
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by part; a part's templates, frequent ones first, go through a tree of their own."""
+        weighed = shipped.value.weighed()
+        part, tree, held = None, PrefixTree(weighed, similarity), []
+
+        def merged() -> list[tuple]:
+            joined: dict[int, tuple[list[str], list[int], list[int]]] = {}
+            for template, local, documents in held:
+                one = joined.setdefault(id(template), (template, [], [0]))
+                one[1].extend(local)
+                one[2][0] += documents
+            return [(part[0], " ".join(t), sorted(set(local)), n[0]) for t, local, n in joined.values()]
+
+        for batch in batches:
+            out = []
+            for leaf, salt, template, local, documents in zip(batch["leaf"], batch["salt"], batch["template"], batch["local"], batch["documents"], strict=True):
+                if part != (leaf, salt):
+                    out += merged()
+                    part, tree, held = (leaf, salt), PrefixTree(weighed, similarity), []
+                held.append((tree.add(template.split(" ")), local, int(documents)))
+            yield pd.DataFrame(out, columns=["leaf", "template", "local", "documents"])
+        yield pd.DataFrame(merged(), columns=["leaf", "template", "local", "documents"])
+
+    def merged_by(rows: DataFrame, salt: Column) -> DataFrame:
+        rows = rows.withColumn("salt", salt).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", F.desc("documents"), "template")
+        return rows.mapInPandas(merge, "leaf string, template string, local array<bigint>, documents bigint")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(kind=[shipped.value.verdict(t.split(" ")) for t in batch["template"]])[["local", "template", "kind", "documents"]].astype({"kind": object})
 
-    counted = mined.groupBy("leaf", "local").agg(F.count("*").alias("n"))
-    return counted.groupBy("leaf").applyInPandas(merge, "local string, template string, kind string, n bigint")
+    found = F.col("found")
+    counted = parts.where("template IS NOT NULL").groupBy("leaf", "template").agg(F.sum(found[0]).alias("documents"), F.array(F.min(found[1])).alias("local"))
+    whole = merged_by(merged_by(counted, F.pmod(F.xxhash64("template"), F.lit(SALTS))), F.lit(0).cast("long"))
+    return whole.mapInPandas(judge, "local array<bigint>, template string, kind string, documents bigint")
 
 
 def residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,8 +380,9 @@ def residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Null and empty texts are never found. Repeated rows are cases of their own; extra columns are ignored. Whole texts are read.
     """
-    mined = mined_segments(documents, key, text)
-    verdicts = message_templates(mined).where("kind IS NOT NULL").select("local", "kind")
-    messages = mined.select(key, "local").join(verdicts, "local").select(key, "kind")
+    model = trained(documents, text)
+    parts = mined(documents, model, key, text)
+    verdicts = templates(parts, model, key).where("kind IS NOT NULL").select(F.explode("local").alias("number"), "kind").distinct()
+    held = parts.where(F.col(key).isNotNull()).select(key, F.explode("found").alias("number"))
     slots = documents.where(unresolved_slots(F.col(text))).select(key, F.lit("slot").alias("kind"))
-    return messages.unionByName(slots).distinct()
+    return held.join(verdicts, "number").select(key, "kind").unionByName(slots).distinct()

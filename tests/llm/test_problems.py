@@ -369,10 +369,36 @@ def test_residue(spark):
 
 
 def test_templates_are_judged_once(spark):
-    texts = [f"Error {n} página no encontrada en {w}" for n, w in enumerate(["uno", "dos", "tres", "cuatro"] * 20)]
+    words = ["uno", "dos", "tres", "cuatro"] * 20
+    texts = [f"vendieron la viña de Lope {w} Error {n}: página no encontrada en {w} visor de la casa" for n, w in enumerate(words)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(5)
-    templates = residue.message_templates(residue.mined_segments(df)).select("template", "kind").distinct().collect()
-    assert [(r.template, r.kind) for r in templates] == [("error # pagina no encontrada en *", "error")]
+    model = residue.trained(df)
+    rows = residue.templates(residue.mined(df, model), model).where("kind IS NOT NULL").collect()
+    assert {r.kind for r in rows} == {"error"} and all("pagina no encontrada" in r.template and not r.template.startswith("vendieron") for r in rows)
+    assert len(rows) < 4 and sum(r.documents for r in rows) == 80
+
+
+def test_a_message_in_words_that_no_example_has_is_found_and_genuine_text_is_not():
+    known, _ = residue.labelled()
+    left_out = [m for m in known if {"gateway", "cargar", "forbidden"} & set(m[1])]
+    model = residue.trained_on(GENUINE * 3, [m for m in known if m not in left_out])
+    found = [" ".join(words) for _, words in left_out if model.verdict(words)]
+    assert {"no se ha podido cargar la pagina", "error # gateway timeout"} <= set(found)
+    assert not any(model.verdict(s) for text in GENUINE for s in residue.segments(text))
+
+
+def test_trimming_and_templates_keep_the_verdict():
+    rng = random.Random(4)
+    model = residue.trained_on(GENUINE)
+    known, genuine = residue.labelled()
+    pool = [w for _, words in known for w in words] + [w for words in genuine for w in words]
+    miner = residue.Miner(model)
+    for _ in range(3000):
+        words = [rng.choice(pool) for _ in range(rng.randint(1, 25))]
+        part = miner.trimmed(words)
+        assert model.verdict(words) == (model.verdict(part) if part else None)
+        if part:
+            assert model.verdict(miner.tree.add(part)) == model.verdict(part)
 
 
 # --- all ---------------------------------------------------------------------------------------------------------
