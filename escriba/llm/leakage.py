@@ -1,14 +1,14 @@
 """Problem 7: evaluation passages that occur, whole or in part, in a training corpus.
 
 Each passage gives windows of words at a fixed stride, each document a window at every word. Windows have 128-bit SimHash
-fingerprints; a multi-index over blocks of 16 bits finds every pair within the radius (pigeonhole: of 8 blocks at least one
-differs in no more than radius // 8 bits). Fingerprints lose short pieces with several changed words, so places where three
+fingerprints; a multi-index over blocks finds every pair within the radius (pigeonhole: of BLOCKS blocks at least one
+differs in no more than RADIUS // BLOCKS bits). Fingerprints lose short pieces with several changed words, so places where three
 words in sequence are alike, and enough around them, are candidates as well. Candidates are then checked exactly: the words
 are aligned and the aligned piece must be long enough, close enough word by word, and close enough by its weighted shingles or
 by what its agreeing words say beyond a formula.
 
-The passages are a held-out set of fixed size; their index travels with the task and its size is checked. Documents are
-read once, in place; only found pairs are shuffled.
+The passages are a held-out set; they are taken in blocks of bounded size, whose index travels with the task, and documents are
+read once per block, in place. Only found pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -33,17 +33,19 @@ from escriba.operators.pairs import busy
 WINDOW, STRIDE = 13, 3
 #: Words of a passage, in one piece, that make a leak.
 LEAST_WORDS = 15
-BITS, BLOCKS = 128, 8
+BITS, BLOCKS = 128, 7
 #: Fingerprints that differ in no more bits are candidates.
-RADIUS = 23
+RADIUS = 20
 #: Shares of an aligned piece: of words that agree, and of the weight of its shingles (words and pairs of words) that agree.
 LEAST_AGREEMENT, LEAST_SIMILARITY = 0.75, 0.58
-#: Share of the weight of a passage window's words that a candidate window must hold.
-LEAST_WINDOW = 0.6
-#: Words of all passages; a set beyond it is refused, as it would have to be shipped to every task.
-PASSAGE_LIMIT = 5_000_000
-#: Words whose windows are handled at once.
-CHUNK = 4_000
+#: Words of the passages that are searched for in one go; their index takes some 2 KB a word. More passages take more goes.
+BLOCK_WORDS = 200_000
+#: Words whose windows are handled at once, and pieces that are aligned at once.
+CHUNK, ALIGNED = 4_000, 256
+#: Words that a worker remembers what it found out about.
+MEMORY = 500_000
+#: What a word that doesn't agree costs in the alignment; one that does gains 1.
+PENALTY = 1.5
 #: Words in sequence that every piece shares: of LEAST_WORDS with LEAST_AGREEMENT of them alike, some three in sequence are. Around
 #: them, with words shifted by at most DRIFT, LEAST_NEAR of LEAST_WORDS must be alike before the piece is aligned.
 SEED, DRIFT, LEAST_NEAR = 3, 2, 9
@@ -60,7 +62,7 @@ CHANGE_COST = 3.0
 NEARLY_ALL, LEAST_SAID_NEAR = 14, 6.0
 
 _ODD, _LOOKS = re.compile(NOT_PLAIN.replace(r"\z", r"\Z")), Skeletons()
-_MARKS = re.compile(r"\[[^\[\]]{0,80}\]|\{[^{}]{0,40}\}|<[^<>]{0,40}>")
+_MARKS = re.compile(r"\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-¬=~_⸗‐]+[ \t]*\n?[ \t]*(?:[|/]+ *)?(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 # Old and modern spellings that are written for each other.
@@ -84,20 +86,32 @@ def word_key(word: str) -> str:
         for pattern, by in _SPELLINGS:
             key = pattern.sub(by, key)
         key = key or word
-        if len(_KEYS) > 500_000:
+        if len(_KEYS) > MEMORY:
             _KEYS.clear()
         _KEYS[word] = key
     return key
 
 
+#: Stands between texts that do not follow each other; agrees with nothing.
+GAP = "\0"
+
+
 def words_of(text: str) -> list[str]:
-    """Word keys of a text: marks of the transcription left out, broken words joined, look-alike characters unified."""
+    """Word keys of a text: marks of the transcription left out, broken words joined, look-alike characters unified.
+
+    What is in a mark of LEAST_WORDS words or more comes after the text, apart from it.
+    """
     if _ODD.search(text):
         text = _LOOKS.of(text)
+    inside: list[str] = []
     if "[" in text or "{" in text or "<" in text:
+        inside = [m for m in _MARKS.findall(text) if m.count(" ") + m.count("\n") + 1 >= LEAST_WORDS]
         text = _MARKS.sub(" ", text)
     text = _BROKEN.sub("", text)
-    return [word_key(w) for w in _WORD.findall(text.lower())]
+    words = [word_key(w) for w in _WORD.findall(text.lower())]
+    for mark in inside:
+        words += [GAP, *words_of(mark[1:-1])]
+    return words
 
 
 def _vectors(words: list[str]) -> np.ndarray:
@@ -111,6 +125,26 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
+def _running(rows: np.ndarray, kind: type) -> np.ndarray:
+    """Sums of every LEAST_WORDS numbers in sequence of each row."""
+    sums = np.cumsum(np.pad(rows, ((0, 0), (1, 0))), axis=1, dtype=kind)
+    return sums[:, LEAST_WORDS:] - sums[:, :-LEAST_WORDS]
+
+
+#: Bits of each block of a fingerprint.
+BLOCK_BITS = [BITS // BLOCKS + (b < BITS % BLOCKS) for b in range(BLOCKS)]
+
+
+def _blocks(packed: np.ndarray) -> list[np.ndarray]:
+    """The blocks of packed fingerprints as numbers."""
+    bits = np.unpackbits(packed, axis=1)
+    out, at = [], 0
+    for size in BLOCK_BITS:
+        out.append(bits[:, at : at + size] @ (1 << np.arange(size, dtype=np.int64)))
+        at += size
+    return out
+
+
 class Passages:
     """Index of the passages: fingerprints of their windows in a multi-index, their words, and the weights of shingles."""
 
@@ -118,6 +152,7 @@ class Passages:
         self.window, self.radius = window, radius
         self.words: dict[int, list[str]] = {}
         self._matches: dict[int, ItemWords] = {}
+        self._alike: dict[str, tuple[int, ...]] = {}
         owner: list[int] = []
         start: list[int] = []
         prints: list[np.ndarray] = []
@@ -134,31 +169,20 @@ class Passages:
         self.owner, self.start = np.array(owner, dtype=np.int64), np.array(start, dtype=np.int64)
         packed = np.concatenate(prints) if prints else np.zeros((0, 16), dtype=np.uint8)
         self.prints = packed.view(np.uint64).reshape(-1, 2)
-        blocks = packed.view(np.uint16).reshape(-1, BLOCKS)
-        flips = [0] + [1 << i for i in range(16)]
-        most = radius // BLOCKS
-        for size in range(2, most + 1):
-            flips += [sum(1 << i for i in group) for group in combinations(range(16), size)]
-        if most < 1:
-            flips = [0]
-        masks = np.array(flips, dtype=np.uint16)
         self.tables = []
-        for b in range(BLOCKS):
-            near = (blocks[:, b][:, None] ^ masks[None, :]).ravel()
-            ids = np.repeat(np.arange(len(blocks)), len(masks))
+        most = radius // BLOCKS
+        for b, (values, bits) in enumerate(zip(_blocks(packed), BLOCK_BITS, strict=True)):
+            flips = [sum(1 << i for i in group) for size in range(most + 1) for group in combinations(range(bits), size)]
+            near = (values[:, None] ^ np.array(flips, dtype=np.int64)[None, :]).ravel()
+            ids = np.repeat(np.arange(len(values), dtype=np.int32), len(flips))
             order = np.argsort(near, kind="stable")
-            bounds = np.searchsorted(near[order], np.arange(65537))
-            self.tables.append((bounds.astype(np.int64), ids[order].astype(np.int32)))
+            bounds = np.searchsorted(near[order], np.arange((1 << bits) + 1)).astype(np.int32)
+            self.tables.append((bounds, ids[order]))
         counts = Counter(s for words in self.words.values() for s in set(self._shingles(words)))
         total = max(1, len(self.words))
         self.weights = {s: math.log(1 + total / n) for s, n in counts.items()}
         self.unseen = math.log(1 + total)
         self.ids = {w: i for i, w in enumerate(sorted({w for words in self.words.values() for w in words}), 1)}
-        weights = np.array([0.0, *(self.weights[w] for w in self.ids)])
-        rows_of = [[self.ids[w] for w in self.words[int(o)][int(at) : int(at) + window]] for o, at in zip(self.owner, self.start, strict=True)]
-        self.window_ids = np.array(rows_of, dtype=np.int32).reshape(-1, window)
-        self.window_weights = weights[self.window_ids]
-        self.window_weights /= np.maximum(self.window_weights.sum(axis=1, keepdims=True), 1e-9)
         self._index_runs()
 
     def _index_runs(self) -> None:
@@ -168,9 +192,10 @@ class Passages:
         for item, words in self.words.items():
             self.begins[item] = len(line)
             line += [*(self.ids[w] for w in words), *apart]
-        self.line = np.array(line, dtype=np.int64)
+        self.line = np.array(line, dtype=np.int32)
         self.line_items = np.array(list(self.begins), dtype=np.int64)
         self.line_begins = np.array(list(self.begins.values()), dtype=np.int64)
+        self.window_places = np.array([self.begins[int(o)] + int(at) for o, at in zip(self.owner, self.start, strict=True)], dtype=np.int64)
         self.known_words = ItemWords(list(self.ids))
         self.many = len(self.ids) + 1
         if self.many**SEED >= 1 << 63:
@@ -187,7 +212,7 @@ class Passages:
         foretold = lambda n, of, w: -math.log((n - 1 + BACKOFF * singles[w] / total) / (singles[of] - 1 + BACKOFF))
         #: How much a word says where it stands: little if the word before or after it foretells it, as in a formula.
         self.told = {p: foretold(n, p[0], p[1]) for p, n in pairs.items()}, {p: foretold(n, p[1], p[0]) for p, n in pairs.items()}
-        self.line_rarity = np.zeros(len(self.line))
+        self.line_rarity = np.zeros(len(self.line), dtype=np.float32)
         for item, begin in self.begins.items():
             self.line_rarity[begin : begin + len(self.words[item])] = self.rarity(self.words[item])
 
@@ -210,15 +235,30 @@ class Passages:
             out.append(min(said))
         return out
 
-    def runs_shared(self, words: list[str], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the text, place in the line of passages) where SEED words in sequence are alike and enough of those around them.
+    def alike(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the passages' words that each of the words is alike, one after another; how many each has)."""
+        known = self._alike
+        if len(known) > MEMORY:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = tuple(n + 1 for n in sorted(self.known_words.of(w)))
+        found = [known[w] for w in words]
+        return np.fromiter(chain.from_iterable(found), dtype=np.int64), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+
+    @staticmethod
+    def layers(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The same as one row per first, second and further number; -1 where a word has no more."""
+        out = np.full((max(1, int(counts.max(initial=1))), len(counts)), -1, dtype=np.int32)
+        out[np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts), np.repeat(np.arange(len(counts)), counts)] = flat
+        return out
+
+    def runs_shared(self, flat: np.ndarray, counts: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the text, place in the line of passages) where SEED words in sequence are alike.
 
-        index has the number in words of each word of the text. Of hits that follow each other only the first is given.
+        index has the number of each word of the text among those that alike() was given.
         """
-        alike = [np.array(sorted(self.known_words.of(w)), dtype=np.int64) + 1 for w in words]
-        counts = np.array([len(a) for a in alike])
         first = np.cumsum(counts) - counts
-        flat = np.concatenate(alike) if alike else np.zeros(0, dtype=np.int64)
         per_place = counts[index]
         size = len(index) - SEED + 1
         many = np.ones(max(0, size), dtype=np.int64)
@@ -235,30 +275,40 @@ class Passages:
         found = np.searchsorted(self.runs, keys, "right") - low
         begin = np.repeat(low - (np.cumsum(found) - found), found)
         a, b = np.repeat(at, found), self.run_places[begin + np.arange(int(found.sum()))]
-        pairs = np.unique(a << 32 | b)
-        pairs = pairs[~np.isin(pairs, pairs + ((1 << 32) + 1))]
-        a, b = pairs >> 32, pairs & 0xFFFFFFFF
-        known = np.unique(np.repeat(np.arange(len(words)), counts) * self.many + flat)
+        return a, b
+
+    def enough(self, a: np.ndarray, b: np.ndarray, layers: np.ndarray) -> np.ndarray:
+        """Whether enough of the words around place a of the text and place b of the passages are alike to align them."""
+        reach = np.arange(1 - LEAST_WORDS, LEAST_WORDS + SEED - 1)
         good = np.zeros(len(a), dtype=bool)
         for start in range(0, len(a), CHUNK):
             part = slice(start, start + CHUNK)
-            reach = np.arange(1 - LEAST_WORDS, LEAST_WORDS + SEED - 1)
             there = a[part][:, None] + reach
-            inside = (there >= 0) & (there < len(index))
-            word = index[np.clip(there, 0, len(index) - 1)] * self.many
-            held, told = np.zeros(there.shape, dtype=bool), np.zeros(there.shape)
+            inside = (there >= 0) & (there < layers.shape[1])
+            own = layers[:, np.clip(there, 0, layers.shape[1] - 1)]
+            own[:, ~inside] = -1
+            dense = [v for v in range(1, len(own)) if (layers[v] > 0).mean() > 0.2]
+            deep = [(np.flatnonzero(own[v] > 0), own[v].ravel()) for v in range(1, len(own)) if v not in dense]
+            deep = [(cells, values[cells]) for cells, values in deep if len(cells)]
+            held = np.zeros(there.shape, dtype=bool)
+            agreeing = []
             for shift in range(-DRIFT, DRIFT + 1):
-                beside = b[part][:, None] + reach + shift
-                other = self.line[beside]
-                key = word + other
-                agrees = (known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key) & (other > 0) & inside
+                other = self.line[b[part][:, None] + reach + shift]
+                agrees = own[0] == other
+                for v in dense:
+                    agrees |= own[v] == other
+                for cells, values in deep:
+                    agrees.ravel()[cells] |= values == other.ravel()[cells]
                 held |= agrees
-                np.maximum(told, agrees * self.line_rarity[beside], out=told)
-            told -= np.where(held, 0.0, self.line_rarity[b[part][:, None] + reach])
-            near, said = (np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1) for x in (held, told))
-            near, said = (x[:, LEAST_WORDS:] - x[:, :-LEAST_WORDS] for x in (near, said))
-            good[part] = ((near >= NEARLY_ALL) | (near >= LEAST_NEAR) & (said >= LEAST_SAID_NEAR)).any(axis=1)
-        return a[good], b[good]
+                agreeing.append(agrees)
+            near = _running(held, np.int8)
+            some = np.flatnonzero((near >= LEAST_NEAR).any(axis=1))  # only of these it matters what the words say
+            told = np.zeros((len(some), len(reach)), dtype=np.float32)
+            for shift, agrees in enumerate(agreeing, -DRIFT):
+                np.maximum(told, agrees[some] * self.line_rarity[b[part][some, None] + reach + shift], out=told)
+            told -= np.where(held[some], 0, self.line_rarity[b[part][some, None] + reach])
+            good[start + some] = ((near[some] >= NEARLY_ALL) | (near[some] >= LEAST_NEAR) & (_running(told, np.float32) >= LEAST_SAID_NEAR)).any(axis=1)
+        return good
 
     def matches(self, item: int) -> ItemWords:
         """The passage as the alignment wants it."""
@@ -290,13 +340,13 @@ class Passages:
     def near(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, passage window) of every pair within the radius."""
         packed = _pack(sums)
-        wide, blocks = packed.view(np.uint64).reshape(-1, 2), packed.view(np.uint16).reshape(-1, BLOCKS)
+        wide = packed.view(np.uint64).reshape(-1, 2)
         left, right = np.ascontiguousarray(wide[:, 0]), np.ascontiguousarray(wide[:, 1])
         own_left, own_right = np.ascontiguousarray(self.prints[:, 0]), np.ascontiguousarray(self.prints[:, 1])
         found_a, found_b = [], []
-        for b, (bounds, ids) in enumerate(self.tables):
-            low = bounds[blocks[:, b]]
-            count = bounds[blocks[:, b].astype(np.int64) + 1] - low
+        for values, (bounds, ids) in zip(_blocks(packed), self.tables, strict=True):
+            low = bounds[values]
+            count = bounds[values + 1] - low
             total = int(count.sum())
             if not total:
                 continue
@@ -315,15 +365,6 @@ class Passages:
         pairs = np.unique(np.concatenate(found_a).astype(np.int64) << 32 | np.concatenate(found_b))
         return pairs >> 32, pairs & 0xFFFFFFFF
 
-    def share(self, ids: np.ndarray, other: np.ndarray) -> np.ndarray:
-        """Of each passage window, the share of its words' weight that the window with these word ids holds."""
-        out = np.empty(len(other))
-        for begin in range(0, len(other), CHUNK):
-            part = slice(begin, begin + CHUNK)
-            held = (ids[part][:, :, None] == self.window_ids[other[part]][:, None, :]).any(axis=1)
-            out[part] = (held * self.window_weights[other[part]]).sum(axis=1)
-        return out
-
     def candidates(self, texts: list[list[str]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
         """(text, item) -> places (word of the text, word of the item) of windows within the radius."""
         found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
@@ -345,38 +386,64 @@ class Passages:
         rows = [known.setdefault(w, len(known)) for i in batch for w in texts[i]]
         vectors = _vectors(list(known))
         index = np.array(rows)
-        ids = np.array([self.ids.get(w, 0) for w in known], dtype=np.int32)[index]
+        words = list(known)
         lengths = np.array([len(texts[i]) for i in batch])
         ends = np.cumsum(lengths)
-        for begin in range(0, len(index), CHUNK):  # one very long text is taken in overlapping parts
-            stop = min(len(index), begin + CHUNK + self.window - 1)
-            if stop - begin < self.window:
-                break
-            running = np.zeros((stop - begin + 1, BITS), dtype=np.int32)
-            np.cumsum(vectors[index[begin:stop]], axis=0, out=running[1:])
-            sums = running[self.window :] - running[: -self.window]
-            place = np.arange(len(sums)) + begin
-            which = np.searchsorted(ends, place, "right")
-            inside = place + self.window <= ends[which]
-            a, b = self.near(sums[inside])
-            place, which = place[inside], which[inside]
-            good = self.share(ids[place[a][:, None] + np.arange(self.window)], b) >= LEAST_WINDOW
-            a, b = a[good], b[good]
-            for p, w, o in zip(place[a], which[a], b, strict=True):
-                start = int(ends[w] - lengths[w])
-                found[batch[int(w)], int(self.owner[o])].append((int(p) - start, int(self.start[o])))
-        words = list(known)
         overlap = 2 * LEAST_WORDS
-        for begin in range(0, len(index), CHUNK):
+        for begin in range(0, len(index), CHUNK):  # one very long text is taken in overlapping parts
             low, high = max(0, begin - overlap), min(len(index), begin + CHUNK + overlap)
+            if high - low < self.window:
+                break
             here, place = np.unique(index[low:high], return_inverse=True)
-            a, b = self.runs_shared([words[k] for k in here], place)
-            a += low
-            w, o = np.searchsorted(ends, a, "right"), np.searchsorted(self.line_begins, b, "right") - 1
-            inside = a + SEED <= ends[w]
-            for p, w, o, q in zip(a[inside], w[inside], o[inside], b[inside], strict=True):
-                start = int(ends[w] - lengths[w])
-                found[batch[int(w)], int(self.line_items[o])].append((int(p) - start, int(q - self.line_begins[o])))
+            running = np.zeros((high - low + 1, BITS), dtype=np.int32)
+            np.cumsum(vectors[index[low:high]], axis=0, out=running[1:])
+            a, w = self.near(running[self.window :] - running[: -self.window])
+            flat, counts = self.alike([words[k] for k in here])
+            c, d = self.runs_shared(flat, counts, place)
+            pairs = np.unique(np.concatenate([a << 32 | self.window_places[w], c << 32 | d]))
+            pairs = pairs[~np.isin(pairs, pairs + ((1 << 32) + 1))]  # of hits that follow each other only the first
+            a, b = pairs >> 32, pairs & 0xFFFFFFFF
+            good = self.enough(a, b, self.layers(flat, counts)[:, place])
+            a, b = a[good] + low, b[good]
+            t, o = np.searchsorted(ends, a, "right"), np.searchsorted(self.line_begins, b, "right") - 1
+            for p, text, item, q in zip(a, t, o, b, strict=True):
+                found[batch[int(text)], int(self.line_items[item])].append((int(p - ends[text] + lengths[text]), int(q - self.line_begins[item])))
+
+    def align_many(self, pieces: list[tuple[list[str], int]]) -> list[tuple[int, int, int, int, int]]:
+        """Best local alignment (text start, text end, item start, item end, words that agree) of each text with its item."""
+        out: list[tuple[int, int, int, int, int]] = [(0, 0, 0, 0, 0)] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda k: len(pieces[k][0]))  # texts of about one length at a time
+        for begin in range(0, len(order), ALIGNED):
+            some = order[begin : begin + ALIGNED]
+            for k, found in zip(some, self._align([pieces[k] for k in some]), strict=True):
+                out[k] = found
+        return out
+
+    def _align(self, pieces: list[tuple[list[str], int]]) -> list[tuple[int, int, int, int, int]]:
+        high, wide, many = max(len(t) for t, _ in pieces), max(len(self.words[i]) for _, i in pieces), len(pieces)
+        agrees = np.zeros((high, many, wide), dtype=bool)
+        for k, (text, item) in enumerate(pieces):
+            own = self.layers(*self.alike(text))
+            at = self.begins[item]
+            agrees[: len(text), k, : len(self.words[item])] = (own[:, :, None] == self.line[at : at + len(self.words[item])]).any(axis=0)
+        scores = np.zeros((high + 1, many, wide + 1), dtype=np.float32)
+        slope = np.arange(wide, dtype=np.float32) * PENALTY
+        for i in range(high):
+            row = scores[i, :, :-1] + np.where(agrees[i], np.float32(1), np.float32(-PENALTY))
+            np.maximum(row, scores[i, :, 1:] - np.float32(PENALTY), out=row)
+            np.maximum(row, 0, out=row)
+            scores[i + 1, :, 1:] = np.maximum.accumulate(row + slope, axis=1) - slope
+        flat = scores.transpose(1, 0, 2).reshape(many, -1).argmax(axis=1)
+        i, j = flat // (wide + 1), flat % (wide + 1)
+        last_i, last_j, hits, rows = i.copy(), j.copy(), np.zeros(many, dtype=np.int64), np.arange(many)
+        while (open_ := scores[i, rows, j] > 0).any():  # back to where each begins, all in step
+            now, beside = scores[i, rows, j], scores[i - 1, rows, j - 1]
+            same = open_ & agrees[i - 1, rows, j - 1] & (now == beside + 1)
+            across = same | open_ & ~agrees[i - 1, rows, j - 1] & (now == beside - PENALTY)
+            up = open_ & ~across & (now == scores[i - 1, rows, j] - PENALTY)
+            hits += same
+            i, j = i - (across | up), j - (across | open_ & ~up & ~across)
+        return [tuple(int(x) for x in one) for one in zip(i, last_i, j, last_j, hits, strict=True)]
 
 
 def _alike(a: str, b: str) -> bool:
@@ -413,46 +480,15 @@ class ItemWords:
     def of(self, word: str) -> frozenset[int]:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > MEMORY:
                 self.known.clear()
             near = {j for form in _shortened(word) for j in self.places.get(form, ())}
             found = self.known[word] = frozenset(j for j in near if _alike(word, self.item[j]))
         return found
 
 
-def align(text: list[str], item: ItemWords, reward: float = 1.0, penalty: float = 1.5) -> tuple[int, int, int, int, int]:
-    """Best local alignment (text start, text end, item start, item end, words that agree)."""
-    width = len(item.item)
-    score = [0.0] * (width + 1)
-    origin: list[tuple[int, int, int]] = [(0, j, 0) for j in range(width + 1)]
-    best = (0.0, 0, 0, 0, 0, 0)
-    for i, word in enumerate(text, 1):
-        agree = item.of(word)
-        last, last_origin = score[0], origin[0]
-        score[0], origin[0] = 0.0, (i, 0, 0)
-        beside = 0.0
-        for j in range(1, width + 1):
-            above = score[j]
-            if j - 1 in agree:
-                value, source = last + reward, (last_origin[0], last_origin[1], last_origin[2] + 1)
-            else:
-                value, source = last - penalty, last_origin
-            if above - penalty > value:
-                value, source = above - penalty, origin[j]
-            if beside - penalty > value:
-                value, source = beside - penalty, origin[j - 1]
-            if value <= 0:
-                value, source = 0.0, (i, j, 0)
-            last, last_origin = above, origin[j]
-            score[j], origin[j] = value, source
-            beside = value
-            if value > best[0]:
-                best = (value, source[0], i, source[1], j, source[2])
-    return best[1:]
-
-
 def extended(text: list[str], item: ItemWords, piece: tuple[int, int, int, int, int]) -> tuple[int, int, int, int, int]:
-    """The piece that align() gave, whose ends are taken on past changed words, to a word that agrees.
+    """The piece that was aligned, whose ends are taken on past changed words, to a word that agrees.
 
     What the agreeing words of such an end say must outweigh its changed words, and the whole must keep to LEAST_AGREEMENT.
     """
@@ -500,45 +536,52 @@ def _as_item(text: list[str], item: ItemWords, begin: int, end: int) -> list[str
     return out
 
 
-def verify(text: list[str], item: ItemWords, places: list[tuple[int, int]], passages: Passages, slack: int = 25) -> tuple[int, float] | None:
-    """(words of the item in the piece, similarity) if the text holds the item, or enough of it in one piece."""
-    best: tuple[int, float] | None = None
-    needed = min(LEAST_WORDS, len(item.item))
-    done: list[tuple[int, int]] = []
-    for at, start in sorted(places):
-        if any(a <= at and at + SEED <= b for a, b in done):
-            continue
-        parts = [(max(0, at - start - slack), min(len(text), at - start + len(item.item) + slack))]
-        done += parts
-        while parts:
-            low, high = parts.pop()
-            if high - low < needed or not any(low <= p and p + SEED <= high for p, _ in places):
-                continue
-            core = align(text[low:high], item)
+def verify(texts: list[list[str]], places: dict[tuple[int, int], list[tuple[int, int]]], passages: Passages, slack: int = 25) -> dict[tuple[int, int], tuple[int, float]]:
+    """(text, item) -> (words of the item in the piece, similarity) where the text holds the item, or enough of it in one piece."""
+    best: dict[tuple[int, int], tuple[int, float]] = {}
+    work: list[tuple[int, int, int, int]] = []
+    for (t, item), found in places.items():
+        done: list[tuple[int, int]] = []
+        for at, start in sorted(found):
+            if not any(a <= at and at + SEED <= b for a, b in done):
+                done.append((max(0, at - start - slack), min(len(texts[t]), at - start + len(passages.words[item]) + slack)))
+        work += [(t, item, *part) for part in done]
+    while work:
+        needed = [min(LEAST_WORDS, len(passages.words[item])) for _, item, _, _ in work]
+        work = [w for w, n in zip(work, needed, strict=True) if w[3] - w[2] >= n and any(w[2] <= p and p + SEED <= w[3] for p, _ in places[w[0], w[1]])]
+        rest: list[tuple[int, int, int, int]] = []
+        for (t, item, low, high), core in zip(work, passages.align_many([(texts[t][low:high], item) for t, item, low, high in work]), strict=True):
             if core[4] < SEED:
                 continue
-            for a, b, c, d, agree in dict.fromkeys((extended(text[low:high], item, core), core)):
+            part, own = texts[t][low:high], passages.matches(item)
+            for a, b, c, d, agree in dict.fromkeys((extended(part, own, core), core)):
                 span = d - c
-                if span < needed or agree < LEAST_AGREEMENT * max(span, b - a):
+                if span < min(LEAST_WORDS, len(own.item)) or agree < LEAST_AGREEMENT * max(span, b - a):
                     continue
-                piece = text[low + a : low + b]
-                close = passages.similarity(_as_item(piece, item, c, d), item.item[c:d])
-                if close >= LEAST_SIMILARITY or said(piece, item, c, d) >= LEAST_SAID:
-                    if best is None or span > best[0]:
-                        best = (span, close)
+                close = passages.similarity(_as_item(part[a:b], own, c, d), own.item[c:d])
+                if close >= LEAST_SIMILARITY or said(part[a:b], own, c, d) >= LEAST_SAID:
+                    if span > best.get((t, item), (0, 0.0))[0]:
+                        best[t, item] = (span, close)
                     break
             else:  # the best piece is none: another may stand beside it
-                parts += [(low, low + core[0]), (low + core[1], high)]
+                rest += [(t, item, low, low + core[0]), (t, item, low + core[1], high)]
+        work = rest
     return best
 
 
-def read_passages(passages: DataFrame, item: str = "item_id", text: str = "text") -> list[tuple[int, str]]:
-    """The passages with text; refuses a set beyond PASSAGE_LIMIT words."""
+def read_passages(passages: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[list[tuple[int, str]]]:
+    """The passages with text in blocks of about BLOCK_WORDS words, in the order of their ids; one block at a time is read."""
     rows = passages.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(item).cast("long").alias("item"), F.col(text).alias("text"))
-    size = rows.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    if size > 6 * PASSAGE_LIMIT:
-        raise ValueError(f"the passages hold more than {PASSAGE_LIMIT} words")
-    return [(r.item, r.text) for r in rows.collect()]
+    block: list[tuple[int, str]] = []
+    size = 0
+    for r in rows.orderBy("item", "text").toLocalIterator():
+        block.append((r.item, r.text))
+        size += r.text.count(" ") + 1
+        if size >= BLOCK_WORDS:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
 def leaked_passages(documents: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -547,21 +590,21 @@ def leaked_passages(documents: DataFrame, passages: DataFrame, key: str = "doc_i
     Null and empty texts hold none; passages shorter than a window are looked for in no document. Documents that repeat are
     found each. Whole texts are read, however long; extra columns are ignored.
     """
-    rows = read_passages(passages)
-    shared = documents.sparkSession.sparkContext.broadcast(rows)  # bounded by PASSAGE_LIMIT
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Passages(shared.value)
-        for batch in batches:
-            keys = list(batch[key])
-            texts = [words_of(t) for t in batch[text]]
-            out = []
-            for (i, item), places in index.candidates(texts).items():
-                held = verify(texts[i], index.matches(item), places, index)
-                if held:
-                    out.append((item, keys[i], held[0], held[1]))
-            yield pd.DataFrame(out, columns=["item_id", key, "words", "similarity"])
-
     kind = dict(documents.dtypes)[key]
-    with_text = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, text)
-    return busy(with_text).mapInPandas(search, f"item_id bigint, {key} {kind}, words int, similarity double")
+    schema = f"item_id bigint, {key} {kind}, words int, similarity double"
+    with_text = busy(documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, text))
+    out = None
+    for block in read_passages(passages):
+        shared = documents.sparkSession.sparkContext.broadcast(block)  # bounded by BLOCK_WORDS
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            index = Passages(shared.value)
+            for batch in batches:
+                keys = list(batch[key])
+                texts = [words_of(t) for t in batch[text]]
+                found = verify(texts, index.candidates(texts), index)
+                yield pd.DataFrame([(item, keys[i], words, close) for (i, item), (words, close) in found.items()], columns=["item_id", key, "words", "similarity"])
+
+        one = with_text.mapInPandas(search, schema)
+        out = one if out is None else out.unionByName(one)
+    return documents.sparkSession.createDataFrame([], schema) if out is None else out

@@ -317,7 +317,7 @@ def test_a_text_longer_than_a_chunk(corpus_words):
     long = [rng.choice(corpus_words) for _ in range(leakage.CHUNK - 20)]
     text = [leakage.word_key(w) for w in [*long, *item, *long]]
     places = index.candidates([["x"] * 30, text])[1, 1]
-    assert leakage.verify(text, index.matches(1), places, index)[0] == 40
+    assert leakage.verify([text], {(0, 1): places}, index)[0, 1][0] == 40
 
 
 def test_short_pieces_with_changed_words(corpus_words):
@@ -333,7 +333,7 @@ def test_short_pieces_with_changed_words(corpus_words):
         text = [rng.choice(corpus_words) + "zz" for _ in range(25)]
         text = [*text[:12], *piece, *text[12:]]
         places = index.candidates([text]).get((0, item))
-        return places is not None and leakage.verify(text, index.matches(item), places, index) is not None
+        return places is not None and (0, item) in leakage.verify([text], {(0, item): places}, index)
 
     for item in items:
         for size, changed in ((15, (1, 13)), (15, (4, 8, 11)), (15, (1, 7, 13)), (17, (1, 5, 9, 15)), (20, (3, 7, 11, 15, 17))):
