@@ -1,15 +1,19 @@
 """Problem 1: a sample of documents whose shares by cell meet given targets.
 
-Rows become (cell, document) pairs once; every later step works on counts per cell and per slice of the unit
-interval, so a cell that holds a third of all documents is never gathered in one task.
+Rows become (document, cells) once. Documents with the same set of cells form a stratum; how many documents each stratum gives
+to each cell is a flow over the counts, such that no cell lacks documents that it could have. Each document is
+accepted independently with its stratum's probability, raised a little; counts are corrected exactly afterwards, from counts
+per slice of the unit interval, so a stratum that holds a third of all documents is never gathered in one task.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from escriba.llm.shared import unit_interval
+from escriba.llm.shared import cut, unit_interval
 
 #: One document of so many is wanted in the sample.
 DEFAULT_FRACTION_DIVISOR = 5
@@ -18,6 +22,9 @@ DEFAULT_OVERSAMPLING = 0.1
 #: Slices of the unit interval that are counted per cell; only the slice holding the cut is ranked.
 DEFAULT_SLICES = 4096
 
+#: Wanted cells beyond which a target table is refused: what strata give to cells is found on the driver.
+CELL_LIMIT = 100_000
+
 CENTURIES = ("XV", "XVI", "XVII")
 
 
@@ -78,6 +85,57 @@ def unmet_cells(manifest: DataFrame, targets: DataFrame, divisor: int = DEFAULT_
     return cell_needs(manifest, targets, members, divisor).where("deficit > 0")
 
 
+def quotas(needs: dict[str, int], strata: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], dict[str, int]]:
+    """How many documents each stratum (a set of cells, and how many documents have just these) gives to each of its cells.
+
+    Cells are first filled in proportion to the strata that have them. Then further documents are found along augmenting paths (a
+    stratum gives one cell more, for which another stratum takes over elsewhere) until none is left: a largest flow.
+    """
+    given: dict[tuple[str, ...], dict[str, int]] = {s: dict.fromkeys(s, 0) for s in strata}
+    left = dict(strata)
+    lack = dict(needs)
+    have: dict[str, list[tuple[str, ...]]] = {c: [] for c in needs}
+    for s in sorted(strata):
+        for c in s:
+            have[c].append(s)
+    for c in sorted(needs, key=lambda c: (sum(strata[s] for s in have[c]) / max(1, needs[c]), c)):  # scarce cells first
+        free = sum(left[s] for s in have[c])
+        wanted = min(free, lack[c])
+        for s in have[c]:
+            n = min(left[s], wanted * left[s] // free if free else 0)
+            given[s][c], left[s], lack[c] = n, left[s] - n, lack[c] - n
+    for c in sorted(needs):
+        while lack[c]:
+            came: dict[str, tuple[str, tuple[str, ...]] | None] = {c: None}
+            queue, source = deque([c]), None
+            while queue and source is None:
+                cell = queue.popleft()
+                for s in have[cell]:
+                    if left[s]:
+                        source = (cell, s)
+                        break
+                    for other in s:  # s gives to another cell what this one could have, if that finds a replacement
+                        if other not in came and given[s][other]:
+                            came[other] = (cell, s)
+                            queue.append(other)
+            if source is None:
+                break
+            cell, s = source
+            path = []
+            at = cell
+            while (step := came[at]) is not None:
+                path.append((at, *step))
+                at = step[0]
+            amount = min([left[s], lack[c], *(given[via][frm] for frm, _, via in path)])
+            left[s] -= amount
+            given[s][cell] += amount
+            for frm, to, via in path:
+                given[via][frm] -= amount
+                given[via][to] += amount
+            lack[c] -= amount
+    return given
+
+
 def proportional_sample(
     manifest: DataFrame,
     targets: DataFrame,
@@ -86,56 +144,61 @@ def proportional_sample(
     slices: int = DEFAULT_SLICES,
     seed: int = 42,
 ) -> DataFrame:
-    """Draw documents so that each cell holds exactly min(needed, available) of them.
+    """Draw documents for the cells; each document serves one cell, and as many needs are met as can be met at once.
 
-    A document in several cells is drawn for the scarcest only (least available for its need, then by name). Each
-    (cell, document) is accepted with probability needed / available, raised by ``oversampling``; then counts are
-    corrected exactly: of too many accepted, those with the largest draw go; of too few, the next draws come in. As the
-    draw is one number per document, both corrections are a cut in the order of draws, found from counts per slice of the
-    unit interval; only the slice with the cut is ranked.
+    Each stratum's documents are accepted with probability wanted / observed, raised by ``oversampling``. Where fewer than wanted
+    were accepted the rest of the stratum is let in as well; then those with the smallest draws are kept, as many as wanted,
+    and dealt to the cells. The draw is a hash of the document, so that a retried task draws it again.
 
-    Nulls: no case. Repeated rows count once. An empty manifest gives an empty sample. Extra columns are ignored.
+    Nulls: no case. Repeated rows count once, cells that ``targets`` repeats have the greatest need given. An empty manifest gives an
+    empty sample. Extra columns are ignored.
     Columns: siglo, letra_normalized, doc_id, accepted_at_first (false for a document that came in by correction).
     """
+    spark = manifest.sparkSession
     members = cell_members(manifest, targets)
-    needs = cell_needs(manifest, targets, members, divisor)
-    scarcity = needs.select(
-        "siglo", "letra_normalized", (F.col("available") / F.greatest("needed", F.lit(1))).alias("supply")
-    )
-    home = (
-        members.join(F.broadcast(scarcity), ["siglo", "letra_normalized"])  # as many rows as targets has
-        .groupBy("doc_id")
-        .agg(F.min(F.struct("supply", "siglo", "letra_normalized")).alias("cell"))
-        .select("doc_id", "cell.siglo", "cell.letra_normalized")
-        .withColumn("draw", unit_interval("doc_id", seed=seed))
-        .withColumn("slice", F.floor(F.col("draw") * slices).cast("int"))
-    )
-    counts = home.groupBy("siglo", "letra_normalized", "slice").agg(F.count("*").alias("in_slice"))
-    running = Window.partitionBy("siglo", "letra_normalized").orderBy("slice")  # at most `slices` rows a cell
-    cuts = (
-        counts.withColumn("before", F.sum("in_slice").over(running) - F.col("in_slice"))
-        .withColumn("own", F.sum("in_slice").over(Window.partitionBy("siglo", "letra_normalized")))
-        .join(F.broadcast(needs.select("siglo", "letra_normalized", "needed")), ["siglo", "letra_normalized"])
-        .where("before < needed")
-        .select("siglo", "letra_normalized", "slice", "before", "in_slice", "needed", "own")
-    )
-    kept = home.join(cuts, ["siglo", "letra_normalized", "slice"])
-    chance = F.least(F.lit(1.0), F.col("needed") * F.lit(1 + oversampling) / F.greatest("own", F.lit(1)))
-    kept = kept.withColumn("accepted_at_first", F.col("draw") < chance)
-    whole = kept.where("before + in_slice <= needed")
-    edge = Window.partitionBy("siglo", "letra_normalized", "slice").orderBy("draw", "doc_id")
-    part = kept.where("before + in_slice > needed").withColumn("rank", F.row_number().over(edge)).where("before + rank <= needed")
-    columns = ["siglo", "letra_normalized", "doc_id", "accepted_at_first"]
-    return whole.select(*columns).unionByName(part.select(*columns))
+    cell = F.to_json(F.struct("siglo", "letra_normalized"))
+    docs = cut(members.groupBy("doc_id").agg(F.sort_array(F.collect_set(cell)).alias("cells")).withColumn("draw", unit_interval("doc_id", seed=seed)))
+    rows = cell_needs(manifest, targets, members, divisor).groupBy(cell.alias("cell")).agg(F.max("needed").alias("needed")).limit(CELL_LIMIT + 1).collect()
+    if len(rows) > CELL_LIMIT:
+        raise ValueError(f"more than {CELL_LIMIT} cells are wanted")
+    strata = {tuple(r.cells): r.n for r in docs.groupBy("cells").agg(F.count("*").alias("n")).collect()}  # one row per set of wanted cells
+    dealt, shares = [], []
+    for s, given in quotas({r.cell: r.needed for r in rows}, strata).items():
+        total = sum(given.values())
+        if total:
+            shares.append((list(s), total, min(1.0, total * (1 + oversampling) / strata[s])))
+            reached = 0
+            for c, n in sorted(given.items()):
+                if n:
+                    dealt.append((list(s), c, reached, reached + n))
+                    reached += n
+    wanted = spark.createDataFrame(shares, "cells array<string>, total long, chance double")
+    ranges = spark.createDataFrame(dealt, "cells array<string>, cell string, above long, upto long")
+    home = docs.join(F.broadcast(wanted), "cells")  # one row per stratum
+    first = home.where("draw < chance").groupBy("cells").agg(F.count("*").alias("accepted"))
+    home = home.join(F.broadcast(first), "cells", "left")  # one row per stratum
+    enough = F.coalesce("accepted", F.lit(0)) >= F.col("total")
+    pool = home.where(~enough | (F.col("draw") < F.col("chance"))).withColumn("slice", F.floor(F.col("draw") * slices).cast("int"))
+    counts = pool.groupBy("cells", "slice").agg(F.count("*").alias("in_slice"))
+    running = Window.partitionBy("cells").orderBy("slice")  # at most `slices` rows a stratum
+    counts = counts.withColumn("before", F.sum("in_slice").over(running) - F.col("in_slice")).select("cells", "slice", "before")
+    inside = Window.partitionBy("cells", "slice").orderBy("draw", "doc_id")
+    ranked = pool.join(counts, ["cells", "slice"]).where("before < total").withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
+    kept = ranked.where("rank < total").join(F.broadcast(ranges), "cells").where("rank >= above AND rank < upto")  # one row per stratum and cell
+    name = F.from_json("cell", "siglo string, letra_normalized string")
+    return kept.select(name["siglo"].alias("siglo"), name["letra_normalized"].alias("letra_normalized"), "doc_id", (F.col("draw") < F.col("chance")).alias("accepted_at_first"))
 
 
 def sample_report(manifest: DataFrame, targets: DataFrame, **options) -> DataFrame:
-    """Per cell: wanted, available, drawn, and what the sample lacks (``short``)."""
+    """Per cell: wanted, available, drawn, and what the sample lacks (``short``).
+
+    A cell is short where it has fewer documents than it needs (``deficit``), or shares them with cells that need them as well.
+    """
     divisor = options.get("divisor", DEFAULT_FRACTION_DIVISOR)
     drawn = proportional_sample(manifest, targets, **options).groupBy("siglo", "letra_normalized").agg(F.count("*").alias("drawn"))
     needs = cell_needs(manifest, targets, cell_members(manifest, targets), divisor)
     return (
         needs.join(drawn, ["siglo", "letra_normalized"], "left")
         .withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("long")))
-        .withColumn("short", F.col("needed") - F.col("drawn"))
+        .withColumn("short", F.greatest(F.col("needed") - F.col("drawn"), F.lit(0).cast("long")))
     )

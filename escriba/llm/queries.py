@@ -14,9 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells of the wanted sample that cannot be met."""
+    """Cells that the sample leaves short because they have fewer documents than they need."""
     report = proportions.sample_report(table(spark, folder, "manifest"), table(spark, folder, "letra_target"))
-    return report.where("deficit > 0").select("siglo", "letra_normalized")
+    return report.where("drawn < needed AND available < needed").select("siglo", "letra_normalized")
 
 
 def p1_sample(spark: SparkSession, folder: str) -> DataFrame:

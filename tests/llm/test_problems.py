@@ -56,6 +56,34 @@ def test_proportions(spark, manifest, targets):
     assert proportions.unmet_cells(manifest.limit(0), targets).count() == 4 - sum(1 for t in targets.collect() if t.min_docs == 0)
 
 
+def test_a_cell_gets_what_another_can_do_without(spark):
+    rows = [(f"d{i}", "XV", "procesal") for i in range(10)] + [(f"d{i}", "XV", "grifa") for i in range(11)]
+    manifest = spark.createDataFrame(rows, "doc_id string, siglo string, letra_normalized string")
+    targets = spark.createDataFrame([("XV", "procesal", 0, 5), ("XV", "grifa", 0, 5)], "siglo string, letra_normalized string, target_permille int, min_docs int")
+    assert {(r.drawn, r.short, r.deficit) for r in proportions.sample_report(manifest, targets).collect()} == {(5, 0, 0)}
+    every = spark.createDataFrame([("XV", "procesal", 0, 8), ("XV", "grifa", 0, 8)], targets.schema)
+    report = proportions.sample_report(manifest, every).collect()
+    assert sum(r.drawn for r in report) == 11 and all(r.deficit == 0 for r in report)
+
+
+def test_quotas_meet_as_many_needs_as_a_matching():
+    rng = random.Random(20)
+    for _ in range(300):
+        cells = "abcd"[: rng.randint(1, 4)]
+        needs = {c: rng.randint(0, 4) for c in cells}
+        strata = {}
+        for _ in range(rng.randint(0, 4)):
+            strata[tuple(sorted(rng.sample(cells, rng.randint(1, len(cells)))))] = rng.randint(1, 4)
+        given = proportions.quotas(needs, strata)
+        assert all(0 <= n for g in given.values() for n in g.values()) and all(sum(given[s].values()) <= n for s, n in strata.items())
+        got = {c: sum(g.get(c, 0) for g in given.values()) for c in cells}
+        assert all(got[c] <= needs[c] for c in cells)
+        # by the theorem of deficient sets: what is met is the least, over sets of cells, of their supply and the needs of the others
+        subsets = [set(x) for k in range(len(cells) + 1) for x in combinations(cells, k)]
+        most = min(sum(n for s, n in strata.items() if set(s) & x) + sum(needs[c] for c in cells if c not in x) for x in subsets)
+        assert sum(got.values()) == most
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------
 
 
