@@ -1,8 +1,10 @@
 """Problem 4: freely typed values mapped to the entries of a canonical list.
 
-A multi-pattern automaton over the canonical names and aliases finds mentions inside a value; the longest ones that do
-not overlap win. What they leave open goes to a similarity of token sets that forgives misspelling, word order,
-abbreviation and misplaced spaces. The list is small and fixed, so it travels with the task; rows are never shuffled.
+A multi-pattern automaton over the canonical names and aliases finds mentions inside a value; the longest ones that do not
+overlap win. The words they leave open decide only whether a longer entry is meant that holds the mentioned one. Values without a mention go to
+a similarity of token sets that forgives misspelling, word order, abbreviation and misplaced spaces. Words that can't be close are told
+apart by their letters alone, so that a long list needs few edit distances. Each batch maps its different values once; the list
+is small and fixed, so it travels with the task, and rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +68,29 @@ def word_match(typed: str, wanted: str) -> float:
     return closeness(typed, wanted)
 
 
+class Letters:
+    """Words by their letters. The edit distance of two words is no less than the letters that one has and the other lacks."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+        self.lengths = np.array([len(w) for w in words], dtype=np.int32)
+        self.columns = {c: i for i, c in enumerate(sorted({c for w in words for c in w}))}
+        self.bags = np.zeros((len(words), len(self.columns)), dtype=np.int16)
+        for i, word in enumerate(words):
+            for c in word:
+                self.bags[i, self.columns[c]] += 1
+
+    def near(self, word: str, least: float) -> list[str]:
+        """The words whose closeness to this one may reach ``least``; all others can't."""
+        bag = np.zeros(len(self.columns), dtype=np.int16)
+        for c in word:
+            if c in self.columns:
+                bag[self.columns[c]] += 1
+        shared = np.minimum(self.bags, bag).sum(axis=1)
+        longer = np.maximum(self.lengths, len(word))
+        return [self.words[i] for i in np.flatnonzero(longer - shared <= (1 - least) * longer + 1e-9)]
+
+
 class CanonicalList:
     """Entries (id, names) with the automaton over all names."""
 
@@ -74,18 +100,28 @@ class CanonicalList:
         self.threshold = threshold
         self.names: dict[str, int] = {}
         self.exact: dict[str, int] = {}
+        self.first: dict[int, str] = {}
         for entry, names in entries:
             self.exact.setdefault(names[0], entry)
+            self.first.setdefault(entry, next((plain(n) for n in names if plain(n)), ""))
             for name in names:
                 if name and plain(name):
                     self.names.setdefault(plain(name), entry)
-        self.sets = [(name, name.split(), entry) for name, entry in self.names.items()]
+        self.ranks = {name: k for k, name in enumerate(self.names)}
+        self.places: dict[str, list[str]] = {}
+        self.glued: dict[str, list[str]] = {}
+        for name in self.names:
+            for word in set(name.split()):
+                self.places.setdefault(word, []).append(name)
+            self.glued.setdefault(name.replace(" ", ""), []).append(name)
+        self.letters, self.glued_letters = Letters(list(self.places)), Letters(list(self.glued))
         self.automaton = ahocorasick.Automaton()
         for name, entry in self.names.items():
             self.automaton.add_word(f" {name} ", (len(name) + 2, name, entry))
         if self.names:
             self.automaton.make_automaton()
         self.find = lru_cache(MEMORY)(self._find)
+        self.close_words = lru_cache(MEMORY)(self._close_words)
 
     def mentions(self, text: str) -> list[tuple[int, int, int]]:
         """Longest mentions (start, end, entry) of a plain text that do not overlap; of equally long ones the first."""
@@ -110,29 +146,57 @@ class CanonicalList:
         if text in self.names:
             return self.names[text], "mention", 1.0
         found = self.mentions(text)
-        left = f" {text} "
-        for start, end, _ in reversed(found):
-            left = left[: start + 1] + left[end - 1 :]
-        open_words = [w for w in left.split() if w not in FILLER]
-        if len({entry for _, _, entry in found}) == 1 and not open_words:
-            return found[0][2], "mention", 1.0
-        return self._similar(text)
-
-    def _similar(self, text: str) -> tuple[int, str, float]:
+        if not found:
+            return self._similar(text, self._reachable(text))
+        padded = f" {text} "
+        _, start, _, entry = max((end - start, -start, end, entry) for start, end, entry in found)  # the longest, of equal ones the first
+        for begin, end, other in reversed(found):  # aliases as the names they stand for
+            padded = padded[: begin + 1] + self.first[other] + padded[end - 1 :]
+        held = set(self.first[entry].split())
+        if any(w not in held and w not in FILLER for w in padded.split()):
+            best = self._similar(padded.strip(), [n for n in self.places[next(iter(held))] if held < set(n.split())])
+            if best[0]:
+                return best
+        return entry, "mention", 1.0
+
+    def _close_words(self, typed: str) -> dict[str, float]:
+        """The words of the list that a typed one may stand for, with their closeness."""
+        near = set(self.letters.near(typed, LEAST_WORD))
+        if len(typed) >= 3:
+            near.update(w for w in self.places if w.startswith(typed))
+        return {w: score for w in near if (score := word_match(typed, w)) >= LEAST_WORD}
+
+    def _reachable(self, text: str) -> list[str]:
+        """The names that can reach the threshold: one of their words is so close to a typed one, or all of them without spaces."""
+        names: dict[str, None] = {}
+        for typed in text.split():
+            for word, score in self.close_words(typed).items():
+                if score >= self.threshold:
+                    names.update(dict.fromkeys(self.places[word]))
+        for joined in ("".join(text.split()), "".join(t for t in text.split() if t not in FILLER)):
+            for one in self.glued_letters.near(joined, self.threshold):
+                names.update(dict.fromkeys(self.glued[one]))
+        return list(names)
+
+    def _similar(self, text: str, names: list[str]) -> tuple[int, str, float]:
+        """The most similar of the names; of equal ones the longer, then the first of the list."""
         typed = text.split()
-        best = (0.0, 0.0, 0)
-        for name, wanted, entry in self.sets:
-            score = max(self._token_set(typed, wanted), self._glued(typed, name))
+        best = (0.0, 0, 0)
+        for name in sorted(names, key=self._order):
+            score = max(self._token_set(typed, name.split()), self._glued(typed, name))
             if (score, len(name)) > best[:2]:
-                best = (score, len(name), entry)
+                best = (score, len(name), self.names[name])
         if best[0] >= self.threshold:
             return best[2], "similar", round(best[0], 4)
         return 0, "none", round(best[0], 4)
 
+    def _order(self, name: str) -> int:
+        return self.ranks[name]
+
     def _token_set(self, typed: list[str], wanted: list[str]) -> float:
         """Share of letters of both token sets that are matched one to one, filler aside."""
         pairs = sorted(
-            ((word_match(t, w), i, j) for i, t in enumerate(typed) for j, w in enumerate(wanted)), key=lambda p: (-p[0], p[1], p[2])
+            ((close.get(w, 0.0), i, j) for i, close in enumerate(map(self.close_words, typed)) for j, w in enumerate(wanted)), key=lambda p: (-p[0], p[1], p[2])
         )
         used_typed: set[int] = set()
         used_wanted: set[int] = set()
@@ -176,8 +240,10 @@ def canonical_entry(value: Column, entries: list[tuple[int, list[str]]], thresho
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = CanonicalList(entries, threshold)
         for values in batches:
-            found = [known.find(v) if v is not None and v.strip() else (None, None, None) for v in values]
-            yield pd.DataFrame(found, columns=["letra_id", "how", "similarity"]).astype({"letra_id": "Int32", "similarity": "Float64"})
+            codes, different = pd.factorize(values)  # null is -1
+            found = [known.find(v) if v.strip() else (None, None, None) for v in different] + [(None, None, None)]
+            table = pd.DataFrame(found, columns=["letra_id", "how", "similarity"]).astype({"letra_id": "Int32", "how": object, "similarity": "Float64"})
+            yield table.iloc[codes].reset_index(drop=True)
 
     return match(value)
 

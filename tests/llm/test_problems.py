@@ -197,6 +197,19 @@ def test_automaton_takes_the_longest_mentions():
     known = canonical.CanonicalList([(1, ["procesal"]), (2, ["procesal encadenada"])])
     assert [m[2] for m in known.mentions("letra procesal encadenada y procesal")] == [2, 1]
     assert canonical.edits("abcd", "acbd") == 1 and canonical.edits("", "ab") == 2
+    known = canonical.CanonicalList([(1, ["procesal"]), (2, ["procesal encadenada"]), (3, ["cortesana", "de corte"]), (4, ["cortesana/procesal"])])
+    wanted = {"cortesana muy deteriorada": 3, "la procesal del archivo": 1, "procesal encadenda": 2, "letra de corte y procesal": 4, "procesal de corte": 4, "papel": 0}
+    assert {v: known.find(v)[0] for v in wanted} == wanted
+
+
+def test_letters_lose_no_close_word(corpus_words):
+    rng = random.Random(21)
+    letters = canonical.Letters(corpus_words)
+    for word in rng.sample(corpus_words, 60):
+        at = rng.randint(0, len(word) - 2)
+        typed = word[:at] + word[at + 1] + word[at] + rng.choice("zx") * rng.randint(0, 2) + word[at + 2 :]
+        for least in (0.4, 0.6):
+            assert {w for w in corpus_words if canonical.closeness(typed, w) >= least} <= set(letters.near(typed, least))
 
 
 # --- 5 -----------------------------------------------------------------------------------------------------------
