@@ -2,7 +2,7 @@
 
 Items are spread over partitions of bounded size by a hash and packed in each by best fit decreasing. Dual feasible
 functions give a lower bound of the containers a partition needs; one that meets its bound is certified and done. The
-items of the others are dealt anew among each other and packed again, for a number of rounds.
+items of the others are dealt anew among each other and packed again, as long as that certifies any more of them.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from escriba.llm.shared import cut
 
 #: Items that one partition holds on average.
 DEFAULT_PARTITION_ITEMS = 4000
-#: Rounds of exchange after the first packing.
-DEFAULT_ROUNDS = 2
 
 
 def byte_tokens(text: Column) -> Column:
@@ -112,7 +110,6 @@ def pack_documents(
     key: str = "doc_id",
     text: str = "text",
     partition_items: int = DEFAULT_PARTITION_ITEMS,
-    rounds: int = DEFAULT_ROUNDS,
     seed: int = 11,
 ) -> DataFrame:
     """Every text in a container: (key, piece, pieces, tokens, container, certified).
@@ -128,22 +125,19 @@ def pack_documents(
     total = items.count()
     columns = ["item", "piece", "pieces", "tokens", "container", "certified"]
     done: list[DataFrame] = []
-    for turn in range(rounds + 1):
+    turn = 0
+    while True:
         parts = max(1, -(-total // partition_items))
         packed = cut(_pack(items, capacity, parts, turn, seed))
         packed = packed.withColumn("container", F.concat_ws("-", F.lit(turn), "part", "bin")).withColumn("certified", F.col("bins") <= F.col("bound"))
-        last = turn == rounds
-        settled = packed if last else packed.where("certified")
-        done.append(settled.select(*columns))
-        if last:
+        open_ = packed.where("NOT certified")
+        left = open_.count()
+        if parts == 1 or left in (0, total):  # nothing to exchange, or an exchange that certified none
+            done.append(packed.select(*columns))
             break
-        items = packed.where("NOT certified").select("item", "piece", "pieces", "tokens", (F.col("part").cast("long") * F.lit(1 << 32) + F.col("bin")).alias("copy"))
-        left = items.count()
-        if not left or parts == 1:
-            if left:
-                done.append(packed.where("NOT certified").select(*columns))
-            break
-        total = left
+        done.append(packed.where("certified").select(*columns))
+        items = open_.select("item", "piece", "pieces", "tokens", (F.col("part").cast("long") * F.lit(1 << 32) + F.col("bin")).alias("copy"))
+        total, turn = left, turn + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
