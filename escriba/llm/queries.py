@@ -44,8 +44,8 @@ def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
 def _scanned(spark: SparkSession, folder: str) -> tuple[DataFrame, scans.Repair]:
     gt = table(spark, folder, "gt_page").select(F.col("gt_id").alias("rec"), F.col("gt_text").alias("scan"), "page_id")
     whole = table(spark, folder, "transcripcion").select(F.col("tr_id").alias("rec"), F.col("md").alias("scan"))
-    model = scans.trained(table(spark, folder, "vocab"), table(spark, folder, "gt_page"))
-    return gt.select("rec", "scan").unionByName(whole), model
+    rows = gt.select("rec", "scan").unionByName(whole)
+    return rows, scans.trained(table(spark, folder, "vocab"), table(spark, folder, "gt_page"), rows, "scan")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

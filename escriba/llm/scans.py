@@ -12,6 +12,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from escriba.llm.lookalikes import NOT_PLAIN, Skeletons
+from escriba.llm.lookalikes import NOT_PLAIN, Skeletons, skeleton
 from escriba.llm.perceptron import AveragedPerceptron
 from escriba.operators.pairs import busy
 
@@ -29,13 +30,17 @@ from escriba.operators.pairs import busy
 TRAIN_PAGES = 3000
 #: Word forms that may be shipped to every task.
 VOCABULARY_LIMIT = 2_000_000
-#: Edits inside one word, at most; one more where it holds signs that no word has.
-MOST_EDITS = 2
-#: A word that the list lacks is a word all the same if it makes up this share of the sample, and occurs so often at least.
+#: Operations inside one word, at most, and one more where it holds signs that no word has; of words shorter than SHORT, one.
+MOST_EDITS, SHORT = 2, 4
+#: A word that the list lacks is a word all the same if it makes up this share of all texts, beyond doubt of so many standard deviations.
 #: It is taken for misread, though, if one operation leads to a word that is so many times as frequent.
-COMMON_SHARE, COMMON_LEAST, MISREAD_RATIO = 3e-5, 10, 60
-#: Hypotheses of one word that are followed further.
-BEAM = 40
+COMMON_SHARE, COMMON_DOUBT, MISREAD_RATIO = 3e-5, 3.0, 60
+
+#: What the models are fitted on at most: operations learnt from the sample, clean lines for joining and for headers, pages for lines of text.
+LEARNT_OPERATIONS, JOIN_LINES, HEADER_LINES, LINE_PAGES = 40, 6000, 3000, 2000
+#: A page is taken for scanned if it shows any sign of it beyond letters read for one another in fewer words than this. Below it such
+#: words can't be told from slips of the hand, which an edition keeps.
+LEAST_MISREAD = 3
 
 # What scanners read for a letter, as read and as meant.
 CONFUSIONS = (
@@ -44,6 +49,7 @@ CONFUSIONS = (
 ).split("|")
 # Signs that break a word at a line's end.
 MARKS = "-¬=~_⸗‐–—"
+_CLOSING, _ENDS = ".,;:()[]{}¡!¿?\"«»|/", f"{MARKS} \t"
 # Words of running headers, and how page numbers are set.
 HEADERS = (
     "registro de {noun}|libro de {noun} — {place}|actas del concejo de {place}|protocolos de {place}, tomo {roman}|documentos de {place} ({year})|"
@@ -56,6 +62,7 @@ DIGIT_AS = {"0": "O", "1": "l", "2": "Z", "5": "S"}
 _ODD, _LOOKS = re.compile(NOT_PLAIN.replace(r"\z", r"\Z")), Skeletons()
 _TOKEN = re.compile(r"[^\s.,;:()\[\]{}¡!¿?\"«»|/]+")
 _LETTER = re.compile(r"[^\W\d_]")
+_NOT_IN_WORDS = re.compile(r"[\d@'$(]")
 _FOLIO = re.compile(r"^\s*[\[(]\s*f(?:ol|olio|o)?\b\.?[^\])]*[\])]\s*$", re.I)
 _MARK_LINE = re.compile(r"^\s*(?:[\[(][^\[\]()]*[\])]\s*)+$")
 _NUMBER_LINE = re.compile(r"^\W*(?:p[áa]gs?\.?|p\.)?\W*(?=[\dlIZOSo]*\d|[lIZOS]+\W*$)[\dlIZOSo]{1,4}\W*$")
@@ -92,11 +99,18 @@ class Words:
     def __init__(self, forms: set[str]) -> None:
         self.forms = set(forms)
         self.keys = {spelling(f) for f in forms}
+        self.sorted = sorted(self.forms)
 
     def add(self, forms: set[str]) -> None:
         """More words, such as the abbreviations of the sample."""
         self.forms |= forms
         self.keys |= {spelling(f) for f in forms}
+        self.sorted = sorted(self.forms)
+
+    def begins(self, start: str) -> bool:
+        """Whether a listed word begins so."""
+        at = bisect_left(self.sorted, start)
+        return at < len(self.sorted) and self.sorted[at].startswith(start)
 
     def has(self, word: str) -> bool:
         return word in self.forms
@@ -123,6 +137,7 @@ class Editor:
         self.operations = operations
         self.model = AveragedPerceptron()
         self.meant = lru_cache(300_000)(self._meant)
+        self._by_letter: tuple[list[tuple[str, str]], dict[str, list[tuple[str, str]]]] | None = None
 
     def _one(self, word: str) -> Iterator[tuple[str, tuple[int, str, str]]]:
         for read, meant in self.operations:
@@ -132,31 +147,55 @@ class Editor:
                 at = word.find(read, at + 1)
 
     def hypotheses(self, word: str) -> list[tuple[str, tuple[tuple[int, str, str], ...]]]:
-        """The word as it is, and every listed word that up to MOST_EDITS operations lead to."""
+        """The word as it is, and every listed word that the fewest operations lead to, MOST_EDITS at most.
+
+        One operation may also lead to another spelling of a listed word. The editor goes through the word letter by letter, keeps, replaces, deletes
+        or inserts, and stays on beginnings of listed words, so that no combination is left out.
+        """
         out: list[tuple[str, tuple[tuple[int, str, str], ...]]] = [(word, ())]
         seen = {word}
-        front: list[tuple[str, tuple[tuple[int, str, str], ...]]] = [(word, ())]
-        odd = re.compile(r"[\d@'$(]")
-        for depth in range(MOST_EDITS + bool(odd.search(word))):
-            after: list[tuple[str, tuple[tuple[int, str, str], ...]]] = []
-            for text, edits in front:
-                for new, edit in self._one(text):
-                    if new in seen or not new:
-                        continue
-                    if edits and edit[0] < edits[-1][0]:  # left to right
-                        continue
-                    seen.add(new)
-                    step = (new, (*edits, edit))
-                    if self.words.has(new) or depth == 0 and self.words.spelled(new):
-                        out.append(step)
-                    else:
-                        after.append(step)
-            if len(out) > 1 or len(word) < 4:
+        for new, edit in self._one(word):
+            if new and new not in seen and (self.words.has(new) or self.words.spelled(new)):
+                seen.add(new)
+                out.append((new, (edit,)))
+        most = 1 if len(word) < SHORT else MOST_EDITS + bool(_NOT_IN_WORDS.search(word))
+        for depth in range(2, most + 1):
+            if len(out) > 1:
                 break
-            after.sort(key=lambda s: (len(odd.findall(s[0])), s[0]))
-            front = after[:BEAM]
+            for new, edits in self._written(word, depth):
+                if new not in seen:
+                    seen.add(new)
+                    out.append((new, edits))
         return out
 
+    def _written(self, word: str, depth: int) -> Iterator[tuple[str, tuple[tuple[int, str, str], ...]]]:
+        """Listed words that exactly so many operations, from left to right, make of the word."""
+        by_letter = self.by_letter
+        open_: list[tuple[int, str, tuple[tuple[int, str, str], ...]]] = [(0, "", ())]
+        while open_:
+            at, start, edits = open_.pop()
+            if at == len(word):
+                if len(edits) == depth and self.words.has(start):
+                    yield start, edits
+                continue
+            kept = start + word[at]
+            if self.words.begins(kept):
+                open_.append((at + 1, kept, edits))
+            if len(edits) < depth:
+                for read, meant in by_letter.get(word[at], ()):
+                    if word.startswith(read, at) and self.words.begins(start + meant):
+                        open_.append((at + len(read), start + meant, (*edits, (len(start), read, meant))))
+
+    @property
+    def by_letter(self) -> dict[str, list[tuple[str, str]]]:
+        """The operations by the first letter that they read."""
+        if self._by_letter is None or self._by_letter[0] is not self.operations:
+            found: dict[str, list[tuple[str, str]]] = {}
+            for read, meant in self.operations:
+                found.setdefault(read[0], []).append((read, meant))
+            self._by_letter = (self.operations, found)
+        return self._by_letter[1]
+
     def features(self, word: str, new: str, edits: tuple[tuple[int, str, str], ...]) -> list[str]:
         if not edits:
             out = ["keep", f"keep word {word}", f"keep size {min(len(word), 6)}", f"keep end {word[-2:]}"]
@@ -184,15 +223,19 @@ class Editor:
     def train(self, pairs: list[tuple[str, str]]) -> Editor:
         """Learn from (as read, as meant); other spellings of a word are meant as they are."""
         examples = []
+        known: dict[str, tuple[list, list[list[str]]]] = {}
         for read, meant in pairs:
             if self.words.has(read):
                 continue
             if spelling(read) == spelling(meant):
                 meant = read
-            found = self.hypotheses(read)
+            if read not in known:
+                found = self.hypotheses(read)
+                known[read] = found, [self.features(read, *h) for h in found]
+            found, features = known[read]
             right = [i for i, h in enumerate(found) if h[0] == meant]
             if right and len(found) > 1:
-                examples.append(([self.features(read, *h) for h in found], right[0]))
+                examples.append((features, right[0]))
         self.model.fit(examples)
         return self
 
@@ -273,10 +316,14 @@ class LineModel:
     def __init__(self, words: Words) -> None:
         self.words = words
         self.model = AveragedPerceptron()
+        self.counts = lru_cache(300_000)(self._counts)
 
     def texty(self, line: str) -> int:
         """How many lower-case listed words of two letters or more a line has."""
-        return sum(1 for w in _TOKEN.findall(line) if len(w) > 1 and w.islower() and (self.words.has(w) or self.words.spelled(w)))
+        return sum(map(self.counts, _TOKEN.findall(line)))
+
+    def _counts(self, word: str) -> bool:
+        return len(word) > 1 and word.islower() and (self.words.has(word) or self.words.spelled(word))
 
     def features(self, line: str, above: int, below: int, alone: bool, wide: bool = False) -> list[str]:
         """``above`` and ``below``: lines of text between this one and the page's edge."""
@@ -314,6 +361,7 @@ class Repair:
         self.editor = Editor(self.words, [tuple(c.split(" ")) for c in CONFUSIONS])
         self.joiner = Joiner(self.words, self.editor)
         self.lines = LineModel(self.words)
+        self.kept = lru_cache(300_000)(self._kept)
 
     # reading ------------------------------------------------------------------------------------------------
 
@@ -333,6 +381,8 @@ class Repair:
                 continue
             if not line.strip():
                 out[i] = "blank"
+            elif line.lstrip()[0] not in "[(":
+                pass
             elif _FOLIO.match(line):
                 out[i] = "folio"
             elif _MARK_LINE.match(line) and not _NUMBER_LINE.match(line):
@@ -355,6 +405,8 @@ class Repair:
                 alone = (i == 0 or out[i - 1] in ("blank", "folio", "front")) and (i + 1 == len(lines) or not lines[i + 1].strip() or bool(_FOLIO.match(lines[i + 1])))
                 out[i] = "furniture" if self.lines.is_furniture(lines[i], above[i], below[i], alone) else "text"
             if not again:
+                if "furniture" not in out:
+                    break
                 texty = [role == "text" and n >= 2 for role, n in zip(out, shown, strict=True)]
         return out
 
@@ -379,6 +431,8 @@ class Repair:
         running = [i for i, role in enumerate(roles) if role == "text"]
         joined: dict[int, int] = {}
         for i, j in zip(running, running[1:], strict=False):
+            if lines[i].rstrip()[-1:] in _CLOSING:  # no word is broken here
+                continue
             a, sign, spaced = tail(lines[i])
             b = head(lines[j])
             if a and b and (sign or not (self.words.has(a.lower()) and self.words.has(b.lower()))) and self.joiner.joins(a, sign, spaced, b):
@@ -391,11 +445,19 @@ class Repair:
         for i, role in enumerate(roles):
             if role == "furniture":
                 found.append((i + 1, "furniture", lines[i].strip(), ""))
+        if len(found) < LEAST_MISREAD and not any(kind != "misread" or self._sign_of_scanning(read) for _, kind, read, _ in found):
+            found, fixed = [], {i: lines[i] for i in running}
         return sorted(found), self._paragraphs(roles, lines, fixed, joined)
 
+    def _sign_of_scanning(self, word: str) -> bool:
+        """Whether a misread word has more than letters read for letters: other signs, or one letter read as two or two as one."""
+        return any(not (len(read) == len(meant) == 1 and read.isalpha()) for _, read, meant in self.editor.meant(word.lower())[1])
+
     def _line(self, i: int, lines: list[str], joined: dict[int, int], begins: dict[int, int], found: list) -> str:
         """The line with its misread words repaired; reports each."""
         line = lines[i]
+        if i not in joined and i not in begins and all(map(self.kept, _TOKEN.findall(line.rstrip(_ENDS)))):
+            return line
         out, last = [], 0
         tokens = list(_TOKEN.finditer(line))
         for k, m in enumerate(tokens):
@@ -423,6 +485,11 @@ class Repair:
                     last = end
         return "".join(out) + line[last:]
 
+    def _kept(self, word: str) -> bool:
+        """Whether a word by itself is no misread one."""
+        low = word.lower()
+        return not _LETTER.search(word) or len(low) != len(word) or not self.editor.meant(low)[1]
+
     @staticmethod
     def _places(edits: tuple[tuple[int, str, str], ...]) -> list[int]:
         """Where in the word as read each operation stands."""
@@ -472,21 +539,23 @@ class Repair:
 
     # learning ------------------------------------------------------------------------------------------------
 
-    def train(self, pages: list[list[str]], seed: int = 3) -> Repair:
-        """Learn from pages, each a list of its editions."""
+    def train(self, pages: list[list[str]], frequent: dict[str, int], seed: int = 3) -> Repair:
+        """Learn from pages, each a list of its editions, and from the frequent words of all texts and how often these have them."""
         rng = random.Random(seed)
-        self.words.add(self._common(pages))
+        self.words.add(self._common(frequent))
         pairs, clean = self._pairs(pages)
         pairs += self._spoilt(rng, 4000)
         counted = Counter(c for read, meant in pairs if spelling(read) != spelling(meant) for c in chunks(read, meant))
         known = {tuple(c.split(" ")) for c in CONFUSIONS}
         learnt = [c for c, n in sorted(counted.items(), key=lambda x: (-x[1], x[0])) if n >= 5 and c[0] and c not in known and len(c[0]) <= 3 and len(c[1]) <= 2]
-        self.editor.operations = [*self.editor.operations, *learnt[:40]]
+        self.editor.operations = [*self.editor.operations, *learnt[:LEARNT_OPERATIONS]]
         self.editor.train(pairs)
         self.editor.meant.cache_clear()
-        self.joiner.train(self._with_misread(clean[:6000], pairs, rng), rng)
+        self.joiner.train(self._with_misread(clean[:JOIN_LINES], pairs, rng), rng)
         self._train_lines(pages, clean, rng)
         self.editor.meant.cache_clear()
+        self.kept.cache_clear()
+        self.lines.counts.cache_clear()
         return self
 
     @staticmethod
@@ -498,20 +567,13 @@ class Repair:
                 spoilt.setdefault(meant, []).append(read)
         return [[rng.choice(spoilt[w.lower()]) if rng.random() < 0.15 and w.lower() in spoilt else w for w in line] for line in lines]
 
-    def _common(self, pages: list[list[str]]) -> set[str]:
-        """Words that the list lacks but the sample has often: abbreviations and names of marks."""
-        counted: Counter[str] = Counter()
-        for editions in pages:
-            for text in editions:
-                for line in (text or "").split("\n"):  # the first and last word of a line may be parts of a broken one
-                    counted.update(w.lower() for w in _TOKEN.findall(_LOOKS.of(line) if _ODD.search(line) else line)[1:-1])
-        least = max(COMMON_LEAST, COMMON_SHARE * sum(counted.values()))
-        out = set()
-        for word, n in counted.items():
-            if n >= least and len(word) > 1 and word.isalpha() and not self.words.has(word):
-                if all(counted[new] < MISREAD_RATIO * n for new, _ in self.editor._one(word)):
-                    out.add(word)
-        return out
+    def _common(self, counted: dict[str, int]) -> set[str]:
+        """Words that the list lacks but the texts have often: abbreviations and names of marks."""
+        return {
+            word
+            for word, n in counted.items()
+            if len(word) > 1 and word.isalpha() and not self.words.has(word) and all(counted.get(new, 0) < MISREAD_RATIO * n for new, _ in self.editor._one(word))
+        }
 
     def _tokens(self, text: str) -> list[str]:
         words: list[str] = []
@@ -577,9 +639,9 @@ class Repair:
     def _train_lines(self, pages: list[list[str]], clean: list[list[str]], rng: random.Random) -> None:
         nothing: list[str] = []
         examples = []
-        words = [w for line in clean[:3000] for w in line if len(w) > 4] or ["testigo", "villa"]
+        words = [w for line in clean[:HEADER_LINES] for w in line if len(w) > 4] or ["testigo", "villa"]
         texts = []
-        for editions in pages[:2000]:
+        for editions in pages[:LINE_PAGES]:
             for text in editions[:1]:
                 lines = [_LOOKS.of(x) if _ODD.search(x) else x for x in (text or "").split("\n")]
                 texts.append(" ".join(x.strip().rstrip(MARKS) for x in lines if self.lines.texty(x) >= 3).split())
@@ -592,6 +654,8 @@ class Repair:
                 line = " ".join(source[at : at + size])
                 if any(c.islower() for c in line):
                     examples.append(([nothing, self.lines.features(line, *rng.choice(places), rng.random() < 0.1)], 0))
+            last = " ".join(source[-rng.randint(1, 3) :])  # the end of a page's text is no furniture, short as it may be
+            examples.append(([nothing, self.lines.features(last if last[-1:] == "." or rng.random() < 0.3 else f"{last}.", 9, 0, False)], 0))
             if rng.random() < 0.4:
                 signed = f"{rng.choice(['Pasó ante mí', 'ante mí', '[firma:', '[rúbrica]'])} {rng.choice(words).capitalize()} {rng.choice(words).capitalize()}"
                 examples.append(([nothing, self.lines.features(signed, 9, 0, rng.random() < 0.5)], 0))
@@ -625,9 +689,23 @@ def training_pages(pages: DataFrame, text: str = "gt_text", page: str = "page_id
     return [sorted({r.a, r.b, r.c}) for r in kept.orderBy("page").collect()]
 
 
-def trained(vocabulary: DataFrame, pages: DataFrame, limit: int = TRAIN_PAGES) -> Repair:
-    """The models, trained on a bounded sample."""
-    return Repair(read_vocabulary(vocabulary)).train(training_pages(pages, limit=limit))
+def frequent_words(texts: DataFrame, text: str) -> dict[str, int]:
+    """How often all texts have the words that make up COMMON_SHARE of them beyond doubt; 1 / COMMON_SHARE words at most.
+
+    The first and last word of a line are left out, as they may be parts of a broken one.
+    """
+    lines = texts.where(F.col(text).isNotNull()).select(F.explode(F.split(skeleton(F.col(text)), "\n")).alias("line"))
+    inner = F.regexp_extract_all("line", F.lit(f"({_TOKEN.pattern})"), F.lit(1))
+    words = lines.select(F.explode(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))).alias("word"))
+    counted = words.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n").alias("total"))
+    sure = F.col("n") - COMMON_DOUBT * F.sqrt("n") >= COMMON_SHARE * F.col("total")
+    return {r.word: r.n for r in counted.crossJoin(F.broadcast(total)).where(sure).select("word", "n").collect()}  # total has one row
+
+
+def trained(vocabulary: DataFrame, pages: DataFrame, texts: DataFrame, text: str, limit: int = TRAIN_PAGES) -> Repair:
+    """The models, fitted on a bounded sample of pages; frequent words are counted over all texts."""
+    return Repair(read_vocabulary(vocabulary)).train(training_pages(pages, limit=limit), frequent_words(texts, text))
 
 
 class _Shipped:

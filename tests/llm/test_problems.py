@@ -138,7 +138,7 @@ def test_look_pairs(spark):
 @pytest.fixture(scope="module")
 def repair(spark):
     read = lambda n: spark.read.parquet(f"{DATA}/{n}.parquet")
-    return scans.trained(read("vocab"), read("gt_page"))
+    return scans.trained(read("vocab"), read("gt_page"), read("gt_page"), "gt_text")
 
 
 def test_repair(repair):
