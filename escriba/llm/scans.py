@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from escriba.llm.lookalikes import NOT_PLAIN, Skeletons, skeleton
+from escriba.llm.lookalikes import NOT_PLAIN, Skeletons
 from escriba.llm.perceptron import AveragedPerceptron
 from escriba.operators.pairs import busy
 
@@ -694,10 +694,17 @@ def frequent_words(texts: DataFrame, text: str) -> dict[str, int]:
 
     The first and last word of a line are left out, as they may be parts of a broken one.
     """
-    lines = texts.where(F.col(text).isNotNull()).select(F.explode(F.split(skeleton(F.col(text)), "\n")).alias("line"))
-    inner = F.regexp_extract_all("line", F.lit(f"({_TOKEN.pattern})"), F.lit(1))
-    words = lines.select(F.explode(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))).alias("word"))
-    counted = words.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: Counter[str] = Counter()
+            for t in batch[text]:
+                for line in (_LOOKS.of(t) if _ODD.search(t) else t).split("\n"):
+                    found.update(_TOKEN.findall(line)[1:-1])
+            yield pd.DataFrame({"word": [w.lower() for w in found], "n": list(found.values())}).astype({"word": object, "n": "int64"})
+
+    words = busy(texts.where(F.col(text).isNotNull()).select(text)).mapInPandas(count, "word string, n bigint")
+    counted = words.groupBy("word").agg(F.sum("n").alias("n"))
     total = counted.agg(F.sum("n").alias("total"))
     sure = F.col("n") - COMMON_DOUBT * F.sqrt("n") >= COMMON_SHARE * F.col("total")
     return {r.word: r.n for r in counted.crossJoin(F.broadcast(total)).where(sure).select("word", "n").collect()}  # total has one row
