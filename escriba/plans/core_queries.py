@@ -19,13 +19,9 @@ def _compared(spark: SparkSession, d: str, mode: str = "content") -> DataFrame:
     return evaluation.compared(table(spark, d, "gt_page"), table(spark, d, "hypothesis"), mode)
 
 
-def _letters(column: str):
-    return F.regexp_replace(F.lower(column), "[^a-záéíóúñçü ]", "")
-
-
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    """Distances and lengths over letters alone, which SQL can check."""
-    rows = _compared(spark, d).select(*KEYS, _letters("ref").alias("ref"), _letters("hyp").alias("hyp"))
+    """Distances and lengths of all pairs."""
+    rows = _compared(spark, d)
     return rows.select(*KEYS, align.edit_distance(F.col("ref"), F.col("hyp")).alias("distance"), F.length("ref").alias("gt_chars"), F.length("hyp").alias("hyp_chars"))
 
 
@@ -180,19 +176,31 @@ def page_parts(spark, d):
 # --- pair metrics ----------------------------------------------------------------------------------------------
 
 
-@query("m1_cer_letters", f"WITH {sql.LETTER_PAIRS} SELECT subset, edition, page_id, model, distance, gt_chars, hyp_chars FROM scored")
-def m1_cer_letters(spark, d):
-    return _scored(spark, d)
+_WORDS = "list_filter(string_split_regex({0}, ' +'), lambda w: w <> '')"
+_WER = f"CASE WHEN ref = '' THEN CASE WHEN hyp <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE {sql.distance(_WORDS.format('ref'), _WORDS.format('hyp'), 'words')} / len({_WORDS.format('ref')}) END"
+_NLS = "CASE WHEN greatest(gt_chars, hyp_chars) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - distance / greatest(gt_chars, hyp_chars) END"
 
 
-@query("m1_m5_core")
+@query(
+    "m1_m5_core",
+    f"""WITH {sql.SCORED} SELECT subset, edition, page_id, model, round({RATE_SQL}, 9) AS cer, round({_NLS}, 9) AS nls, round({_WER}, 9) AS wer,
+  CASE WHEN ref = hyp THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS ser, CAST(distance AS INT) AS distance, CAST(gt_chars AS INT) AS gt_chars, CAST(hyp_chars AS INT) AS hyp_chars FROM scored""",
+)
 def m1_m5_core(spark, d):
-    return evaluation.core_metrics(_compared(spark, d))
+    """Lines are joined by then, so that the line error is that of one line."""
+    rows = evaluation.core_metrics(_compared(spark, d))
+    return rows.select(*KEYS, *[F.round(c, 9).alias(c) for c in ("cer", "nls", "wer")], "ser", "distance", "gt_chars", "hyp_chars")
+
 
+_TIER_SQL = (("T1_raw", sql.t1), ("T2_nospace", sql.t2), ("T3_lowercase", sql.t3), ("T4_alnum", sql.t4))
+_TIERED = f"""{sql.PAIRS}, tiered AS (SELECT subset, edition, page_id, model, {", ".join(f"{fn(side)} AS {side}_{n}" for n, fn in _TIER_SQL for side in ("ref", "hyp"))} FROM pairs),
+rated AS (SELECT subset, edition, page_id, model, {", ".join(f"CASE WHEN length(ref_T1_raw) = 0 THEN CASE WHEN length(hyp_T1_raw) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE {sql.distance(f'ref_{n}', f'hyp_{n}')} / length(ref_T1_raw) END AS {n}" for n, _ in _TIER_SQL)} FROM tiered)"""
 
-@query("m8_tiers")
+
+@query("m8_tiers", f"WITH {_TIERED} SELECT subset, edition, page_id, model, {', '.join(f'round({n}, 9) AS {n}' for n, _ in _TIER_SQL)} FROM rated")
 def m8_tiers(spark, d):
-    return evaluation.tier_metrics(table(spark, d, "gt_page"), table(spark, d, "hypothesis"))
+    rows = evaluation.tier_metrics(table(spark, d, "gt_page"), table(spark, d, "hypothesis"))
+    return rows.select(*KEYS, *[F.round(t, 9).alias(t) for t in text.TIERS])
 
 
 @query(
@@ -217,9 +225,17 @@ def m9_boc_difference(spark, d):
     return _compared(spark, d).select(*KEYS, metrics.boc_difference(ref, hyp).alias("difference"), F.greatest(F.length(ref), F.length(hyp)).alias("longest"))
 
 
-@query("m9_m10_order")
+_BAGS = f"""{sql.SCORED}, numbered AS (SELECT row_number() OVER () AS n, * FROM scored),
+chars AS (SELECT n, unnest(string_split(ref, '')) AS c, 1 AS v FROM numbered WHERE ref <> '' UNION ALL SELECT n, unnest(string_split(hyp, '')), -1 FROM numbered WHERE hyp <> ''),
+diffs AS (SELECT n, sum(abs(s)) AS diff FROM (SELECT n, c, sum(v) AS s FROM chars GROUP BY n, c) GROUP BY n),
+ordered AS (SELECT subset, edition, page_id, model, distance, gt_chars, hyp_chars, ref, hyp, CASE WHEN greatest(gt_chars, hyp_chars) = 0 THEN 0.0::DOUBLE ELSE coalesce(diff, 0) / greatest(gt_chars, hyp_chars) END AS boc,
+  {RATE_SQL} AS cer FROM numbered LEFT JOIN diffs USING (n))"""
+
+
+@query("m9_m10_order", f"WITH {_BAGS} SELECT subset, edition, page_id, model, round(boc, 9) AS boc, round(cer, 9) AS cer, round(cer - boc, 9) AS delta_cer FROM ordered")
 def m9_m10_order(spark, d):
-    return evaluation.order_metrics(_compared(spark, d))
+    rows = evaluation.order_metrics(_compared(spark, d))
+    return rows.select(*KEYS, *[F.round(c, 9).alias(c) for c in ("boc", "cer", "delta_cer")])
 
 
 def _raw_lines(spark, d):
@@ -252,10 +268,41 @@ def m11_cosine(spark, d):
     return matching.cosine_by_key(rows, rows.withColumn("vec_id", F.col("vec_id") - 1), "vec_id").select("vec_id", F.round("cosine", 9).alias("cosine"))
 
 
-@query("m13_score")
+@query(
+    "m13_score",
+    f"""WITH {sql.SCORED}, s AS (SELECT *, CASE WHEN gt_chars = 0 THEN CASE WHEN hyp_chars = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - {RATE_SQL}) END AS score FROM scored)
+SELECT subset, edition, page_id, model, round(score, 9) AS score, CASE {" ".join(f"WHEN score >= {least} THEN '{said}'" for least, said in metrics.FEEDBACK)} END AS said FROM s""",
+)
 def m13_score(spark, d):
     rows = _compared(spark, d).withColumn("score", metrics.score(F.col("ref"), F.col("hyp")))
-    return rows.select(*KEYS, "score", metrics.feedback(F.col("score")).alias("feedback"))
+    said = F.regexp_extract(metrics.feedback(F.col("score")), r"^CER \d+%\. (.*)$", 1)
+    return rows.select(*KEYS, F.round("score", 9).alias("score"), said.alias("said"))
+
+
+@query(
+    "m14_cer_or_zero",
+    f"WITH {sql.SCORED} SELECT subset, edition, page_id, model, round(CASE WHEN gt_chars = 0 THEN 0.0::DOUBLE ELSE distance / gt_chars END, 9) AS cer FROM scored",
+)
+def m14_cer_or_zero(spark, d):
+    return _compared(spark, d).select(*KEYS, F.round(metrics.cer_or_zero(F.col("ref"), F.col("hyp")), 9).alias("cer"))
+
+
+@query(
+    "m16_bundle",
+    f"""WITH {_BAGS} SELECT subset, edition, page_id, model, round(cer, 9) AS cer, round({_NLS}, 9) AS nls, round(boc, 9) AS boc, round(cer - boc, 9) AS delta_cer FROM ordered""",
+)
+def m16_bundle(spark, d):
+    rows = evaluation.page_metrics(table(spark, d, "gt_page"), table(spark, d, "hypothesis"))
+    named = {"cer": "cer", "nls": "core.nls", "boc": "order_independent.boc", "delta_cer": "order_independent.delta_cer"}
+    return rows.select(*KEYS, *[F.round(path, 9).alias(n) for n, path in named.items()])
+
+
+@query(
+    "f1_excluded",
+    f"SELECT gt_id FROM gt_page WHERE page_id NOT IN ({', '.join(repr(p) for p in evaluation.EXCLUDED_PAGES)})",
+)
+def f1_excluded(spark, d):
+    return evaluation.exclude_pages(table(spark, d, "gt_page")).select("gt_id")
 
 
 @query("m12_entities")
@@ -274,7 +321,7 @@ def m12_entities(spark, d):
 
 @query(
     "a1_model_summary",
-    f"""WITH {sql.LETTER_PAIRS}, r AS (SELECT model, {RATE_SQL} AS cer FROM scored)
+    f"""WITH {sql.SCORED}, r AS (SELECT model, {RATE_SQL} AS cer FROM scored)
 SELECT model, count(*) AS n_pages, round(avg(cer), 8) AS cer_mean, round(quantile_cont(cer, 0.5), 8) AS cer_median, round(coalesce(stddev_samp(cer), 0), 8) AS cer_stdev, round(min(cer), 8) AS cer_min,
   round(max(cer), 8) AS cer_max FROM r GROUP BY model""",
 )
@@ -283,15 +330,31 @@ def a1_model_summary(spark, d):
     return rows.select("model", "n_pages", *[F.round(c, 8).alias(c) for c in rows.columns[2:]])
 
 
-@query("a2_tier_means")
+@query("a2_tier_means", f"WITH {_TIERED} SELECT model, {', '.join(f'round(avg({n}), 8) AS {n}' for n, _ in _TIER_SQL)} FROM rated GROUP BY model")
 def a2_tier_means(spark, d):
     rows = evaluation.tier_metrics(table(spark, d, "gt_page"), table(spark, d, "hypothesis"))
-    return rows.groupBy("model").agg(*[F.avg(t).alias(t) for t in text.TIERS])
+    return rows.groupBy("model").agg(*[F.round(F.avg(t), 8).alias(t) for t in text.TIERS])
+
+
+@query(
+    "a2_core_means",
+    f"""WITH {_BAGS}, m AS (SELECT model, {RATE_SQL} AS cer, {_NLS} AS nls, CASE WHEN ref = hyp THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS ser, boc FROM ordered)
+SELECT model, round(avg(cer), 8) AS cer, round(avg(nls), 8) AS nls, round(avg(ser), 8) AS ser, round(avg(boc), 8) AS boc, round(avg(round(cer, 6) - boc), 8) AS delta_cer FROM m GROUP BY model""",
+)
+def a2_core_means(spark, d):
+    rows = evaluation.metric_means(table(spark, d, "gt_page"), table(spark, d, "hypothesis"))
+    return rows.select("model", *[F.round(c, 8).alias(c) for c in ("cer", "nls", "ser", "boc", "delta_cer")])
+
+
+@query("a11_operation_means")
+def a11_operation_means(spark, d):
+    rows = evaluation.metric_means(table(spark, d, "gt_page"), table(spark, d, "hypothesis"))
+    return rows.select("model", *[F.round(c, 8).alias(c) for c in ("cer_n", "precision", "recall", "f1", "s_rate", "d_rate", "i_rate")])
 
 
 @query(
     "a3_strata",
-    f"""WITH {sql.LETTER_PAIRS}, {sql.PAGES}, r AS (SELECT model, {RATE_SQL} AS cer, siglo, letra_normalized FROM scored JOIN pages USING (page_id)),
+    f"""WITH {sql.SCORED}, {sql.PAGES}, r AS (SELECT model, {RATE_SQL} AS cer, siglo, letra_normalized FROM scored JOIN pages USING (page_id)),
 long AS (SELECT model, 'siglo' AS stratum, siglo AS level, cer FROM r UNION ALL SELECT model, 'letra_normalized', letra_normalized, cer FROM r)
 SELECT model, stratum, level, count(*) AS n, round(avg(cer), 8) AS mean FROM long WHERE level IS NOT NULL AND trim(level) <> '' GROUP BY ALL""",
 )
@@ -300,14 +363,20 @@ def a3_strata(spark, d):
     return rows.withColumn("mean", F.round("mean", 8))
 
 
-@query("a4_modes")
+_MODES = ("strict", "content", "lenient")
+
+
+@query(
+    "a4_modes",
+    " UNION ALL ".join(f"(WITH {sql.pairs(m)}, scored AS (SELECT model, {sql.distance('ref', 'hyp')} AS distance, length(ref) AS gt_chars, length(hyp) AS hyp_chars FROM pairs) SELECT '{m}' AS mode, model, round(avg({RATE_SQL}), 8) AS cer_mean FROM scored GROUP BY model)" for m in _MODES),
+)
 def a4_modes(spark, d):
-    return evaluation.mode_comparison(table(spark, d, "gt_page"), table(spark, d, "hypothesis"))
+    return evaluation.mode_comparison(table(spark, d, "gt_page"), table(spark, d, "hypothesis")).withColumn("cer_mean", F.round("cer_mean", 8))
 
 
 @query(
     "a5_ranking",
-    f"""WITH {sql.LETTER_PAIRS}, m AS (SELECT model, count(*) AS n_pages, avg({RATE_SQL}) AS cer_mean FROM scored GROUP BY model)
+    f"""WITH {sql.SCORED}, m AS (SELECT model, count(*) AS n_pages, avg({RATE_SQL}) AS cer_mean FROM scored GROUP BY model)
 SELECT model, n_pages, round(cer_mean, 8) AS cer_mean, CAST(row_number() OVER (ORDER BY round(cer_mean, 4), model) AS INT) AS rank FROM m""",
 )
 def a5_ranking(spark, d):
@@ -317,7 +386,7 @@ def a5_ranking(spark, d):
 
 @query(
     "a8_boxplot_order",
-    f"""WITH {sql.LETTER_PAIRS}, l AS (SELECT model, list_sort(list({RATE_SQL})) AS v FROM scored GROUP BY model)
+    f"""WITH {sql.SCORED}, l AS (SELECT model, list_sort(list({RATE_SQL})) AS v FROM scored GROUP BY model)
 SELECT model, CAST(len(v) AS INT) AS n, round(v[len(v) // 2 + 1], 8) AS upper_median FROM l""",
 )
 def a8_boxplot_order(spark, d):
@@ -331,7 +400,7 @@ LEVELS = ["procesal", "procesal encadenada", "cortesana", "humanística"]
 
 @query(
     "a9_letra_pivot",
-    f"""WITH {sql.LETTER_PAIRS}, {sql.PAGES}, r AS (SELECT model, letra_normalized AS l, {RATE_SQL} AS cer FROM scored JOIN pages USING (page_id))
+    f"""WITH {sql.SCORED}, {sql.PAGES}, r AS (SELECT model, letra_normalized AS l, {RATE_SQL} AS cer FROM scored JOIN pages USING (page_id))
 SELECT model, {", ".join(f'round(avg(cer) FILTER (l = {chr(39)}{x}{chr(39)}), 8) AS "{x}"' for x in LEVELS)} FROM r WHERE l IN ({", ".join(f"'{x}'" for x in LEVELS)}) GROUP BY model""",
 )
 def a9_letra_pivot(spark, d):
@@ -341,7 +410,7 @@ def a9_letra_pivot(spark, d):
 
 @query(
     "a10_century_pivot",
-    f"""WITH {sql.LETTER_PAIRS}, {sql.PAGES}, r AS (SELECT model, siglo AS l, {RATE_SQL} AS cer FROM scored JOIN pages USING (page_id))
+    f"""WITH {sql.SCORED}, {sql.PAGES}, r AS (SELECT model, siglo AS l, {RATE_SQL} AS cer FROM scored JOIN pages USING (page_id))
 SELECT model, {", ".join(f"coalesce(round(avg(cer) FILTER (l = '{x}'), 8), 0) AS {x}" for x in ("XV", "XVI", "XVII"))} FROM r WHERE l IN ('XV', 'XVI', 'XVII') GROUP BY model""",
 )
 def a10_century_pivot(spark, d):
@@ -351,8 +420,8 @@ def a10_century_pivot(spark, d):
 
 @query(
     "a14_micro_average",
-    f"""WITH {sql.LETTER_PAIRS}, m AS (SELECT model, CAST(sum(distance) AS BIGINT) AS errors, CAST(sum(gt_chars) AS BIGINT) AS total FROM scored GROUP BY model)
-SELECT model, errors, total, errors / total AS rate, round((errors / total - avg(errors / total) OVER ()) / avg(errors / total) OVER (), 8) AS deviation FROM m""",
+    f"""WITH {sql.SCORED}, m AS (SELECT model, CAST(sum(distance) AS BIGINT) AS errors, CAST(sum(gt_chars) AS BIGINT) AS total FROM scored GROUP BY model)
+SELECT model, errors, total, errors / total AS rate, round((errors / total - avg(errors / total) OVER ()) / avg(errors / total) OVER (), 8) AS deviation, abs((errors / total - avg(errors / total) OVER ()) / avg(errors / total) OVER ()) > 0.15 AS flagged FROM m""",
 )
 def a14_micro_average(spark, d):
     rows = evaluation.micro_average(_scored(spark, d), F.col("distance"), F.col("gt_chars"))
@@ -361,7 +430,7 @@ def a14_micro_average(spark, d):
 
 @query(
     "a20_pooled",
-    f"""WITH {sql.LETTER_PAIRS} SELECT model, count(*) AS comparisons, count(DISTINCT page_id) AS pages, CAST(sum(distance) AS BIGINT) AS errors FROM scored GROUP BY model""",
+    f"""WITH {sql.SCORED} SELECT model, count(*) AS comparisons, count(DISTINCT page_id) AS pages, CAST(sum(distance) AS BIGINT) AS errors FROM scored GROUP BY model""",
 )
 def a20_pooled(spark, d):
     return _scored(spark, d).groupBy("model").agg(F.count("*").alias("comparisons"), F.countDistinct("page_id").alias("pages"), F.sum("distance").alias("errors"))
@@ -416,7 +485,7 @@ def _page_distances(spark, d):
     return _scored(spark, d).groupBy("page_id", "model").agg(F.min("distance").alias("distance"))
 
 
-_PAGE_DISTANCES = f"{sql.LETTER_PAIRS}, dist AS (SELECT page_id, model, min(distance) AS distance FROM scored GROUP BY page_id, model)"
+_PAGE_DISTANCES = f"{sql.SCORED}, dist AS (SELECT page_id, model, min(distance) AS distance FROM scored GROUP BY page_id, model)"
 _MODEL_PAIRS = f"""{_PAGE_DISTANCES},
 mp AS (SELECT a.page_id, a.model AS model_a, b.model AS model_b, a.distance AS value_a, b.distance AS value_b FROM dist a JOIN dist b ON a.page_id = b.page_id AND a.model < b.model)"""
 
@@ -441,7 +510,7 @@ def j10_uncatalogued(spark, d):
 
 @query(
     "j11_combined",
-    f"""WITH {sql.LETTER_PAIRS} SELECT model, CAST(sum(distance) FILTER (edition = 'paleographic') AS BIGINT) AS paleographic, CAST(sum(distance) FILTER (edition = 'critical') AS BIGINT) AS critical,
+    f"""WITH {sql.SCORED} SELECT model, CAST(sum(distance) FILTER (edition = 'paleographic') AS BIGINT) AS paleographic, CAST(sum(distance) FILTER (edition = 'critical') AS BIGINT) AS critical,
   CAST(sum(distance) FILTER (edition = 'editorial') AS BIGINT) AS editorial FROM scored GROUP BY model""",
 )
 def j11_combined(spark, d):
@@ -480,6 +549,7 @@ def t2_signed_ranks(spark, d):
     return rows.select("model_a", "model_b", "n", F.col("w").cast("double").alias("w"))
 
 
+# Two-sided p of the normal approximation with tie correction; erfc by the complementary error function's expansion of fixed accuracy.
 @query("t4_significance")
 def t4_significance(spark, d):
     rates = evaluation.per_page_and_model(_rates(spark, d))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from escriba.operators.evaluation import EXCLUDED_PAGES
+
 S = r"[\p{Z}\t-\r\x{1c}-\x{1f}\x{85}]"
 S_BUT_LF = r"[\p{Z}\t\x{0b}-\r\x{1c}-\x{1f}\x{85}]"
 
@@ -53,29 +55,47 @@ def t4(text: str) -> str:
     return replace(t3(text), (r"[^\p{L}\p{N}\p{M}]", ""))
 
 
-#: Letters beyond ASCII that letters-only texts have, and control characters that stand for them, so that bytes count as letters do.
+#: Letters beyond ASCII that word lists have, and control characters that stand for them, so that bytes count as letters do.
 WIDE = "áéíóúñçüãõàèòïêôâ·ìùû"
 NARROW = "||".join(f"chr({i})" for i in [*range(1, 9), *range(14, 27)])
 
 
-def letters(text: str) -> str:
-    return replace(f"lower({text})", ("[^a-záéíóúñçü ]", ""))
+#: Characters beside those that texts have, for which bytes count as letters do.
+CODES = "(" + "||".join(f"chr({i})" for i in range(1, 127)) + ")"
+
+
+def distance(a: str, b: str, by: str = "''") -> str:
+    """Edit distance in characters: each different character of the two texts becomes one of a single byte."""
+    if by == "''":
+        own = f"array_to_string(list_distinct(string_split({a} || {b}, '')), '')"
+        return f"levenshtein(translate({a}, {own}, substr({CODES}, 1, length({own}))), translate({b}, {own}, substr({CODES}, 1, length({own}))))"
+    both = f"list_intersect({a}, {b})"  # items that one side alone has are alike to each other, as they agree with nothing
+    coded = lambda x, lone: f"array_to_string(list_transform({x}, lambda w: chr(CAST(coalesce(nullif(list_position({both}, w), 0) + 2, {lone}) AS INT))), '')"
+    return f"levenshtein({coded(a, 1)}, {coded(b, 2)})"
 
 
 def narrow(text: str) -> str:
     return f"translate({text}, '{WIDE}', {NARROW})"
 
 
-PAIRS = f"""
-refs AS (SELECT DISTINCT subset, edition, page_id, {collapse(markers(strip("gt_text"), "content"))} AS ref FROM gt_page
-  WHERE gt_text IS NOT NULL AND page_id IS NOT NULL AND ((subset = 'codea' AND edition IN ('paleographic', 'critical')) OR (subset = 'toledo' AND edition = 'editorial'))),
-hyps AS (SELECT DISTINCT model, page_id, {collapse(markers(strip("hyp_text"), "content"))} AS hyp FROM hypothesis
+def evaluation_text(text: str, mode: str) -> str:
+    return collapse(markers(strip(text), mode) if mode != "strict" else strip(text))
+
+
+def pairs(mode: str = "content") -> str:
+    """refs, hyps and pairs of a comparison."""
+    excluded = ", ".join(f"'{p}'" for p in EXCLUDED_PAGES)
+    return f"""
+refs AS (SELECT DISTINCT subset, edition, page_id, {evaluation_text("gt_text", mode)} AS ref FROM gt_page
+  WHERE gt_text IS NOT NULL AND page_id IS NOT NULL AND page_id NOT IN ({excluded}) AND ((subset = 'codea' AND edition IN ('paleographic', 'critical')) OR (subset = 'toledo' AND edition = 'editorial'))),
+hyps AS (SELECT DISTINCT model, page_id, {evaluation_text("hyp_text", mode)} AS hyp FROM hypothesis
   WHERE hyp_text IS NOT NULL AND page_id IS NOT NULL AND model IS NOT NULL),
 pairs AS (SELECT subset, edition, page_id, model, ref, hyp FROM refs JOIN hyps USING (page_id))"""
 
-LETTER_PAIRS = f"""{PAIRS},
-lettered AS (SELECT subset, edition, page_id, model, {letters("ref")} AS ref, {letters("hyp")} AS hyp FROM pairs),
-scored AS (SELECT subset, edition, page_id, model, levenshtein({narrow("ref")}, {narrow("hyp")}) AS distance, length(ref) AS gt_chars, length(hyp) AS hyp_chars FROM lettered)"""
+
+PAIRS = pairs()
+SCORED = f"""{PAIRS},
+scored AS (SELECT subset, edition, page_id, model, ref, hyp, {distance("ref", "hyp")} AS distance, length(ref) AS gt_chars, length(hyp) AS hyp_chars FROM pairs)"""
 
 PAGES = """
 firsts AS (SELECT page_id, min(man_id) AS man_id FROM manifest WHERE page_id IS NOT NULL GROUP BY page_id),
