@@ -60,19 +60,26 @@ def reconstructed(text: Column) -> Column:
     return collapse_whitespace(F.regexp_replace(F.array_join(lines, " "), r"\[[^\]]*\]", " "))
 
 
-def orthography(texts: DataFrame, text: str, examples: int = 25) -> DataFrame:
-    """Per spelling of the period, how many words show it, how many different ones, and the first of them by the alphabet.
+#: Examples that are listed of a spelling, of a doubled letter, and of an h missing or added.
+EXAMPLES, FEWER_EXAMPLES = 25, 15
 
-    Words are counted before their spelling is looked at, so each different word is tested once.
+
+def orthography(texts: DataFrame, text: str) -> DataFrame:
+    """Per spelling of the period, how many words of the reconstructed text show it, how many different ones, and the first of them by the alphabet.
+
+    Of the c with cedilla its characters are counted, not its words. Words are counted before their spelling is looked at, so each different word is tested once.
     """
-    found = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), 1)
-    words = texts.where(F.col(text).isNotNull()).select(F.explode(found).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
+    running = texts.where(F.col(text).isNotNull()).select(reconstructed(F.col(text)).alias("t"))
+    found = F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1))
+    words = running.select(F.explode(found).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
     tests = {**ORTHOGRAPHY, **{f"double_{d}": d for d in DOUBLE_LETTERS}}
     shown = F.filter(F.array(*[F.when(F.col("word").rlike(p), F.lit(name)) for name, p in tests.items()]), lambda x: x.isNotNull())
     rows = words.select("word", "n", F.explode(shown).alias("feature"))
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("feature").orderBy("word"))).where(F.col("r") <= examples)
+    fewer = F.col("feature").startswith("double_") | F.col("feature").startswith("h_")
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("feature").orderBy("word"))).where(F.col("r") <= F.when(fewer, FEWER_EXAMPLES).otherwise(EXAMPLES))
     listed = first.groupBy("feature").agg(F.array_sort(F.collect_list("word")).alias("examples"))
-    return rows.groupBy("feature").agg(F.sum("n").alias("n"), F.count("*").alias("unique_words")).join(listed, "feature")
+    times = F.when(F.col("feature") == "c_cedilla", F.col("n") * F.regexp_count("word", F.lit("ç"))).otherwise(F.col("n"))
+    return rows.groupBy("feature").agg(F.sum(times).alias("n"), F.count("*").alias("unique_words")).join(listed, "feature")
 
 
 def counts_by_dimension(rows: DataFrame, dimensions: list[str], top: int = 10) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -102,21 +103,42 @@ def spans(pairs: DataFrame, keys: list[str], words: bool = False) -> DataFrame:
     return rows.mapInPandas(work, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", place int, tag string, ref_span string, hyp_span string, size int")
 
 
-def confusions(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, ref_char, hyp_char, class, n) of substituted characters."""
-    pairs = rows.where("tag = 'replace'").select(*by, F.explode(F.arrays_zip(F.split("ref_span", "").alias("r"), F.split("hyp_span", "").alias("h"))).alias("p"))
-    counted = pairs.where("p.r <> '' AND p.h <> ''").groupBy(*by, F.col("p.r").alias("ref_char"), F.col("p.h").alias("hyp_char")).agg(F.count("*").alias("n"))
-    return counted.withColumn("class", substitution_class(F.col("ref_char"), F.col("hyp_char")))
+def counted_spans(pairs: DataFrame, by: list[str], words: bool = False) -> DataFrame:
+    """(by, tag, ref_span, hyp_span, n): spans in error, counted batch by batch before anything leaves Python."""
+    kinds = dict(pairs.dtypes)
+    names = [*by, "tag", "ref_span", "hyp_span", "n"]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        glue = " " if words else ""
+        for batch in batches:
+            found: Counter[tuple] = Counter()
+            for ref, hyp, *own in zip(batch["ref"], batch["hyp"], *[batch[k] for k in by], strict=True):
+                a, b = (ref.split(), hyp.split()) if words else (ref, hyp)
+                for tag, i, j, k, m in align.operations(a, b):
+                    if tag != "equal":
+                        found[*own, tag, glue.join(a[i:j]), glue.join(b[k:m])] += 1
+            yield pd.DataFrame([(*key, n) for key, n in found.items()], columns=names)
+
+    rows = pairs.where("ref IS NOT NULL AND hyp IS NOT NULL").select(*by, for_error_analysis(F.col("ref")).alias("ref"), for_error_analysis(F.col("hyp")).alias("hyp"))
+    counted = rows.mapInPandas(work, ", ".join(f"{k} {kinds[k]}" for k in by) + ", tag string, ref_span string, hyp_span string, n bigint")
+    return counted.groupBy(*by, "tag", "ref_span", "hyp_span").agg(F.sum("n").alias("n"))
 
 
-def error_classes(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, class, n): substitutions by character, deletions and insertions by span; equal ones are counted before they are classed."""
+def confusions(counted: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ref_char, hyp_char, class, n) of substituted characters, from counted spans."""
+    pairs = counted.where("tag = 'replace'").select(*by, "n", F.explode(F.arrays_zip(F.split("ref_span", "").alias("r"), F.split("hyp_span", "").alias("h"))).alias("p"))
+    chars = pairs.where("p.r <> '' AND p.h <> ''").groupBy(*by, F.col("p.r").alias("ref_char"), F.col("p.h").alias("hyp_char")).agg(F.sum("n").alias("n"))
+    return chars.withColumn("class", substitution_class(F.col("ref_char"), F.col("hyp_char")))
+
+
+def error_classes(counted: DataFrame, by: list[str]) -> DataFrame:
+    """(by, class, n): substitutions by character, deletions and insertions by span, from counted spans."""
     chars = F.arrays_zip(F.split("ref_span", "").alias("r"), F.split("hyp_span", "").alias("h"))
     parts = F.when(F.col("tag") == "replace", chars).otherwise(F.array(F.struct(F.col("ref_span").alias("r"), F.col("hyp_span").alias("h"))))
-    pairs = rows.where("tag <> 'equal'").select(*by, "tag", F.explode(parts).alias("p")).where("tag <> 'replace' OR (p.r <> '' AND p.h <> '')")
-    counted = pairs.groupBy(*by, "tag", "p.r", "p.h").agg(F.count("*").alias("n"))
+    pairs = counted.select(*by, "tag", "n", F.explode(parts).alias("p")).where("tag <> 'replace' OR (p.r <> '' AND p.h <> '')")
+    summed = pairs.groupBy(*by, "tag", "p.r", "p.h").agg(F.sum("n").alias("n"))
     kind = F.when(F.col("tag") == "replace", substitution_class(F.col("r"), F.col("h"))).when(F.col("tag") == "delete", deletion_class(F.col("r"))).otherwise(insertion_class(F.col("h")))
-    return counted.groupBy(*by, kind.alias("class")).agg(F.sum("n").alias("n"))
+    return summed.groupBy(*by, kind.alias("class")).agg(F.sum("n").alias("n"))
 
 
 def garbled_runs(rows: DataFrame, keys: list[str], least: int = GARBLED) -> DataFrame:
@@ -131,16 +153,26 @@ def garbled_runs(rows: DataFrame, keys: list[str], least: int = GARBLED) -> Data
     return runs.where((F.col("errors") >= least) & (F.col("end") < F.col("last"))).select(*keys, "island", "errors", "length")
 
 
-def word_errors(rows: DataFrame, by: list[str], top: int | None = None) -> DataFrame:
-    """E5: (by, tag, ref_word, hyp_word, n) of words replaced, left out and put in."""
+def word_errors(counted: DataFrame, by: list[str], top: int | None = None) -> DataFrame:
+    """E5: (by, tag, ref_word, hyp_word, n) of words replaced, left out and put in, from counted spans of words."""
     zipped = F.arrays_zip(F.split("ref_span", " ").alias("r"), F.split("hyp_span", " ").alias("h"))
-    pairs = rows.where("tag <> 'equal'").select(*by, "tag", F.explode(zipped).alias("p"))
+    pairs = counted.select(*by, "tag", "n", F.explode(zipped).alias("p"))
     blank = lambda c: F.when(F.col(c) == "", None).otherwise(F.col(c))
-    counted = pairs.groupBy(*by, "tag", blank("p.r").alias("ref_word"), blank("p.h").alias("hyp_word")).agg(F.count("*").alias("n"))
+    summed = pairs.groupBy(*by, "tag", blank("p.r").alias("ref_word"), blank("p.h").alias("hyp_word")).agg(F.sum("n").alias("n"))
     if top is None:
-        return counted
+        return summed
     order = Window.partitionBy(*by, "tag").orderBy(F.desc("n"), "ref_word", "hyp_word")
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def version_report(classes: DataFrame, totals: DataFrame, version: str = "model") -> DataFrame:
+    """Per version and class of error its count, its share of the version's errors and its rate over the characters of the reference,
+    and how far that rate is from the mean of the versions."""
+    own = classes.groupBy(version).agg(F.sum("n").alias("errors"))
+    rows = classes.join(own, version).join(totals, version).withColumn("rate", F.col("n") / F.col("gt_chars")).withColumn("share", F.col("n") / F.col("errors"))
+    mean = rows.groupBy("class").agg(F.avg("rate").alias("mean_rate"))
+    out = rows.join(F.broadcast(mean), "class")  # as many rows as there are classes
+    return out.select(version, "class", "n", "share", "rate", ((F.col("rate") - F.col("mean_rate")) / F.col("mean_rate")).alias("deviation"))
 
 
 def persistent_confusions(confused: DataFrame, version: str = "model", top: int = 30) -> DataFrame:
@@ -152,16 +184,23 @@ def persistent_confusions(confused: DataFrame, version: str = "model", top: int
 
 
 def line_diff(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Per text the lines kept, replaced, left out and put in, as runs of lines of both sides."""
+    """Per text the lines kept, replaced, left out and put in, as runs of lines of both sides; of replaced lines also the words,
+    with their tags, in the order of the lines."""
+
+    def words(a: list[str], b: list[str]) -> list[dict]:
+        left, right = " ".join(a).split(), " ".join(b).split()
+        found = difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes()
+        return [{"tag": tag, "ref": " ".join(left[i:j]), "hyp": " ".join(right[k:m])} for tag, i, j, k, m in found]
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
-                a, b = row["ref"].split("\n"), row["hyp"].split("\n")
+            for ref, hyp, *own in zip(batch["ref"], batch["hyp"], *[batch[k] for k in keys], strict=True):
+                a, b = ref.split("\n"), hyp.split("\n")
                 for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-                    out.append((*[row[k_] for k_ in keys], tag, "\n".join(a[i:j]), "\n".join(b[k:m])))
-            yield pd.DataFrame(out, columns=[*keys, "tag", "ref_lines", "hyp_lines"])
+                    out.append((*own, tag, "\n".join(a[i:j]), "\n".join(b[k:m]), words(a[i:j], b[k:m]) if tag == "replace" else []))
+            yield pd.DataFrame(out, columns=[*keys, "tag", "ref_lines", "hyp_lines", "words"])
 
     kinds = dict(pairs.dtypes)
     rows = pairs.where("ref IS NOT NULL AND hyp IS NOT NULL").select(*keys, "ref", "hyp")
-    return rows.mapInPandas(work, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", tag string, ref_lines string, hyp_lines string")
+    return rows.mapInPandas(work, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", tag string, ref_lines string, hyp_lines string, words array<struct<tag: string, ref: string, hyp: string>>")

@@ -191,9 +191,9 @@ def model_pairs(rows: DataFrame, value: str = "cer") -> DataFrame:
     return b.select("page_id", F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b"), F.col("a.v").alias("value_a"), F.col("b.v").alias("value_b"))
 
 
-def per_page_and_model(rows: DataFrame, value: str = "cer") -> DataFrame:
-    """One value per page and model: the mean over editions and runs."""
-    return rows.groupBy("page_id", "model").agg(F.avg(value).alias(value))
+def per_page_and_model(rows: DataFrame, value: str = "cer", places: int = 6) -> DataFrame:
+    """One value per page and model: the mean over editions and runs, rounded as reports hold it."""
+    return rows.groupBy("page_id", "model").agg(F.round(F.avg(value), places).alias(value))
 
 
 #: How far a group's rate may be from the mean before it is flagged.

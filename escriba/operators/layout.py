@@ -40,7 +40,7 @@ def overlapping(boxes: DataFrame, least: float = 0.3) -> DataFrame:
 
 def large_enough(boxes: DataFrame, classes: DataFrame, least: float = 0.01) -> DataFrame:
     """boxes of known classes, under the class they are mapped to, that fill some share of the page."""
-    mapped = boxes.join(F.broadcast(classes.limit(1000)), "class_name")  # a list of classes, cut at 1000
+    mapped = boxes.join(classes.dropDuplicates(["class_name"]), "class_name")
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     return mapped.where(size >= F.col("page_width") * F.col("page_height") * F.lit(least))
 
@@ -190,14 +190,29 @@ def content_box(boxes: DataFrame, least_area: float = 0.5, least_confidence: flo
     return joined.select("page_id", pick("a", F.lit(0)).alias("x1"), pick("b", F.lit(0)).alias("y1"), pick("c", F.col("w")).alias("x2"), pick("d", F.col("h")).alias("y2"))
 
 
-def runs(rows: DataFrame, keys: list[str], order: str, same: list[str]) -> DataFrame:
-    """Number of the run of consecutive rows with equal values."""
-    window = Window.partitionBy(*keys).orderBy(order)
-    changed = F.lit(False)
-    for column in same:
-        changed = changed | ~F.col(column).eqNullSafe(F.lag(column).over(window))
-    first = F.row_number().over(window) == 1
-    return rows.withColumn("_new", F.when(first | changed, 1).otherwise(0)).withColumn("run", F.sum("_new").over(window)).drop("_new")
+#: Ranges of the order over which runs are numbered apart.
+RUN_SLICES = 1024
+
+
+def runs(rows: DataFrame, keys: list[str], order: str, same: list[str], slices: int = RUN_SLICES) -> DataFrame:
+    """Number of the run of consecutive rows with equal values. The order is a number, different in each row of a group.
+
+    Runs are numbered within ranges of the order; where a range begins, and how many runs lie before it, comes from one row per group and range,
+    so that a group of any size is never sorted in one task.
+    """
+    span = rows.agg(F.min(order).alias("_low"), ((F.max(order) - F.min(order)) / slices + 1).alias("_width"))
+    cut = rows.crossJoin(F.broadcast(span)).withColumn("_slice", F.floor((F.col(order) - F.col("_low")) / F.col("_width"))).drop("_low", "_width")  # one row
+    values = F.struct(*same)
+    window = Window.partitionBy(*keys, "_slice").orderBy(order)
+    before = F.lag(values).over(window)
+    marked = cut.withColumn("_new", F.when(before.isNotNull() & ~values.eqNullSafe(before), 1).otherwise(0))
+    edges = marked.groupBy(*keys, "_slice").agg(F.sum("_new").alias("_inner"), F.min_by(values, order).alias("_first"), F.max_by(values, order).alias("_last"))
+    along = Window.partitionBy(*keys).orderBy("_slice")  # `slices` rows at most
+    edges = edges.withColumn("_begins", F.when(F.lag("_last").over(along).eqNullSafe(F.col("_first")), 0).otherwise(1))
+    edges = edges.withColumn("_base", F.sum(F.col("_inner") + F.col("_begins")).over(along) - F.col("_inner"))
+    joined = marked.join(edges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_slice").alias("_at"), "_base"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_slice") == F.col("_at")])
+    numbered = joined.withColumn("run", F.col("_base") + F.sum("_new").over(window))
+    return numbered.drop("_slice", "_new", "_base", "_at", *[f"_{k}" for k in keys])
 
 
 def join_blocks(blocks: DataFrame) -> DataFrame:

@@ -41,9 +41,8 @@ def by_page(left: DataFrame, right: DataFrame, key: str = "page_id") -> DataFram
     place = F.pmod(F.xxhash64(*others), F.col("parts")).cast("int")
     spread = right.join(hot, key, "left").withColumn("part", F.coalesce(place, F.lit(0))).drop("parts")
     repeated = left.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    # what is done with a pair costs far more than its bytes suggest, so the number of tasks isn't left to their size
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return repeated.repartition(tasks, key, "part").hint("merge").join(spread.repartition(tasks, key, "part"), [key, "part"]).drop("part")
+    # both sides are shuffled on the join's own keys, so that adaptive execution may join small partitions and split large ones
+    return repeated.hint("merge").join(spread, [key, "part"]).drop("part")
 
 
 def busy(rows: DataFrame) -> DataFrame:

@@ -17,6 +17,16 @@ def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame
     return rows.select(key, F.explode(broken).alias("rule"))
 
 
+def metadata_rules(fields: dict[str, Column], available: Column, kind: Column, form: Column, listed: Column, found: Column) -> dict[str, Column]:
+    """F8: what must hold of a document's metadata: core fields are there, the ground truth is of a known kind, and listed pages are those found."""
+    rules = {f"metadata missing {name}": column.isNotNull() for name, column in fields.items()}
+    rules["ground_truth missing available"] = available.isNotNull()
+    rules["invalid ground_truth.type"] = kind.isNull() | kind.isin(*[k for k in GROUND_TRUTH_TYPES if k])
+    rules["invalid ground_truth.format"] = form.isNull() | form.isin(*[f for f in GROUND_TRUTH_FORMATS if f])
+    rules["facsimile_pages mismatch"] = same_set(F.coalesce(listed, F.array().cast("array<string>")), found)
+    return rules
+
+
 def same_set(a: Column, b: Column) -> Column:
     """Whether two arrays hold the same values, as often."""
     return F.array_sort(a) == F.array_sort(b)

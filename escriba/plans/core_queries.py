@@ -108,7 +108,7 @@ def n7b_error_analysis(spark, d):
     return table(spark, d, "gt_page").select("gt_id", text.for_error_analysis(F.col("gt_text")).alias("text"))
 
 
-@query("n20_resolution")
+@query("n20_resolution", f"SELECT hyp_id, {sql.collapse(sql.review_markers('nfc_normalize(hyp_text)'))} AS text FROM hypothesis")
 def n20_resolution(spark, d):
     return table(spark, d, "hypothesis").select("hyp_id", text.for_resolution_experiment(F.col("hyp_text")).alias("text"))
 
@@ -451,9 +451,10 @@ _FEATURES = {**corpus.ORTHOGRAPHY, **{f"double_{x}": x for x in corpus.DOUBLE_LE
 
 @query(
     "a17_orthography",
-    "WITH w AS (SELECT lower(unnest(regexp_extract_all(gt_text, '[a-záéíóúçñA-ZÁÉÍÓÚÇÑ]+'))) AS word FROM gt_page), c AS (SELECT word, count(*) AS n FROM w GROUP BY word), l AS ("
+    f"WITH w AS (SELECT lower(unnest(regexp_extract_all({sql.reconstructed('gt_text')}, '[a-záéíóúçñA-ZÁÉÍÓÚÇÑ]+'))) AS word FROM gt_page), c AS (SELECT word, count(*) AS n FROM w GROUP BY word), l AS ("
     + " UNION ALL ".join(f"SELECT '{n}' AS feature, word, n FROM c WHERE regexp_matches(word, '{p}')" for n, p in _FEATURES.items())
-    + ") SELECT feature, CAST(sum(n) AS BIGINT) AS n, count(*) AS unique_words, list_sort(list(word))[1:25] AS examples FROM l GROUP BY feature",
+    + """) SELECT feature, CAST(sum(CASE WHEN feature = 'c_cedilla' THEN n * (length(word) - length(replace(word, 'ç', ''))) ELSE n END) AS BIGINT) AS n, count(*) AS unique_words,
+  list_sort(list(word))[1:CASE WHEN feature LIKE 'double_%' OR feature LIKE 'h_%' THEN 15 ELSE 25 END] AS examples FROM l GROUP BY feature""",
 )
 def a17_orthography(spark, d):
     return corpus.orthography(table(spark, d, "gt_page"), "gt_text")
@@ -549,11 +550,20 @@ def t2_signed_ranks(spark, d):
     return rows.select("model_a", "model_b", "n", F.col("w").cast("double").alias("w"))
 
 
-# Two-sided p of the normal approximation with tie correction; erfc by the complementary error function's expansion of fixed accuracy.
-@query("t4_significance")
+def _tests(spark, d):
+    rates = evaluation.per_page_and_model(_rates(spark, d))
+    return stats.wilcoxon(evaluation.model_pairs(rates))
+
+
+@query("t2_wilcoxon", f"WITH {sql.TESTS} SELECT model_a, model_b, n, statistic, p_value FROM tested")
+def t2_wilcoxon(spark, d):
+    return _tests(spark, d).withColumn("p_value", F.round("p_value", 6))
+
+
+@query("t4_significance", f"WITH {sql.TESTS} SELECT model_a, model_b, n, statistic, p_value, round(p_adjusted, 9) AS p_adjusted, p_adjusted < 0.05 AS significant FROM corrected")
 def t4_significance(spark, d):
     rates = evaluation.per_page_and_model(_rates(spark, d))
-    return stats.pairwise_significance(rates, evaluation.model_pairs(rates))
+    return stats.pairwise_significance(rates, evaluation.model_pairs(rates)).withColumn("p_adjusted", F.round("p_adjusted", 9))
 
 
 @query("t1_bootstrap")
@@ -561,17 +571,10 @@ def t1_bootstrap(spark, d):
     return stats.bootstrap_intervals(evaluation.per_page_and_model(_rates(spark, d)))
 
 
-@query(
-    "t3_holm",
-    f"""WITH {_MODEL_PAIRS}, p AS (SELECT model_a, model_b, round(sum(CASE WHEN value_a <= value_b THEN 1 ELSE 0 END) / count(*) / 50, 6) AS p_value FROM mp GROUP BY model_a, model_b),
-o AS (SELECT *, row_number() OVER (ORDER BY p_value, model_a, model_b) AS k, count(*) OVER () AS m FROM p),
-h AS (SELECT model_a, model_b, p_value, least(max(p_value * (m - k + 1)) OVER (ORDER BY p_value, model_a, model_b ROWS UNBOUNDED PRECEDING), 1) AS adj FROM o)
-SELECT model_a, model_b, p_value, round(adj, 9) AS p_adjusted, adj < 0.05 AS significant FROM h""",
-)
+@query("t3_holm", f"WITH {sql.TESTS} SELECT model_a, model_b, p_value, round(p_adjusted, 9) AS p_adjusted, p_adjusted < 0.05 AS significant FROM corrected")
 def t3_holm(spark, d):
-    """The correction over shares of pages that stand for p-values."""
-    share = F.sum(F.when(F.col("value_a") <= F.col("value_b"), 1).otherwise(0)) / F.count("*") / 50
-    tests = evaluation.model_pairs(_page_distances(spark, d), "distance").groupBy("model_a", "model_b").agg(F.round(share, 6).alias("p_value"))
+    """The correction over the p-values of the signed-rank tests."""
+    tests = _tests(spark, d).select("model_a", "model_b", F.round("p_value", 6).alias("p_value"))
     return stats.holm(tests).withColumn("p_adjusted", F.round("p_adjusted", 9))
 
 
@@ -584,23 +587,34 @@ def t5_gate(spark, d):
 # --- errors ----------------------------------------------------------------------------------------------------
 
 
-def _spans(spark, d, words=False):
-    return errors.spans(_compared(spark, d, "strict"), KEYS, words)
+def _spans(spark, d):
+    return errors.spans(_compared(spark, d, "strict"), KEYS)
+
+
+def _counted(spark, d, words=False):
+    return errors.counted_spans(_compared(spark, d, "strict"), ["model"], words)
 
 
 @query("e4_error_classes")
 def e4_error_classes(spark, d):
-    return errors.error_classes(_spans(spark, d), ["model"])
+    return errors.error_classes(_counted(spark, d), ["model"])
 
 
 @query("a13_confusions")
 def a13_confusions(spark, d):
-    return errors.confusions(_spans(spark, d), ["model"])
+    return errors.confusions(_counted(spark, d), ["model"])
 
 
 @query("e7_persistent")
 def e7_persistent(spark, d):
-    return errors.persistent_confusions(errors.confusions(_spans(spark, d), ["model"]))
+    return errors.persistent_confusions(errors.confusions(_counted(spark, d), ["model"]))
+
+
+@query("e7_versions")
+def e7_versions(spark, d):
+    """Classes of errors per model against the characters of its pages."""
+    totals = _compared(spark, d, "strict").groupBy("model").agg(F.sum(F.length(text.for_error_analysis(F.col("ref")))).alias("gt_chars"))
+    return errors.version_report(errors.error_classes(_counted(spark, d), ["model"]), totals)
 
 
 @query("w4_garbled")
@@ -610,7 +624,7 @@ def w4_garbled(spark, d):
 
 @query("e5_word_errors")
 def e5_word_errors(spark, d):
-    return errors.word_errors(_spans(spark, d, words=True), ["model"])
+    return errors.word_errors(_counted(spark, d, words=True), ["model"])
 
 
 @query("e6_line_diff")
@@ -771,7 +785,7 @@ def a15_abbreviation_groups(spark, d):
     return vocabulary.abbreviation_groups(vocabulary.abbreviation_instances(table(spark, d, "gt_page"), "gt_id", "gt_text"), "gt_id")
 
 
-@query("n19_reconstructed")
+@query("n19_reconstructed", f"SELECT gt_id, {sql.reconstructed('gt_text')} AS text FROM gt_page")
 def n19_reconstructed(spark, d):
     return table(spark, d, "gt_page").select("gt_id", corpus.reconstructed(F.col("gt_text")).alias("text"))
 
@@ -866,21 +880,34 @@ def s18_facsimiles(spark, d):
     return found.select(F.col("doc_id").alias("entry_id"), "page", "place")
 
 
+_SEEN = "seen AS (SELECT doc_id, list_sort(list(DISTINCT page)) AS pages FROM manifest WHERE doc_id IS NOT NULL AND page IS NOT NULL GROUP BY doc_id)"
+
+
+def _with_pages_seen(spark, d):
+    """Entries with the pages that are catalogued of their document."""
+    seen = table(spark, d, "manifest").where("doc_id IS NOT NULL AND page IS NOT NULL").groupBy("doc_id").agg(F.collect_set("page").alias("pages"))
+    return table(spark, d, "document_entry").join(seen, "doc_id", "left").withColumn("pages", F.coalesce("pages", F.array().cast("array<string>")))
+
+
 @query(
     "f8_violations",
-    """SELECT entry_id, 'script given' AS rule FROM document_entry WHERE letra IS NULL OR trim(letra) = '' UNION ALL
-SELECT entry_id, 'century known' FROM document_entry WHERE siglo IS NULL OR siglo NOT IN ('XV', 'XVI', 'XVII') UNION ALL
-SELECT entry_id, 'pages in order' FROM document_entry WHERE coalesce(facsimile_pages <> list_sort(facsimile_pages), true) UNION ALL
-SELECT entry_id, 'downloaded without errors' FROM document_entry WHERE NOT coalesce(downloaded AND len(errors) = 0, false)""",
+    f"""WITH {_SEEN}, e AS (SELECT d.*, coalesce(pages, []) AS pages FROM document_entry d LEFT JOIN seen USING (doc_id))
+{" UNION ALL ".join(f"SELECT entry_id, 'metadata missing {name}' AS rule FROM e WHERE {column} IS NULL" for name, column in (("doc_id", "doc_id"), ("date", "fecha"), ("archive", "archivo"), ("letra", "letra"), ("facsimile_pages", "facsimile_pages")))}
+UNION ALL SELECT entry_id, 'facsimile_pages mismatch' FROM e WHERE list_sort(coalesce(facsimile_pages, [])) <> pages""",
 )
 def f8_violations(spark, d):
-    rules = {
-        "script given": F.trim("letra") != "",
-        "century known": F.col("siglo").isin("XV", "XVI", "XVII"),
-        "pages in order": quality.same_set(F.col("facsimile_pages"), F.col("facsimile_pages")) & (F.col("facsimile_pages") == F.array_sort("facsimile_pages")),
-        "downloaded without errors": F.col("downloaded") & (F.size("errors") == 0),
-    }
-    return quality.violations(table(spark, d, "document_entry"), "entry_id", rules)
+    """Fields that metadata must have, what the ground truth may be, and listed pages against those that are there."""
+    has = F.size(F.coalesce("facsimile_pages", F.array().cast("array<string>"))) > 0
+    kind, form = F.when(has, "paleographic+critical"), F.when(has, "per-page-txt")
+    fields = {"doc_id": "doc_id", "date": "fecha", "archive": "archivo", "letra": "letra", "facsimile_pages": "facsimile_pages"}
+    rules = quality.metadata_rules({n: F.col(c) for n, c in fields.items()}, has, kind, form, F.col("facsimile_pages"), F.col("pages"))
+    return quality.violations(_with_pages_seen(spark, d), "entry_id", rules)
+
+
+@query("u5_same_pages", f"WITH {_SEEN} SELECT entry_id, list_sort(coalesce(facsimile_pages, [])) = coalesce(pages, []) AS same FROM document_entry LEFT JOIN seen USING (doc_id)")
+def u5_same_pages(spark, d):
+    listed = F.coalesce("facsimile_pages", F.array().cast("array<string>"))
+    return _with_pages_seen(spark, d).select("entry_id", quality.same_set(listed, F.col("pages")).alias("same"))
 
 
 @query("f9_metadata")

@@ -100,3 +100,42 @@ scored AS (SELECT subset, edition, page_id, model, ref, hyp, {distance("ref", "h
 PAGES = """
 firsts AS (SELECT page_id, min(man_id) AS man_id FROM manifest WHERE page_id IS NOT NULL GROUP BY page_id),
 pages AS (SELECT m.page_id, dataset, siglo, letra_normalized, doc_id FROM manifest m JOIN firsts USING (man_id))"""
+
+
+def reconstructed(text: str) -> str:
+    """Running text of line-split ground truth."""
+    x = strip("x")
+    kept = f"list_filter(string_split({text}, chr(10)), lambda x: NOT regexp_matches({x}, '^\\{{h\\.\\s+[0-9]+[rv]\\}}$') AND NOT regexp_matches({x}, '^[0-9]+$') AND NOT regexp_matches({x}, '^[a-záéíóúçñ]{{1,10}}$'))"
+    return collapse(f"regexp_replace(array_to_string({kept}, ' '), '\\[[^\\]]*\\]', ' ', 'g')")
+
+
+def review_markers(text: str) -> str:
+    """The marker rules of the review variant."""
+    for name in ("tachado", "raspado", "sobre raspado", "sobrescrito", "interlineado", "firma", "margen", r"mano \d+", "encabezamiento", "título", r"lat\.", "nota"):
+        kept = any(k in name for k in ("firma", "interlineado", "sobrescrito", "encabezamiento", "mano"))
+        text = replace(text, (rf"(?is)\[{name}{S}*:{S}*(.*?)\]", r"\1" if kept else ""))
+    return replace(
+        text,
+        (r"(?i)\[blanco\]", " "),
+        (r"(?i)\[(?:rúbrica|cruz|signo|sello|crismón|roto|doblez|mancha|ilegible|quirógrafo)\]", ""),
+        (r"\[([a-záéíóúñç]{1,5})\]", r"\1"),
+    )
+
+
+#: Per page and model the rounded mean rate; per two models the signed-rank test and its correction.
+TESTS = f"""{SCORED},
+page_rates AS (SELECT page_id, model, round(avg(CASE WHEN gt_chars = 0 THEN CASE WHEN hyp_chars > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE distance / gt_chars END), 6) AS v FROM scored GROUP BY page_id, model),
+mates AS (SELECT a.model AS model_a, b.model AS model_b, a.v - b.v AS d FROM page_rates a JOIN page_rates b ON a.page_id = b.page_id AND a.model < b.model),
+ranked AS (SELECT model_a, model_b, d, count(*) OVER w AS t, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) + (count(*) OVER w - 1) / 2 AS r FROM mates WHERE d <> 0 WINDOW w AS (PARTITION BY model_a, model_b, abs(d))),
+summed AS (SELECT model_a, model_b, count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w, sum(t * t - 1) AS ties, max(t) AS most FROM ranked GROUP BY model_a, model_b),
+normal AS (SELECT *, abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM summed WHERE n >= 2 AND (n > 50 OR most > 1)),
+approximate AS (SELECT model_a, model_b, n, w, CASE WHEN z > 9 THEN 0 ELSE 2 / sqrt(2 * pi()) * (10 - z) / 2000 / 3 * list_sum(list_transform(range(0, 2001),
+  lambda k: (CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(0 - (z + k * (10 - z) / 2000) * (z + k * (10 - z) / 2000) / 2))) END AS p FROM normal),
+few AS (SELECT *, CAST(n * (n + 1) / 2 + 1 AS BIGINT) AS size FROM summed WHERE n >= 2 AND n <= 50 AND most = 1),
+counted AS (SELECT *, list_reduce(list_concat([list_transform(range(1, size + 1), lambda i: CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)], list_transform(range(1, n + 1), lambda r: [r::DOUBLE])),
+  lambda acc, x: list_transform(range(1, len(acc) + 1), lambda i: acc[i] + CASE WHEN i > x[1] THEN acc[i - CAST(x[1] AS BIGINT)] ELSE 0.0::DOUBLE END)) AS ways FROM few),
+exact AS (SELECT model_a, model_b, n, w, least(1.0::DOUBLE, 2 * list_sum(ways[1:CAST(floor(w) AS BIGINT) + 1]) / (2.0::DOUBLE ** n)) AS p FROM counted),
+tested AS (SELECT k.model_a, k.model_b, coalesce(t.n, 0) AS n, coalesce(CAST(t.w AS DOUBLE), 0) AS statistic, round(coalesce(t.p, 1), 6) AS p_value
+  FROM (SELECT DISTINCT model_a, model_b FROM mates) k LEFT JOIN (SELECT * FROM approximate UNION ALL SELECT * FROM exact) t USING (model_a, model_b)),
+placed AS (SELECT *, row_number() OVER (ORDER BY p_value, model_a, model_b) AS k, count(*) OVER () AS m FROM tested),
+corrected AS (SELECT model_a, model_b, n, statistic, p_value, least(max(p_value * (m - k + 1)) OVER (ORDER BY p_value, model_a, model_b ROWS UNBOUNDED PRECEDING), 1) AS p_adjusted FROM placed)"""

@@ -56,9 +56,9 @@ def test_bootstrap(spark):
 def test_errors(spark):
     df = spark.createDataFrame([("m", "p", "çenso uno dos", "censo vno"), ("m", "q", "abc", "abc"), ("m", "r", "", "x")], "model string, page_id string, ref string, hyp string")
     rows = errors.spans(df, ["model", "page_id"])
-    found = {(r["class"]): r.n for r in errors.error_classes(rows, ["model"]).collect()}
+    found = {(r["class"]): r.n for r in errors.error_classes(errors.counted_spans(df, ["model"]), ["model"]).collect()}
     assert found == {"diacritical": 1, "paleographic_alternation": 1, "deleted_text": 1, "inserted_text": 1}
-    words = {(r.tag, r.ref_word, r.hyp_word) for r in errors.word_errors(errors.spans(df, ["model", "page_id"], words=True), ["model"]).collect()}
+    words = {(r.tag, r.ref_word, r.hyp_word) for r in errors.word_errors(errors.counted_spans(df, ["model"], words=True), ["model"]).collect()}
     assert ("replace", "çenso", "censo") in words and ("delete", "dos", None) in words and ("insert", None, "x") in words
     run = spark.createDataFrame([("m", "p", "x" * 25 + "fin", "y" * 25 + "fin"), ("m", "q", "fin" + "x" * 25, "fin" + "y" * 25)], "model string, page_id string, ref string, hyp string")
     assert [(r.page_id, r.errors) for r in errors.garbled_runs(errors.spans(run, ["model", "page_id"]), ["model", "page_id"]).collect()] == [("p", 25)]
