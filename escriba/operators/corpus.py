@@ -93,3 +93,24 @@ def counts_by_dimension(rows: DataFrame, dimensions: list[str], top: int = 10) -
 def union_of(*layers: DataFrame) -> DataFrame:
     """All rows of tables of one schema."""
     return reduce(DataFrame.unionByName, layers)
+
+
+#: Rows that a report lists of spellings' words and of abbreviations.
+REPORT_ABBREVIATIONS = 50
+
+
+def corpus_report(texts: DataFrame, key: str, text: str, top: int = REPORT_ABBREVIATIONS) -> DataFrame:
+    """K4: (section, place, item, n, detail): totals, markers, spellings of the period, and the most frequent expansions."""
+    from escriba.operators.vocabulary import abbreviation_groups, abbreviation_instances
+
+    present = texts.where(F.col(text).isNotNull())
+    totals = texts.agg(F.count(text).alias("pages"), F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("long").alias("characters"), F.count(F.when(F.col(text).isNull(), 1)).alias("missing"))
+    named = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("item"), F.col(n).cast("long").alias("n")) for i, n in enumerate(("pages", "characters", "missing"))])
+    nothing = F.lit(None).cast("string")
+    parts = [totals.select(F.explode(named).alias("x")).select(F.lit("totals").alias("section"), "x.*", nothing.alias("detail"))]
+    order = lambda by: F.row_number().over(Window.orderBy(*by)) - 1  # noqa: E731  (some twenty rows each)
+    parts.append(marker_counts(present, text).select(F.lit("markers").alias("section"), order([F.desc("n"), "marker"]).alias("place"), F.col("marker").alias("item"), F.col("n").cast("long").alias("n"), nothing.alias("detail")))
+    parts.append(orthography(present, text).select(F.lit("spellings").alias("section"), order(["feature"]).alias("place"), F.col("feature").alias("item"), F.col("n").cast("long").alias("n"), F.array_join("examples", ", ").alias("detail")))
+    groups = abbreviation_groups(abbreviation_instances(present, key, text), key).orderBy(F.desc("n"), "expansion").limit(top)
+    parts.append(groups.select(F.lit("abbreviations").alias("section"), order([F.desc("n"), "expansion"]).alias("place"), F.col("expansion").alias("item"), F.col("n").cast("long").alias("n"), F.array_join("patterns", ", ").alias("detail")))
+    return union_of(*parts)

@@ -449,13 +449,15 @@ def a16_marker_counts(spark, d):
 _FEATURES = {**corpus.ORTHOGRAPHY, **{f"double_{x}": x for x in corpus.DOUBLE_LETTERS}}
 
 
-@query(
-    "a17_orthography",
+ORTHOGRAPHY_SQL = (
     f"WITH w AS (SELECT lower(unnest(regexp_extract_all({sql.reconstructed('gt_text')}, '[a-záéíóúçñA-ZÁÉÍÓÚÇÑ]+'))) AS word FROM gt_page), c AS (SELECT word, count(*) AS n FROM w GROUP BY word), l AS ("
     + " UNION ALL ".join(f"SELECT '{n}' AS feature, word, n FROM c WHERE regexp_matches(word, '{p}')" for n, p in _FEATURES.items())
     + """) SELECT feature, CAST(sum(CASE WHEN feature = 'c_cedilla' THEN n * (length(word) - length(replace(word, 'ç', ''))) ELSE n END) AS BIGINT) AS n, count(*) AS unique_words,
-  list_sort(list(word))[1:CASE WHEN feature LIKE 'double_%' OR feature LIKE 'h_%' THEN 15 ELSE 25 END] AS examples FROM l GROUP BY feature""",
+  list_sort(list(word))[1:CASE WHEN feature LIKE 'double_%' OR feature LIKE 'h_%' THEN 15 ELSE 25 END] AS examples FROM l GROUP BY feature"""
 )
+
+
+@query("a17_orthography", ORTHOGRAPHY_SQL)
 def a17_orthography(spark, d):
     return corpus.orthography(table(spark, d, "gt_page"), "gt_text")
 

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from escriba.plans import core_queries  # noqa: F401
+    from escriba.plans import core_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

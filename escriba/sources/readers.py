@@ -262,7 +262,16 @@ def facsimiles_found(probes: DataFrame, misses: int = 4) -> DataFrame:
     return probes.withColumn("_ended", ended).where("found AND _ended = 0").select("doc_id", "page", "place")
 
 
-def pictures(spark: SparkSession, path: str) -> DataFrame:
-    """Pictures with their bytes and length, and the bytes in base 64."""
-    rows = spark.read.format("binaryFile").load(path)
+#: Bytes that a picture may have so that its base 64 form stays within the five megabytes that services take.
+PICTURE_BYTES = 5 * 1024 * 1024 * 3 // 4
+
+
+def pictures(spark: SparkSession, path: str, most_bytes: int = PICTURE_BYTES) -> DataFrame:
+    """Pictures with their bytes and length, and the bytes in base 64; larger ones aren't read, see ``oversized``."""
+    rows = spark.read.format("binaryFile").load(path).where(F.col("length") <= most_bytes)
     return rows.select("path", "length", "content", F.base64("content").alias("base64"))
+
+
+def oversized(spark: SparkSession, path: str, most_bytes: int = PICTURE_BYTES) -> DataFrame:
+    """(path, length) of the pictures that are beyond the size and would have to be compressed first."""
+    return spark.read.format("binaryFile").load(path).where(F.col("length") > most_bytes).select("path", "length")

@@ -10,7 +10,7 @@ from escriba.sources.readers import exists
 
 
 def json_report(rows: DataFrame, path: str) -> None:
-    """K1, K7: rows as JSON lines."""
+    """K1: rows as JSON lines."""
     rows.write.mode("overwrite").json(path)
 
 
@@ -55,3 +55,18 @@ def latex_rows(summary: DataFrame, columns: list[str], order: str = "rank") -> D
     """K3: the rows of a table in LaTeX, underscores escaped."""
     text = F.concat(F.concat_ws(" & ", *_cells(summary, columns, True)), F.lit(r" \\"))
     return summary.select(F.col(order).cast("int").alias("line"), text.alias("text")).orderBy("line")
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """K4: a corpus report in Markdown, one row per line, a table for each section."""
+    order = {name: i for i, name in enumerate(("totals", "markers", "spellings", "abbreviations"))}
+    head = [(i, line, text) for name, i in order.items() for line, text in ((-3, f"## {name.capitalize()}"), (-2, "| item | n | detail |"), (-1, "|---|---|---|"))]
+    part = F.element_at(F.create_map(*[F.lit(x) for pair in order.items() for x in pair]), F.col("section"))
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", "item", F.col("n").cast("string"), F.coalesce("detail", F.lit(""))), F.lit(" |"))
+    body = report.select(part.alias("part"), F.col("place").cast("int").alias("line"), cells.alias("text"))
+    return report.sparkSession.createDataFrame(head, "part int, line int, text string").unionByName(body).orderBy("part", "line")
+
+
+def split_files(split: DataFrame, path: str) -> None:
+    """K7: documents of a split as JSON lines, a folder per side."""
+    split.write.mode("overwrite").partitionBy("split").json(path)

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from escriba.functions import metrics
 from escriba.functions.text import evaluation_text, strip
+from escriba.operators.evaluation import exclude_pages, valid_editions
 
 
 def scored_stream(hypotheses: DataFrame, gt: DataFrame, mode: str = "content", late: str = "2 days") -> DataFrame:
@@ -15,7 +16,7 @@ def scored_stream(hypotheses: DataFrame, gt: DataFrame, mode: str = "content", l
 
     Repeated runs within the time that rows may be late count once; the ground truth is a table, joined as it is at the start.
     """
-    refs = gt.where("gt_text IS NOT NULL AND page_id IS NOT NULL").select("subset", "edition", "page_id", evaluation_text(strip(F.col("gt_text")), mode).alias("ref")).distinct()
+    refs = exclude_pages(valid_editions(gt).where("gt_text IS NOT NULL AND page_id IS NOT NULL")).select("subset", "edition", "page_id", evaluation_text(strip(F.col("gt_text")), mode).alias("ref")).distinct()
     hyps = hypotheses.where("hyp_text IS NOT NULL AND page_id IS NOT NULL").withWatermark("run_at", late)
     hyps = hyps.dropDuplicatesWithinWatermark(["model", "page_id", "hyp_text"])
     hyps = hyps.select("run_at", "model", "page_id", evaluation_text(strip(F.col("hyp_text")), mode).alias("hyp"))
