@@ -215,10 +215,18 @@ def runs(rows: DataFrame, keys: list[str], order: str, same: list[str], slices:
     return numbered.drop("_slice", "_new", "_base", "_at", *[f"_{k}" for k in keys])
 
 
+def runs_of_pages(rows: DataFrame, keys: list[str], order: str, same: list[str]) -> DataFrame:
+    """W5 for groups that are small, such as the blocks of one page: each is ordered as a whole."""
+    window = Window.partitionBy(*keys).orderBy(order)
+    values = F.struct(*same)
+    before = F.lag(values).over(window)
+    return rows.withColumn("_new", F.when(before.isNotNull() & values.eqNullSafe(before), 0).otherwise(1)).withColumn("run", F.sum("_new").over(window)).drop("_new")
+
+
 def join_blocks(blocks: DataFrame) -> DataFrame:
     """Text of a page from its blocks in order: strips of one region one below the other, margins as markers, blank ones left out."""
     text = F.trim(F.col("text"))
-    numbered = runs(blocks, ["page_id"], "place", ["region_type", "confidence"])
+    numbered = runs_of_pages(blocks, ["page_id"], "place", ["region_type", "confidence"])
     merged = numbered.groupBy("page_id", "run").agg(
         F.first("region_type").alias("region_type"), F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))), lambda x: x["t"]).alias("l")
     )
@@ -229,12 +237,12 @@ def join_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def region_lines(boxes: DataFrame) -> DataFrame:
-    """A line per box of a page, numbered from 0 in its order: what it is, how sure, where, how large."""
+    """A line per box of a page, numbered from 0 in its order: what it is, how sure, where, how large. Halves are rounded to even."""
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     share = w * h / (F.col("page_width") * F.col("page_height")) * 100
     line = F.concat(
-        F.format_string("Region %d: type=%s, confidence=%.0f", F.col("place") - 1, F.col("region_type"), F.col("confidence") * 100),
-        F.format_string("%%, position=(%d,%d)-(%d,%d), size=%dx%d, area=%.1f", *BOX, w, h, share),
+        F.format_string("Region %d: type=%s, confidence=%.0f", F.col("place") - 1, F.col("region_type"), F.bround(F.col("confidence") * 100, 0)),
+        F.format_string("%%, position=(%d,%d)-(%d,%d), size=%dx%d, area=%.1f", *BOX, w, h, F.bround(share, 1)),
         F.lit("%"),
     )
     return boxes.select("page_id", "place", line.alias("line"))

@@ -257,6 +257,17 @@ def m5_line_errors(spark, d):
     return _raw_lines(spark, d).select(*KEYS, wrong.alias("wrong"), lines.alias("lines"))
 
 
+@query(
+    "m6_operation_sums",
+    f"WITH {sql.SCORED} SELECT subset, edition, page_id, model, CAST(distance AS BIGINT) AS distance, CAST(gt_chars AS BIGINT) AS of_ref, CAST(hyp_chars AS BIGINT) AS of_hyp FROM scored",
+)
+def m6_operation_sums(spark, d):
+    """What the counts of any shortest script must add up to: the distance, and the lengths of both texts."""
+    rows = evaluation.decomposition(_compared(spark, d))
+    s, l, i, c = (F.col(n) for n in align.COUNTS.names)
+    return rows.select(*KEYS, (s + l + i).alias("distance"), (s + l + c).alias("of_ref"), (s + i + c).alias("of_hyp"))
+
+
 @query("m2_m7_decomposition")
 def m2_m7_decomposition(spark, d):
     return evaluation.decomposition(_compared(spark, d))
@@ -683,7 +694,13 @@ def v1_tokens(spark, d):
     return _found(spark, d).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("v1_token_places")
+@query(
+    "v1_token_places",
+    """WITH t AS (SELECT gt_id, regexp_extract_all(gt_text, '[a-záéíóúñçüA-ZÁÉÍÓÚÑÇÜ]+') AS words, string_split_regex(gt_text, '[a-záéíóúñçüA-ZÁÉÍÓÚÑÇÜ]+') AS gaps FROM gt_page),
+u AS (SELECT gt_id, unnest(range(0, len(words))) AS place, words, gaps FROM t),
+w AS (SELECT gt_id, place, words[place + 1] AS original, list_sum(list_transform(gaps[1:place + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(words[1:place], lambda g: length(g))), 0) AS start FROM u)
+SELECT gt_id, CAST(place AS INT) AS place, original, CAST(start AS INT) AS start, CAST(start + length(original) AS INT) AS "end", lower(original) AS word FROM w""",
+)
 def v1_token_places(spark, d):
     return vocabulary.tokens_with_places(table(spark, d, "gt_page"), "gt_id", "gt_text")
 
@@ -804,14 +821,14 @@ _MD = "regexp_replace(regexp_replace(CASE WHEN starts_with(md, '---') THEN regex
 _FOLIO = r"(?i)\[\s*_?(?:Fol\.?|Folio)\s+(\d+)\s*,?\s*(recto|vuelto|vuelta|r|v)_?\s*\]"
 
 
-@query(
-    "n12_folio_pages",
-    f"""WITH b AS (SELECT doc_id, CASE WHEN starts_with(md, '---') THEN {_MD} ELSE md END AS t FROM transcripcion WHERE md IS NOT NULL),
+FOLIO_PAGES_SQL = f"""WITH b AS (SELECT doc_id, CASE WHEN starts_with(md, '---') THEN {_MD} ELSE md END AS t FROM transcripcion WHERE md IS NOT NULL),
 p AS (SELECT doc_id, string_split_regex(t, '{_FOLIO}') AS parts, regexp_extract_all(t, '{_FOLIO}', 1) AS nums, regexp_extract_all(t, '{_FOLIO}', 2) AS sides FROM b),
 r AS (SELECT doc_id, unnest(range(0, len(parts))) AS i, parts, nums, sides FROM p),
 q AS (SELECT doc_id, i, CASE WHEN i = 0 THEN 1 ELSE (CAST(nums[i] AS INT) - 1) * 2 + CASE WHEN lower(sides[i]) IN ('recto', 'r') THEN 1 ELSE 2 END END AS page_no, parts[i + 1] AS page_text FROM r)
-SELECT doc_id, CAST(page_no AS INT) AS page_no, arg_min(page_text, i) AS page_text FROM q GROUP BY doc_id, page_no""",
-)
+SELECT doc_id, CAST(page_no AS INT) AS page_no, arg_min(page_text, i) AS page_text FROM q GROUP BY doc_id, page_no"""
+
+
+@query("n12_folio_pages", FOLIO_PAGES_SQL)
 def n12_folio_pages(spark, d):
     return editions.folio_pages(table(spark, d, "transcripcion"))
 
@@ -844,7 +861,10 @@ def s15_front_matter(spark, d):
     return table(spark, d, "transcripcion").select("tr_id", fields["document_date"].alias("document_date"), fields["archive"].alias("archive"))
 
 
-@query("f7_valid_pages")
+_VALID = f"length({sql.collapse(sql.replace('page_text', (chr(92) + '[.*?' + chr(92) + ']', '')))}) >= 50"
+
+
+@query("f7_valid_pages", f"SELECT doc_id, page_no FROM ({FOLIO_PAGES_SQL}) WHERE {_VALID}")
 def f7_valid_pages(spark, d):
     return sampling.valid_pages(table(spark, d, "transcripcion"))
 
@@ -912,11 +932,19 @@ def u5_same_pages(spark, d):
     return _with_pages_seen(spark, d).select("entry_id", quality.same_set(listed, F.col("pages")).alias("same"))
 
 
-@query("f9_metadata")
+_EXTRA = ["provincia", "poblacion", "tipologia", "ambito", "soporte", "copista", "signatura"]
+
+
+@query(
+    "f9_metadata",
+    "WITH e AS (SELECT *, len(facsimile_pages) > 0 AS has FROM document_entry) SELECT entry_id, doc_id, fecha AS date, archivo AS archive, letra, facsimile_pages, "
+    "CASE WHEN has THEN '{\"available\":true,\"type\":\"paleographic+critical\",\"format\":\"per-page-txt\"}' WHEN NOT has THEN '{\"available\":false}' ELSE '{}' END AS ground_truth, "
+    + "'{' || array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} <> '' THEN '\"{c}\":' || to_json({c}) END" for c in _EXTRA) + "], lambda x: x IS NOT NULL), ',') || '}' AS extra FROM e",
+)
 def f9_metadata(spark, d):
     rows = table(spark, d, "document_entry")
     core = {"entry_id": F.col("entry_id"), "doc_id": F.col("doc_id"), "date": F.col("fecha"), "archive": F.col("archivo"), "letra": F.col("letra"), "facsimile_pages": F.col("facsimile_pages")}
-    extra = ["provincia", "poblacion", "tipologia", "ambito", "soporte", "copista", "signatura"]
+    extra = _EXTRA
     has = F.size("facsimile_pages") > 0
     out = quality.reshaped(rows, core, has, F.when(has, "paleographic+critical"), F.when(has, "per-page-txt"), extra)
     return out.withColumn("extra", F.to_json("extra")).withColumn("ground_truth", F.to_json("ground_truth"))
@@ -929,7 +957,13 @@ def k10_page_counts(spark, d):
     return quality.with_facsimile_count(rows, counted).select(F.col("doc_id").alias("entry_id"), "facsimile_count")
 
 
-@query("k3_markdown")
+@query(
+    "k3_markdown",
+    f"""WITH {sql.SCORED}, m AS (SELECT model, count(*) AS n_pages, avg({RATE_SQL}) AS mean, quantile_cont({RATE_SQL}, 0.5) AS median FROM scored GROUP BY model),
+r AS (SELECT *, row_number() OVER (ORDER BY round(mean, 4), model) AS rank FROM m)
+SELECT CAST(rank AS INT) AS line, '| ' || rank || ' | ' || model || ' | ' || n_pages || ' | ' || printf('%.4f', mean) || ' | ' || printf('%.4f', median) || ' |' AS text FROM r
+UNION ALL SELECT -2, '| rank | model | n_pages | cer_mean | cer_median |' UNION ALL SELECT -1, '|---|---|---|---|---|'""",
+)
 def k3_markdown(spark, d):
     from escriba.sources.sinks import markdown_rows
 
@@ -939,17 +973,64 @@ def k3_markdown(spark, d):
 # --- samples and splits ----------------------------------------------------------------------------------------
 
 
-@query("sample_p1_documents")
+_LETRA = f"""CASE WHEN contains(l, 'encadenada') THEN 'procesal encadenada' WHEN l = 'procesal' OR starts_with(l, 'procesal/') THEN 'procesal'
+  WHEN contains(l, 'cortesana') OR contains(l, 'cortesano') THEN 'cortesana/procesal' WHEN contains(l, 'humanística') THEN 'humanística/procesal' ELSE coalesce(l, '') END"""
+_CATALOG = f"""firsts AS (SELECT *, {sql.strip("lower(letra)")} AS l FROM document_entry WHERE entry_id IN (SELECT min(entry_id) FROM document_entry WHERE doc_id IS NOT NULL GROUP BY doc_id)),
+docs AS (SELECT *, coalesce(siglo, 'unknown') || '_' || {_LETRA} AS stratum FROM firsts),
+ranks AS (SELECT stratum, doc_id, row_number() OVER (PARTITION BY stratum ORDER BY md5('42|' || doc_id), doc_id) AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM docs),
+chosen AS (SELECT stratum, doc_id, rank FROM ranks WHERE rank <= least(1 + n // 6, n))"""
+_COUNTED = ", ".join(f"(SELECT count(*) FROM docs p JOIN chosen USING (doc_id) WHERE p.{c} = r.{c}) AS {c}_n" for c in ("provincia", "tipologia", "copista"))
+_SCORED_DOCS = f"""{_CATALOG}, rest AS (SELECT r.*, {_COUNTED} FROM docs r WHERE doc_id NOT IN (SELECT doc_id FROM chosen)),
+scores AS (SELECT doc_id, facsimile_pages, greatest(0, 3 - provincia_n) + greatest(0, 3 - tipologia_n) + CASE WHEN copista IS NULL OR copista IN ('', '---') THEN 0 ELSE greatest(0, 2 - copista_n) END
+  + CASE WHEN len(facsimile_pages) <= 2 THEN 2 WHEN len(facsimile_pages) <= 4 THEN 1 ELSE 0 END AS score FROM rest)"""
+
+
+def _catalog(spark, d):
+    return sampling.first_entries(table(spark, d, "document_entry"))
+
+
+@query("sample_p1_documents", f"WITH {_CATALOG} SELECT stratum, doc_id, rank FROM chosen")
 def stratified_documents(spark, d):
-    return sampling.stratified_documents(table(spark, d, "document_entry"))
+    return sampling.stratified_documents(_catalog(spark, d))
 
 
-@query("sample_p1_diversity")
+@query("sample_p1_diversity", f"WITH {_SCORED_DOCS} SELECT doc_id, CAST(score AS INT) AS score FROM scores")
 def diversity(spark, d):
-    entries = table(spark, d, "document_entry")
+    entries = _catalog(spark, d)
     return sampling.diversity(entries, sampling.stratified_documents(entries)).select("doc_id", "score")
 
 
+#: Pages that the samples are to have.
+SAMPLE_PAGES, VALID_SAMPLE_PAGES = 400, 50
+
+
+@query(
+    "sample_p1_pages",
+    f"""WITH {_SCORED_DOCS}, had AS (SELECT coalesce(sum(least(len(facsimile_pages), 3)), 0) AS had FROM docs JOIN chosen USING (doc_id)),
+fill AS (SELECT doc_id FROM (SELECT doc_id, coalesce(sum(least(len(facsimile_pages), 3)) OVER (ORDER BY -score, md5('42-fill|' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM scores), had WHERE had + before < {SAMPLE_PAGES}),
+taken AS (SELECT doc_id, facsimile_pages AS f FROM docs WHERE doc_id IN (SELECT doc_id FROM chosen UNION SELECT doc_id FROM fill)),
+pages AS (SELECT doc_id, unnest(CASE WHEN len(f) <= 3 THEN f ELSE list_concat(f[1:1], list_transform(list_sort(list_transform(f[2:], lambda p: [md5('42-page|' || doc_id || '|' || p), p]))[1:2], lambda x: x[2])) END) AS page FROM taken)
+SELECT doc_id, page FROM pages ORDER BY md5('42-trim|' || doc_id || '|' || page), doc_id, page LIMIT {SAMPLE_PAGES}""",
+)
+def sample_pages(spark, d):
+    """The limit is the size of the sample."""
+    return sampling.sample_pages(_catalog(spark, d), SAMPLE_PAGES)
+
+
+@query(
+    "sample_p2_pages",
+    f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM ({FOLIO_PAGES_SQL})),
+m AS (SELECT *, i <= 3 OR i > n - 2 AS ends FROM e), c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ends ORDER BY md5('42-middle|' || doc_id || '|' || page_no)) AS r FROM m),
+v AS (SELECT doc_id, page_no, count(*) OVER (PARTITION BY doc_id) AS v, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) = 1 AS first FROM c WHERE (n <= 5 OR ends OR r <= 10) AND {_VALID}),
+k AS (SELECT *, CASE WHEN v BETWEEN 2 AND 5 THEN 0 WHEN first THEN 1 ELSE 2 END AS rank FROM v),
+o AS (SELECT doc_id, page_no, rank, row_number() OVER (ORDER BY rank, md5('42-trim|' || doc_id || '|' || page_no), doc_id, page_no) AS p FROM k WHERE rank > 0)
+SELECT doc_id, page_no FROM k WHERE rank = 0 UNION ALL SELECT doc_id, page_no FROM o WHERE p <= {VALID_SAMPLE_PAGES} - (SELECT count(*) FROM k WHERE rank = 0)""",
+)
+def sample_valid_pages(spark, d):
+    """The limit is the size of the sample."""
+    return sampling.sample_valid_pages(table(spark, d, "transcripcion"), VALID_SAMPLE_PAGES)
+
+
 @query(
     "sample_p3_train_split",
     """WITH s AS (SELECT doc_id, count(*) AS pages FROM manifest WHERE doc_id IS NOT NULL GROUP BY doc_id), t AS (SELECT CAST(floor(sum(pages) * 0.2) AS BIGINT) AS target FROM s),
@@ -1055,13 +1136,25 @@ def g7_content_box(spark, d):
     return layout.content_box(_boxes(spark, d))
 
 
-@query("g8_blocks")
+@query(
+    "g8_blocks",
+    f"""WITH {_BOXES}, o AS (SELECT *, (box_id % 10 + 1) / 10 AS confidence, row_number() OVER (PARTITION BY page_id ORDER BY ((y1 + y2) // 2) // 48, (x1 + x2) // 2, box_id) AS place FROM boxes),
+c AS (SELECT *, CASE WHEN place > 1 AND lag(region_type) OVER w = region_type AND lag(confidence) OVER w = confidence THEN 0 ELSE 1 END AS begins FROM o WINDOW w AS (PARTITION BY page_id ORDER BY place)),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY page_id ORDER BY place) AS run FROM c),
+b AS (SELECT page_id, run, any_value(region_type) AS region_type, string_agg('text of ' || box_id, chr(10) ORDER BY place) AS body FROM r GROUP BY page_id, run)
+SELECT page_id, string_agg(CASE WHEN region_type = 'margin' THEN '[margen: ' || body || ']' ELSE body END, chr(10) ORDER BY run) AS text FROM b GROUP BY page_id""",
+)
 def g8_blocks(spark, d):
     ordered = layout.reading_order(_boxes(spark, d))
     return layout.join_blocks(ordered.withColumn("text", F.concat(F.lit("text of "), F.col("box_id").cast("string"))))
 
 
-@query("g9_region_lines")
+@query(
+    "g9_region_lines",
+    f"""WITH {_BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ((y1 + y2) // 2) // 48, (x1 + x2) // 2, box_id) AS place FROM boxes)
+SELECT page_id, CAST(place AS INT) AS place, printf('Region %d: type=%s, confidence=%d%%, position=(%d,%d)-(%d,%d), size=%dx%d, area=%.1f%%', place - 1, region_type, (box_id % 10 + 1) * 10, x1, y1, x2, y2, x2 - x1, y2 - y1,
+  (x2 - x1) * (y2 - y1) / 38400.0::DOUBLE) AS line FROM o""",
+)
 def g9_region_lines(spark, d):
     return layout.region_lines(layout.reading_order(_boxes(spark, d)))
 
