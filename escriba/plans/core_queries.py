@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from escriba.functions import align, editions, metrics, text
 from escriba.operators import corpus, errors, evaluation, layout, matching, pairs, quality, sampling, stats, vocabulary
 from escriba.plans import sql
-from escriba.plans.registry import query
+from escriba.plans.registry import query, sql_of
 from escriba.sources import readers
 from escriba.sources.tables import table
 
@@ -768,17 +768,36 @@ def _candidates(spark, d):
     return vocabulary.candidates_table(found, _vocab(spark, d), _abbrevs(spark))
 
 
-@query("v6_candidates_table")
+_PLACES_SQL, _NEAR_SQL, _COMPOUNDS_SQL, _EXPANSIONS_SQL = (sql_of(n) for n in ("v1_token_places", "v3_candidates", "v4_compounds", "v5_expansions"))
+_LOOKED_UP = f"""places AS ({_PLACES_SQL}), known AS (SELECT DISTINCT lower(form) AS form FROM vocab WHERE form <> ''),
+near AS (SELECT word, list(candidate || ' (d=' || distance || ')' ORDER BY rank) AS edit_candidates, arg_min(candidate, rank) AS closest FROM ({_NEAR_SQL}) GROUP BY word),
+looked AS (SELECT p.*, edit_candidates, closest, c.parts AS compound, expansions FROM places p LEFT JOIN near USING (word) LEFT JOIN ({_COMPOUNDS_SQL}) c USING (word) LEFT JOIN ({_EXPANSIONS_SQL}) x USING (word)
+  WHERE length(p.word) >= 3 AND p.word NOT IN (SELECT form FROM known))"""
+
+
+@query("v6_candidates_table", f'WITH {_LOOKED_UP} SELECT gt_id, place, original, start, "end", word, edit_candidates, compound, expansions FROM looked')
 def v6_candidates_table(spark, d):
-    return _candidates(spark, d)
+    rows = _candidates(spark, d)
+    shown = F.transform("edit_candidates", lambda c: F.format_string("%s (d=%d)", c["candidate"], c["distance"]))
+    return rows.withColumn("edit_candidates", shown).select("gt_id", "place", "original", "start", "end", "word", "edit_candidates", "compound", "expansions")
 
 
-@query("v7_prompts")
+@query(
+    "v7_prompts",
+    f"""WITH {_LOOKED_UP}, lines AS (SELECT gt_id, start, row_number() OVER (PARTITION BY gt_id ORDER BY start) AS k, chr(39) || word || chr(39) || ' [' || array_to_string(list_concat(coalesce(edit_candidates, []),
+  CASE WHEN compound IS NOT NULL THEN ['split: ' || array_to_string(compound, ' + ')] ELSE [] END, CASE WHEN expansions IS NOT NULL THEN ['abbrev: ' || array_to_string(expansions, ', ')] ELSE [] END), ', ') || ']' AS line FROM looked)
+SELECT gt_id, string_agg(k || '. ' || line, chr(10) ORDER BY k) AS prompt FROM lines GROUP BY gt_id""",
+)
 def v7_prompts(spark, d):
     return vocabulary.correction_prompt(_candidates(spark, d), "gt_id")
 
 
-@query("f15_corrected")
+@query(
+    "f15_corrected",
+    f"""WITH {_LOOKED_UP}, t AS (SELECT gt_id, string_split_regex(gt_text, '[a-záéíóúñçüA-ZÁÉÍÓÚÑÇÜ]+') AS gaps FROM gt_page WHERE gt_text IS NOT NULL),
+w AS (SELECT p.gt_id, string_agg(gaps[p.place + 1] || coalesce(closest, p.original), '' ORDER BY p.place) AS body FROM places p JOIN t USING (gt_id) LEFT JOIN looked l ON l.gt_id = p.gt_id AND l.place = p.place GROUP BY p.gt_id)
+SELECT gt_id, coalesce(body, '') || coalesce(gaps[-1], '') AS text FROM t LEFT JOIN w USING (gt_id)""",
+)
 def f15_corrected(spark, d):
     chosen = vocabulary.default_choice(_candidates(spark, d))
     return vocabulary.corrected_texts(table(spark, d, "gt_page").where("gt_text IS NOT NULL").select("gt_id", "gt_text"), chosen, "gt_id", "gt_text")
@@ -812,7 +831,30 @@ def n19_reconstructed(spark, d):
 # --- editions and sources --------------------------------------------------------------------------------------
 
 
-@query("n8_editions")
+_EDITION_LINE = (
+    (r"(?i)\s+mano\s+\d+\s*:\s*", ": "),
+    (r"(?i)\[mano\s+\d+\s*:\s*", ""),
+    (r"(?i)\[firmas\s*:", "[firma:"),
+    (r"(?i)\[rubrica\]", "[rúbrica]"),
+    (r"(?i)\(tachado\s+(.*?)\)", r"[tachado: \1]"),
+    (r"(?i)\[lat\.\s*:(.*?)\]", r"\1"),
+    (r"(?i)\[blanco\s+[^\]]+\]", "[blanco]"),
+    (r"\[\*[\s*]*\*\]", "[ilegible]"),
+    (r"\*{3,}", "[ilegible]"),
+    (r"[≤|]", ""),
+    (r"\s*/\s*$", ""),
+)
+_NUMBERS_CUT = sql.replace("gt_text", (r"(?m)^\{h\.\s*\w+\}.*$", ""), (rf"(?m){sql.S_BUT_LF}+$", ""), (r"(?m)^\s*\d+$", "@CUT@"), (r"\n", ""))
+_CLOSED = sql.replace(r"CASE WHEN length(t) - length(replace(t, ']', '')) > length(t) - length(replace(t, '[', '')) THEN regexp_replace(t, '\](\s*)$', '\1') ELSE t END", ("  +", " "))
+
+
+@query(
+    "n8_editions",
+    f"""WITH x AS (SELECT gt_id, string_split({_NUMBERS_CUT}, '@CUT@') AS x FROM gt_page WHERE gt_text IS NOT NULL), l AS (SELECT gt_id, unnest(range(1, len(x) + 1)) AS i, x FROM x),
+c AS (SELECT gt_id, i, {sql.replace("x[i]", *_EDITION_LINE)} AS t FROM l), s AS (SELECT gt_id, i, {sql.strip(_CLOSED)} AS t FROM c),
+j AS (SELECT gt_id, string_agg(t, chr(10) ORDER BY i) FILTER (t <> '') AS text FROM s GROUP BY gt_id)
+SELECT g.gt_id, CASE WHEN g.gt_text IS NOT NULL THEN coalesce(text, '') END AS text FROM gt_page g LEFT JOIN j USING (gt_id)""",
+)
 def n8_editions(spark, d):
     return table(spark, d, "gt_page").select("gt_id", editions.parse_edition(F.col("gt_text")).alias("text"))
 
@@ -846,7 +888,16 @@ def n14_footnotes(spark, d):
     return table(spark, d, "transcripcion").select("doc_id", F.explode(editions.footnotes(body)).alias("n")).select("doc_id", "n.*")
 
 
-@query("n13_offsets")
+_BODY = f"CASE WHEN starts_with(md, '---') THEN {_MD} ELSE md END"
+_KNOWN = " ".join(f"WHEN doc_id = '{k}' THEN {v}" for k, v in editions.KNOWN_OFFSETS.items())
+
+
+@query(
+    "n13_offsets",
+    f"""WITH b AS (SELECT doc_id, {_BODY} AS t FROM transcripcion), p AS (SELECT doc_id, t, string_split_regex(t, '{_FOLIO}')[1] AS first, regexp_extract_all(t, '{_FOLIO}', 1) AS nums, regexp_extract_all(t, '{_FOLIO}', 2) AS sides FROM b)
+SELECT doc_id, CAST(CASE {_KNOWN} WHEN len(nums) > 0 AND regexp_matches(first, '(?i)\\[\\s*_?Cubierta_?\\s*\\]') THEN 1
+  WHEN len(nums) > 0 AND CAST(nums[1] AS INT) = 1 AND lower(sides[1]) NOT IN ('recto', 'r') THEN 0 WHEN len(nums) > 0 AND length(first) > 100 AND length({sql.strip("first")}) > {editions.LEAST_CHARS} THEN 1 ELSE 0 END AS INT) AS images_before FROM p""",
+)
 def n13_offsets(spark, d):
     return table(spark, d, "transcripcion").select("doc_id", editions.page_offset(editions.without_front_matter(F.col("md")), F.col("doc_id")).alias("images_before"))
 

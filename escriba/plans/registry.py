@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is already registered."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from escriba.plans import core_queries, source_queries  # noqa: F401
 
