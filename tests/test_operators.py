@@ -51,6 +51,11 @@ def test_bootstrap(spark):
     assert stats.bootstrap(np.full(5, 0.5))[1:] == (0.5, 0.5) and stats.bootstrap(np.array([])) == (0.0, 0.0, 0.0)
     rows = spark.createDataFrame([("m", str(i), v) for i, v in enumerate([0.1, 0.2, 0.3, 0.4, 0.5])], "model string, page_id string, cer double")
     assert stats.bootstrap_intervals(rows).first()[1:] == pytest.approx((5, 0.3, 0.18, 0.42))
+    values = np.random.default_rng(1).random(600)
+    many = spark.createDataFrame([("m", str(i), float(v)) for i, v in enumerate(values)], "model string, page_id string, cer double")
+    whole, split = stats.bootstrap_intervals(many).first(), stats.bootstrap_intervals(many, slice_rows=100).first()
+    assert whole[1:] == pytest.approx((600, *stats.bootstrap(values[np.argsort([str(i) for i in range(600)])])), abs=1e-9)
+    assert split[1:] == pytest.approx(whole[1:], abs=0.003) and split == stats.bootstrap_intervals(many.repartition(5), slice_rows=100).first()
 
 
 def test_errors(spark):
@@ -64,6 +69,34 @@ def test_errors(spark):
     assert [(r.page_id, r.errors) for r in errors.garbled_runs(errors.spans(run, ["model", "page_id"]), ["model", "page_id"]).collect()] == [("p", 25)]
 
 
+def test_runs_over_ranges(spark):
+    rng = random.Random(7)
+    rows = [(m, i * 3 + rng.randint(0, 2), rng.choice(["a", "b", None])) for m in "xy" for i in range(400)]
+    df = spark.createDataFrame(rows, "model string, id long, v string").repartition(5)
+    want = {}
+    for m in "xy":
+        run, before = 0, object()
+        for _, i, v in sorted(r for r in rows if r[0] == m):
+            run, before = run + (v != before), v
+            want[m, i] = run
+    for slices in (1, 7, 5000):
+        assert {(r.model, r.id): r.run for r in layout.runs(df, ["model"], "id", ["v"], slices=slices).collect()} == want
+    assert layout.runs(df.limit(0), ["model"], "id", ["v"]).count() == 0
+
+
+def test_samples_keep_to_the_target(spark):
+    rng = random.Random(2)
+    rows = [(i, f"d{i}", rng.choice(["XV", "XVI", None]), rng.choice(["procesal", None]), rng.choice("abc"), rng.choice("xy"), rng.choice(["s", "---", None]), [f"{k}r" for k in range(rng.randint(0, 6))] or None) for i in range(200)]
+    df = spark.createDataFrame(rows, "entry_id int, doc_id string, siglo string, letra string, provincia string, tipologia string, copista string, facsimile_pages array<string>")
+    for target in (10, 150, 5000):
+        found = sampling.sample_pages(sampling.first_entries(df), target).collect()
+        assert len(found) <= target and len(set(found)) == len(found) and (target != 150 or len(found) > 120)
+    assert sampling.sample_pages(sampling.first_entries(df.limit(0)), 5).count() == 0
+    md = [(f"t{i}", "".join(f"[Fol. {k} recto]\n{'palabra ' * 12}\n" for k in range(1, n))) for i, n in enumerate((2, 4, 9, 30))]
+    pages = sampling.sample_valid_pages(spark.createDataFrame(md, "doc_id string, md string"), 12).collect()
+    assert len(pages) == 12 and len(set(pages)) == 12 and {r.doc_id for r in pages} == {"t1", "t2", "t3"}  # page 1 is what stands before the first folio
+
+
 def test_layout(spark):
     boxes = [((0, 0, 100, 100), "main_text", 0.9), ((10, 10, 100, 100), "main_text", 0.5), ((20, 20, 40, 40), "graphic", 0.8), ((300, 300, 400, 400), "margin", 0.7)]
     assert layout.settle(boxes) == [((0, 0, 100, 100), "main_text", 0.9), ((300, 300, 400, 400), "margin", 0.7)]
