@@ -42,7 +42,7 @@ def compared(gt: DataFrame, hypotheses: DataFrame, mode: str = "content") -> Dat
 
     Normalizing goes before the join, once per text; repeated runs and editions count once. Rows without a text or page are left out.
     """
-    return by_page(*texts_to_compare(gt, hypotheses, mode))
+    return by_page(*texts_to_compare(gt, hypotheses, mode), source=hypotheses)
 
 
 KEYS = ["subset", "edition", "page_id", "model"]
@@ -72,7 +72,7 @@ def tier_metrics(gt: DataFrame, hypotheses: DataFrame, mode: str = "content") ->
     for name, tier in TIERS.items():
         refs = refs.withColumn(f"ref_{name}", tier(F.col("ref")))
         hyps = hyps.withColumn(f"hyp_{name}", tier(F.col("hyp")))
-    pairs = by_page(refs.drop("ref"), hyps.drop("hyp"))
+    pairs = by_page(refs.drop("ref"), hyps.drop("hyp"), source=hypotheses)
     first = F.length("ref_T1_raw")
     empty = F.when(F.length("hyp_T1_raw") > 0, 1.0).otherwise(0.0)
     rates = [F.when(first == 0, empty).otherwise(align.edit_distance(F.col(f"ref_{n}"), F.col(f"hyp_{n}")) / first).alias(n) for n in TIERS]
@@ -222,7 +222,7 @@ def mode_comparison(gt: DataFrame, hypotheses: DataFrame, modes: tuple[str, ...]
         long = rows.select(*keys, F.explode(texts).alias("m"))
         return long.groupBy(*keys, F.col("m.t").alias(name)).agg(F.collect_set("m.mode").alias(f"{name}_modes"))
 
-    joined = by_page(in_modes(refs, ["subset", "edition", "page_id"], "gt_text", "ref"), in_modes(hyps, ["model", "page_id"], "hyp_text", "hyp"))
+    joined = by_page(in_modes(refs, ["subset", "edition", "page_id"], "gt_text", "ref"), in_modes(hyps, ["model", "page_id"], "hyp_text", "hyp"), source=hypotheses)
     shared = joined.withColumn("modes", F.array_intersect("ref_modes", "hyp_modes")).where(F.size("modes") > 0)
     rated = shared.select("model", "modes", metrics.cer(F.col("ref"), F.col("hyp")).alias("cer"))
     return rated.select(F.explode("modes").alias("mode"), "model", "cer").groupBy("mode", "model").agg(F.avg("cer").alias("cer_mean"))

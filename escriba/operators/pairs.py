@@ -24,12 +24,25 @@ def distinct_texts(rows: DataFrame, *columns: str) -> DataFrame:
     return with_values(rows, *columns).distinct()
 
 
-def by_page(left: DataFrame, right: DataFrame, key: str = "page_id") -> DataFrame:
+#: Rows of a table to compare that one task takes, and how few are still worth a task of their own where cores would idle.
+TASK_ROWS, FEW_ROWS = 50_000, 500
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks for the comparisons of a table's rows. What is done with a pair costs far more than its bytes suggest, so the number follows the
+    rows: a count, which a column store answers from its footers."""
+    n = rows.count()
+    return max(1, -(-n // TASK_ROWS), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // FEW_ROWS)))
+
+
+def by_page(left: DataFrame, right: DataFrame, key: str = "page_id", source: DataFrame | None = None) -> DataFrame:
     """Inner join of two tables on a key whose frequent values on the right are split into parts.
 
-    The rows of the left with such a key are repeated once per part, all others once. Columns other than the key must differ.
+    The rows of the left with such a key are repeated once per part, all others once. Columns other than the key must differ. ``source`` is the
+    table that the right comes from, whose keys are cheaper to count, and whose rows tell the number of tasks; without it, both sides are shuffled on
+    the join's own keys and adaptive execution joins small partitions and splits large ones.
     """
-    counts = right.groupBy(key).agg(F.count("*").alias("n"))
+    counts = (right if source is None else source).groupBy(key).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     hot = (
         counts.crossJoin(F.broadcast(total))  # one row
@@ -41,7 +54,9 @@ def by_page(left: DataFrame, right: DataFrame, key: str = "page_id") -> DataFram
     place = F.pmod(F.xxhash64(*others), F.col("parts")).cast("int")
     spread = right.join(hot, key, "left").withColumn("part", F.coalesce(place, F.lit(0))).drop("parts")
     repeated = left.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    # both sides are shuffled on the join's own keys, so that adaptive execution may join small partitions and split large ones
+    if source is not None:
+        tasks = tasks_for(source)
+        repeated, spread = repeated.repartition(tasks, key, "part"), spread.repartition(tasks, key, "part")
     return repeated.hint("merge").join(spread, [key, "part"]).drop("part")
 
 

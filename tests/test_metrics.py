@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,3 +96,21 @@ def test_score_and_feedback(spark):
     rows = df.select(metrics.score(F.col("r"), F.col("h")).alias("s")).withColumn("f", metrics.feedback(F.col("s"))).collect()
     assert [r.s for r in rows] == pytest.approx([1.0, 0.5, 0.0, 0.0])
     assert rows[0].f.startswith("CER 0%. Good") and rows[1].f.startswith("CER 50%. Moderate") and rows[2].f.startswith("CER 100%. High")
+
+
+def test_distances_in_step_equal_those_one_by_one():
+    rng = random.Random(30)
+    refs, hyps = [], []
+    for _ in range(700):
+        a = [rng.choice("abcdeñ ") for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 128, 200]))]
+        b = list(a)
+        for _ in range(rng.randint(0, 40)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choice(["x", "", "ab", "c"])
+        if rng.random() < 0.2:
+            b = [rng.choice("abcdeñ ") for _ in range(rng.randint(0, 150))]
+        refs.append("".join(a))
+        hyps.append("".join(b))
+    numbers = lambda t: np.array([ord(c) for c in t], dtype=np.uint32)
+    found = align.distances([numbers(r) for r in refs], [numbers(h) for h in hyps])
+    assert found.tolist() == [align.distance(r, h) for r, h in zip(refs, hyps, strict=True)]
