@@ -29,22 +29,25 @@ def chain(text: Column, *steps: tuple[str, str]) -> Column:
     return text
 
 
+# How editorial wrappers of a line are rewritten, in this order.
+EDITION_RULES = (
+    (r"(?iu)\s+mano\s+\d+\s*:\s*", ": "),
+    (r"(?iu)\[mano\s+\d+\s*:\s*", ""),
+    (r"(?iu)\[firmas\s*:", "[firma:"),
+    (r"(?iu)\[rubrica\]", "[rúbrica]"),
+    (r"(?iu)\(tachado\s+(.*?)\)", "[tachado: $1]"),
+    (r"(?iu)\[lat\.\s*:(.*?)\]", "$1"),
+    (r"(?iu)\[blanco\s+[^\]]+\]", "[blanco]"),
+    (r"\[\*[\s*]*\*\]", "[ilegible]"),
+    (r"\*{3,}", "[ilegible]"),
+    (r"[≤|]", ""),
+    (r"\s*/\s*\z", ""),
+)
+
+
 def clean_edition_line(line: Column) -> Column:
     """One manuscript line with editorial wrappers gone and markers in one form."""
-    line = chain(
-        line,
-        (r"(?iu)\s+mano\s+\d+\s*:\s*", ": "),
-        (r"(?iu)\[mano\s+\d+\s*:\s*", ""),
-        (r"(?iu)\[firmas\s*:", "[firma:"),
-        (r"(?iu)\[rubrica\]", "[rúbrica]"),
-        (r"(?iu)\(tachado\s+(.*?)\)", "[tachado: $1]"),
-        (r"(?iu)\[lat\.\s*:(.*?)\]", "$1"),
-        (r"(?iu)\[blanco\s+[^\]]+\]", "[blanco]"),
-        (r"\[\*[\s*]*\*\]", "[ilegible]"),
-        (r"\*{3,}", "[ilegible]"),
-        (r"[≤|]", ""),
-        (r"\s*/\s*\z", ""),
-    )
+    line = chain(line, *EDITION_RULES)
     closes = F.length(line) - F.length(F.translate(line, "]", ""))
     opens = F.length(line) - F.length(F.translate(line, "[", ""))
     line = F.when(closes > opens, F.regexp_replace(line, r"\](?=\s*\z)", "")).otherwise(line)
@@ -209,35 +212,37 @@ def without_footnotes(text: Column) -> Column:
     return _without_footnotes(text)
 
 
+# Names that a bracket may hold, and how the extraction and its annotations are rewritten, in this order.
+MARKER_NAMES = "cruz|rúbrica|signo|ilegible|blanco|roto|nota|sic|interlineado|tachado|margen|firma|sobrescrito|encabezamiento"
+PAGE_RULES = (
+    (r"\n\n- ([a-záéíóúñçü])", "\n$1"),
+    (r"(?m)^#{1,6}\s+", ""),
+    (r"(?iu)\[\s*\n\s*((?:Fol\.?|Folio)\s+\d+\s*,?\s*(?:recto|vuelto|vuelta|r|v))\s*\n\s*\]", "[ $1 ]"),
+    (r"(?m)^\s*\|[-|\s:]+\|\s*$\n?", ""),
+    (r"(?m)^\s*\|\s*|\s*\|\s*$", ""),
+    (r"(?m)(?<=\S)[ \t]*\|[ \t]*(?=\S)", " "),
+    (r"(?iu)\(\s*_?Cruz_?\s*\)", "[cruz]"),
+    (r"\(\s*_?[Rr]úbrica_?\s*\)", "[rúbrica]"),
+    (r"<\s*>\s*(?:\d+\s*)?", ""),
+    (r"<\s*(.*?)\s*>\s*(?:\d+\s*)?", "[interlineado: $1] "),
+    (r"(?iu)\[\s*_?Al margen_?\s*\]\s*([^\n]*?)\s*(?=\n|\z)", "[margen: $1]"),
+    (FOLIO, ""),
+    (r"\[\s*_?[Tt]achado:?_?\s*[:,]?\s*([^\]]*?)\s*\]", "[tachado: $1]"),
+    (r"\[\s*_?sic:?_?\s*:?\s*([^\]]+)\]", "$1"),
+    (r"\[\s*_?sic_?\s*\]", "[sic]"),
+    (r"\[\s*_([^_]+)_\s*\]", "$1"),
+    (rf"\[\s*(?!(?:{MARKER_NAMES})\s*[:\]])([a-záéíóúñç]{{1,5}})\s*\]", "[$1]"),
+    (r"\[(?:margen|tachado|interlineado): \]", ""),
+    # slashes inside these markers are line breaks of the manuscript; each match goes on where the one before ended
+    (r"(\[(?:margen|tachado|interlineado): |(?!\A)\G)([^\]/]*?)\s*/\s*", "$1$2 "),
+    (r"\[(\d+)\]", ""),
+    (r"_/_", "/"),
+)
+
+
 def _annotations(text: Column) -> Column:
     """Markdown of the extraction undone, annotations of the transcribers as markers."""
-    named = "cruz|rúbrica|signo|ilegible|blanco|roto|nota|sic|interlineado|tachado|margen|firma|sobrescrito|encabezamiento"
-    text = chain(
-        text,
-        (r"\n\n- ([a-záéíóúñçü])", "\n$1"),
-        (r"(?m)^#{1,6}\s+", ""),
-        (r"(?iu)\[\s*\n\s*((?:Fol\.?|Folio)\s+\d+\s*,?\s*(?:recto|vuelto|vuelta|r|v))\s*\n\s*\]", "[ $1 ]"),
-        (r"(?m)^\s*\|[-|\s:]+\|\s*$\n?", ""),
-        (r"(?m)^\s*\|\s*|\s*\|\s*$", ""),
-        (r"(?m)(?<=\S)[ \t]*\|[ \t]*(?=\S)", " "),
-        (r"(?iu)\(\s*_?Cruz_?\s*\)", "[cruz]"),
-        (r"\(\s*_?[Rr]úbrica_?\s*\)", "[rúbrica]"),
-        (r"<\s*>\s*(?:\d+\s*)?", ""),
-        (r"<\s*(.*?)\s*>\s*(?:\d+\s*)?", "[interlineado: $1] "),
-        (r"(?iu)\[\s*_?Al margen_?\s*\]\s*([^\n]*?)\s*(?=\n|\z)", "[margen: $1]"),
-        (FOLIO, ""),
-        (r"\[\s*_?[Tt]achado:?_?\s*[:,]?\s*([^\]]*?)\s*\]", "[tachado: $1]"),
-        (r"\[\s*_?sic:?_?\s*:?\s*([^\]]+)\]", "$1"),
-        (r"\[\s*_?sic_?\s*\]", "[sic]"),
-        (r"\[\s*_([^_]+)_\s*\]", "$1"),
-        (rf"\[\s*(?!(?:{named})\s*[:\]])([a-záéíóúñç]{{1,5}})\s*\]", "[$1]"),
-        (r"\[(?:margen|tachado|interlineado): \]", ""),
-        # slashes inside these markers are line breaks of the manuscript; each match goes on where the one before ended
-        (r"(\[(?:margen|tachado|interlineado): |(?!\A)\G)([^\]/]*?)\s*/\s*", "$1$2 "),
-        (r"\[(\d+)\]", ""),
-        (r"_/_", "/"),
-    )
-    return text
+    return chain(text, *PAGE_RULES)
 
 
 def clean_page(text: Column, notes: Column | None = None) -> Column:

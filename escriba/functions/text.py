@@ -159,19 +159,23 @@ def marker_aliases(text: Column) -> Column:
     return text
 
 
+# What models put around a transcription, in the order in which it goes.
+BOILERPLATE = (
+    (r"(?m)^#+" + SPACE + r"+.*$", ""),
+    (r"\*{1,3}([^*]+)\*{1,3}", "$1"),
+    (r"```[^`]*```", ""),
+    (rf"(?iu)\A(?:here is|the following is|below is|this is).*?transcription.*?:{SPACE}*\n", ""),
+    (rf"(?iu)\A(?:transcription|transcribed text|output):{SPACE}*\n", ""),
+    (r"(?iuU)\A(?:i can see|the image shows|the manuscript).*?\n(?=\w)", ""),
+    (r"(?ius)\n(?:note:|notes?:|\*note).*\z", ""),
+    (r"(?ius)\n(?:the text appears|this appears to be|this document).*\z", ""),
+    (r"(?ius)\n(?:---+).*\z", ""),
+)
+
+
 def strip_boilerplate(text: Column) -> Column:
     """Headings, emphasis, fenced blocks with their content, opening and closing remarks of a model."""
-    for pattern, by in (
-        (r"(?m)^#+" + SPACE + r"+.*$", ""),
-        (r"\*{1,3}([^*]+)\*{1,3}", "$1"),
-        (r"```[^`]*```", ""),
-        (rf"(?iu)\A(?:here is|the following is|below is|this is).*?transcription.*?:{SPACE}*\n", ""),
-        (rf"(?iu)\A(?:transcription|transcribed text|output):{SPACE}*\n", ""),
-        (r"(?iuU)\A(?:i can see|the image shows|the manuscript).*?\n(?=\w)", ""),
-        (r"(?ius)\n(?:note:|notes?:|\*note).*\z", ""),
-        (r"(?ius)\n(?:the text appears|this appears to be|this document).*\z", ""),
-        (r"(?ius)\n(?:---+).*\z", ""),
-    ):
+    for pattern, by in BOILERPLATE:
         text = F.regexp_replace(text, pattern, by)
     return text
 
@@ -194,6 +198,24 @@ def strip_tags(text: Column) -> Column:
 PREPROCESSORS: dict[str, ColumnFn] = {"churro_3b": drop_metadata_header}
 
 
+def register_preprocessor(model: str, fn: ColumnFn) -> None:
+    """What is to be done first with a model's texts, under the last part of its name; a name can't be taken twice."""
+    _register(PREPROCESSORS, model, fn)
+
+
+def register_tier(name: str, fn: ColumnFn) -> None:
+    """One more tier for the tier metrics; a name can't be taken twice."""
+    _register(TIERS, name, fn)
+
+
+def _register(registry: dict[str, ColumnFn], name: str, fn: ColumnFn) -> None:
+    if not name or not callable(fn):
+        raise ValueError("a name and a function of a column are needed")
+    if name in registry:
+        raise ValueError(f"{name} is registered already")
+    registry[name] = fn
+
+
 def preprocess(text: Column, model: Column | None = None) -> Column:
     """The preprocessor registered for the model, then tags stripped."""
     if model is not None:

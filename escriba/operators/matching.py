@@ -56,6 +56,29 @@ def entity_metrics(rows: DataFrame, keys: list[str], threshold: float = THRESHOL
     return rows.select(*keys, "ref_entities", "hyp_entities").mapInPandas(work, schema)
 
 
+#: Functions from picture to text by name, for runs that are configured by names.
+PIPELINES: dict[str, Callable[[bytes], str]] = {}
+
+
+def register_pipeline(name: str, transcribe: Callable[[bytes], str]) -> None:
+    """A function from picture to text under a name; a name can't be taken twice."""
+    if not name or name in PIPELINES:
+        raise ValueError(f"{name!r} is empty or registered already")
+    PIPELINES[name] = transcribe
+
+
+def transcriptions_by(images: DataFrame, names: list[str], content: str = "content") -> DataFrame:
+    """(pipeline, path, text, error) of each named pipeline over the pictures."""
+    unknown = [n for n in names if n not in PIPELINES]
+    if unknown or not names:
+        raise ValueError(f"unknown pipelines: {unknown}" if unknown else "no pipeline is named")
+    out = None
+    for name in names:
+        one = with_transcriptions(images, PIPELINES[name], content).withColumn("pipeline", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("pipeline", "path", "text", "error")
+
+
 def with_transcriptions(images: DataFrame, transcribe: Callable[[bytes], str], content: str = "content") -> DataFrame:
     """Interface of model inference: a function from picture to text, run per batch; an error becomes a value, not a failed task."""
 

@@ -172,3 +172,27 @@ def test_stratified_documents_reaches_every_stratum(spark):
     found = sampling.stratified_documents(df)
     sizes = {r.stratum: r.n for r in sampling.strata(df).groupBy("stratum").agg(F.countDistinct("doc_id").alias("n")).collect()}
     assert {r.stratum: r.n for r in found.groupBy("stratum").agg(F.count("*").alias("n")).collect()} == {s: 1 + n // 6 for s, n in sizes.items()}
+
+
+def test_registries(spark):
+    from escriba.functions import text
+    from escriba.operators import matching
+
+    text.register_preprocessor("test_model", lambda t: F.regexp_replace(t, "^x+", ""))
+    text.register_tier("T9_test", F.reverse)
+    matching.register_pipeline("lengths", lambda picture: str(len(picture)))
+    matching.register_pipeline("broken", lambda picture: picture[99])
+    try:
+        df = spark.createDataFrame([("a/test_model", "xxuno"), ("b", "xxuno")], "model string, t string")
+        assert [r.t for r in df.select(text.preprocess(F.col("t"), F.col("model")).alias("t")).collect()] == ["uno", "xxuno"]
+        gt = spark.createDataFrame([("codea", "critical", "p", "abc")], "subset string, edition string, page_id string, gt_text string")
+        hyp = spark.createDataFrame([("m", "p", "abd")], "model string, page_id string, hyp_text string")
+        assert evaluation.tier_metrics(gt, hyp).first()["T9_test"] == pytest.approx(1 / 3)
+        images = spark.createDataFrame([("p", bytearray(b"abc"))], "path string, content binary")
+        found = {r.pipeline: (r.text, r.error) for r in matching.transcriptions_by(images, ["lengths", "broken"]).collect()}
+        assert found["lengths"] == ("3", None) and found["broken"][0] is None and found["broken"][1]
+        for again in (lambda: text.register_tier("T9_test", F.reverse), lambda: matching.transcriptions_by(images, ["none"])):
+            with pytest.raises(ValueError):
+                again()
+    finally:
+        del text.PREPROCESSORS["test_model"], text.TIERS["T9_test"], matching.PIPELINES["lengths"], matching.PIPELINES["broken"]
