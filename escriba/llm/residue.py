@@ -30,11 +30,15 @@ TREE_DEPTH = 3
 #: Share of equal tokens at which a segment joins a template.
 DEFAULT_SIMILARITY = 0.5
 #: Documents whose sentences the model learns ordinary text from, at most; drawn by a hash of the text.
-TRAIN_DOCUMENTS = 600
+TRAIN_DOCUMENTS = 1000
 #: Parts into which the templates of a leaf are split before they are merged as a whole.
 SALTS = 32
-#: Score below zero that ordinary text, and above zero that messages must keep in training.
-MARGIN = 1.0
+#: Score above zero that messages must keep in training, and below zero that ordinary text must.
+MARGIN, ORDINARY_MARGIN = 1.0, 0.8
+#: Score from which a run is a message, between what the two margins ask for.
+THRESHOLD = 0.25
+#: Times that each message is spliced into ordinary sentences, and how many salads of filler words are made.
+SPLICES, SALADS = 3, 40
 
 # Notations of an unfilled field; a field name is an identifier.
 _NAME = r"\p{L}[\p{L}\p{N}_.\-]*"
@@ -131,15 +135,15 @@ class MessageModel:
     def verdict(self, words: list[str]) -> str | None:
         """The kind of the heaviest run, or None where no run weighs enough."""
         score, kind = max((self.best_run(words, k)[0], k) for k in KINDS)
-        return kind if score > 0 else None
+        return kind if score > THRESHOLD else None
 
-    def fit(self, messages: list[tuple[str, list[str]]], ordinary: list[list[str]], contexts: list[list[str]], rounds: int = 12, seed: int = 8) -> MessageModel:
+    def fit(self, messages: list[tuple[str, list[str]]], ordinary: list[list[str]], contexts: list[list[str]], rounds: int = 20, seed: int = 8) -> MessageModel:
         """Learn from labelled messages, alone and spliced into contexts, and from ordinary text."""
         rng = random.Random(seed)
         examples: list[tuple[str, list[str], list[str]]] = []
         for kind, words in messages:
             examples.append((kind, words, words))
-            for _ in range(2 if contexts else 0):
+            for _ in range(SPLICES if contexts else 0):
                 around = rng.choice(contexts)
                 at = rng.randint(0, len(around))
                 examples.append((kind, words, around[:at] + words + around[at:]))
@@ -168,7 +172,7 @@ class MessageModel:
                     if other == kind:
                         continue
                     score, begin, end = self.best_run(whole, other)
-                    if end > begin and score > -MARGIN / 2 and (not kind or score > self.run_score(words, kind) - MARGIN):
+                    if end > begin and score > -ORDINARY_MARGIN and (not kind or score > self.run_score(words, kind) - MARGIN):
                         wrong += 1
                         move(other, self.features(whole[begin:end]), -2 / (end - begin + 2))
             if not wrong:
@@ -198,8 +202,21 @@ class MessageModel:
 
 
 def labelled() -> tuple[list[tuple[str, list[str]]], list[list[str]]]:
-    """The labelled examples as tokens: messages by kind, and genuine text that speaks of such things."""
-    return [(k, tokens(flat(x))) for k, lines in MESSAGES.items() for x in lines], [tokens(flat(x)) for x in GENUINE]
+    """The labelled examples as tokens: messages by kind, and genuine text that speaks of such things.
+
+    Messages that begin with a code come with and without it, and under each of the words that announce one; the longest filler also in other orders.
+    """
+    examples = [(k, tokens(flat(x))) for k, lines in MESSAGES.items() for x in lines]
+    heads = [[], ["#"], *sorted({(w[0], "#") for k, w in examples if k == "error" and w[1:2] == ["#"] and len(w) > 3})]
+    varied = []
+    for kind, words in examples:
+        if kind == "error" and "#" in words[:2] and len(rest := words[words.index("#") + 1 :]) > 1:
+            varied += [(kind, [*head, *rest]) for head in heads]
+    rng = random.Random(6)
+    longest = max((w for k, w in examples if k == "filler"), key=len)
+    varied += [("filler", rng.sample(longest, rng.randint(6, len(longest)))) for _ in range(SALADS)]
+    different = dict.fromkeys((k, tuple(w)) for k, w in examples + varied)
+    return [(k, list(w)) for k, w in different], [tokens(flat(x)) for x in GENUINE]
 
 
 def trained_on(texts: list[str], messages: list[tuple[str, list[str]]] | None = None) -> MessageModel:
@@ -259,7 +276,7 @@ class Miner:
 
     def __init__(self, model: MessageModel, similarity: float = DEFAULT_SIMILARITY) -> None:
         self.singles, self.pairs = model.gains()
-        self.least = -max(model.bias.values())
+        self.least = THRESHOLD - max(model.bias.values())
         self.tree = PrefixTree(model.weighed(), similarity)
 
     def trimmed(self, words: list[str]) -> list[str]:
