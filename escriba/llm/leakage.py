@@ -281,24 +281,27 @@ class Passages:
         """Whether enough of the words around place a of the text and place b of the passages are alike to align them."""
         reach = np.arange(1 - LEAST_WORDS, LEAST_WORDS + SEED - 1)
         good = np.zeros(len(a), dtype=bool)
+        padded = np.pad(layers, ((0, 0), (0, 1)), constant_values=-1)
+        dense = [v for v in range(len(layers)) if not v or (layers[v] > 0).mean() > 0.2]
+        rare = np.any([padded[v] > 0 for v in range(len(layers)) if v not in dense], axis=0) if len(dense) < len(layers) else np.zeros(padded.shape[1], dtype=bool)
         for start in range(0, len(a), CHUNK):
             part = slice(start, start + CHUNK)
             there = a[part][:, None] + reach
             inside = (there >= 0) & (there < layers.shape[1])
-            own = layers[:, np.clip(there, 0, layers.shape[1] - 1)]
-            own[:, ~inside] = -1
-            dense = [v for v in range(1, len(own)) if (layers[v] > 0).mean() > 0.2]
-            deep = [(np.flatnonzero(own[v] > 0), own[v].ravel()) for v in range(1, len(own)) if v not in dense]
-            deep = [(cells, values[cells]) for cells, values in deep if len(cells)]
+            there = np.where(inside, there, layers.shape[1])  # one place more, where nothing is
+            own = [padded[v][there] for v in dense]
+            cells = np.flatnonzero(rare[there])
+            deep = [padded[v][there.ravel()[cells]] for v in range(len(padded)) if v not in dense]
             held = np.zeros(there.shape, dtype=bool)
             agreeing = []
             for shift in range(-DRIFT, DRIFT + 1):
                 other = self.line[b[part][:, None] + reach + shift]
                 agrees = own[0] == other
-                for v in dense:
-                    agrees |= own[v] == other
-                for cells, values in deep:
-                    agrees.ravel()[cells] |= values == other.ravel()[cells]
+                for values in own[1:]:
+                    agrees |= values == other
+                if len(cells):
+                    beside = other.ravel()[cells]
+                    agrees.ravel()[cells] |= np.logical_or.reduce([values == beside for values in deep])
                 held |= agrees
                 agreeing.append(agrees)
             near = _running(held, np.int8)
@@ -601,9 +604,13 @@ def leaked_passages(documents: DataFrame, passages: DataFrame, key: str = "doc_i
             index = Passages(shared.value)
             for batch in batches:
                 keys = list(batch[key])
-                texts = [words_of(t) for t in batch[text]]
+                same: dict[str, list[int]] = {}  # copies are searched once
+                for i, t in enumerate(batch[text]):
+                    same.setdefault(t, []).append(i)
+                texts, places = [words_of(t) for t in same], list(same.values())
                 found = verify(texts, index.candidates(texts), index)
-                yield pd.DataFrame([(item, keys[i], words, close) for (i, item), (words, close) in found.items()], columns=["item_id", key, "words", "similarity"])
+                rows = [(item, keys[i], words, close) for (k, item), (words, close) in found.items() for i in places[k]]
+                yield pd.DataFrame(rows, columns=["item_id", key, "words", "similarity"])
 
         one = with_text.mapInPandas(search, schema)
         out = one if out is None else out.unionByName(one)
