@@ -61,6 +61,7 @@ DIGIT_AS = {"0": "O", "1": "l", "2": "Z", "5": "S"}
 
 _ODD, _LOOKS = re.compile(NOT_PLAIN.replace(r"\z", r"\Z")), Skeletons()
 _TOKEN = re.compile(r"[^\s.,;:()\[\]{}¡!¿?\"«»|/]+")
+_LAST, _HEAD = re.compile(r"[^\s.,;:()\[\]{}¡!¿?\"«»|/]*\Z"), re.compile(r"\s*([^\s.,;:()\[\]{}¡!¿?\"«»|/]+)")
 _LETTER = re.compile(r"[^\W\d_]")
 _NOT_IN_WORDS = re.compile(r"[\d@'$(]")
 _FOLIO = re.compile(r"^\s*[\[(]\s*f(?:ol|olio|o)?\b\.?[^\])]*[\])]\s*$", re.I)
@@ -243,17 +244,18 @@ class Editor:
 def tail(line: str) -> tuple[str, str, bool]:
     """(last word, break sign, whether a blank stands before the sign) of a line."""
     line = line.rstrip()
-    m = re.search(rf"([{re.escape(MARKS)}]+)$", line)
-    sign = m.group(1)[-1] if m else ""
-    body = line[: m.start()] if m else line
-    spaced = bool(sign) and body != body.rstrip()
-    found = re.search(r"([^\s.,;:()\[\]{}¡!¿?\"«»|/]+)$", body.rstrip())
-    return (found.group(1) if found else ""), sign, spaced
+    body = line.rstrip(MARKS)
+    sign = line[-1:] if len(body) < len(line) else ""
+    bare = body.rstrip()
+    last = bare[bare.rfind(" ") + 1 :]
+    if not last.isalnum():
+        last = _LAST.search(bare).group()
+    return last, sign, bool(sign) and body != bare
 
 
 def head(line: str) -> str:
     """First word of a line; empty if something else comes first."""
-    found = re.match(r"\s*([^\s.,;:()\[\]{}¡!¿?\"«»|/]+)", line)
+    found = _HEAD.match(line)
     return found.group(1) if found else ""
 
 
