@@ -396,6 +396,7 @@ class Repair:
                 out[i] = "mark"
         open_lines = [i for i in open_lines if not out[i]]
         texty = [not role and n >= 2 for role, n in zip(out, shown, strict=True)]
+        judged: dict[int, tuple[int, int, bool]] = {}
         for again in (False, True):  # what is furniture at first is an edge of the page the second time
             above, below = self._distances(out, texty), self._distances(out[::-1], texty[::-1])[::-1]
             for i in open_lines:
@@ -405,7 +406,10 @@ class Repair:
                     out[i] = "text"
                     continue
                 alone = (i == 0 or out[i - 1] in ("blank", "folio", "front")) and (i + 1 == len(lines) or not lines[i + 1].strip() or bool(_FOLIO.match(lines[i + 1])))
-                out[i] = "furniture" if self.lines.is_furniture(lines[i], above[i], below[i], alone) else "text"
+                place = (above[i], below[i], alone)
+                if judged.get(i) != place:
+                    judged[i] = place
+                    out[i] = "furniture" if self.lines.is_furniture(lines[i], *place) else "text"
             if not again:
                 if "furniture" not in out:
                     break
@@ -423,8 +427,8 @@ class Repair:
             count += text
         return out
 
-    def read(self, text: str) -> tuple[list[tuple[int, str, str, str]], str]:
-        """(line number, kind, as read, as meant) of every repair, and the text in paragraphs."""
+    def read(self, text: str, whole: bool = True) -> tuple[list[tuple[int, str, str, str]], str]:
+        """(line number, kind, as read, as meant) of every repair, and the text in paragraphs, if the whole is wanted."""
         odd = bool(_ODD.search(text))
         raw = text.split("\n")
         lines = [_LOOKS.of(x) if odd and _ODD.search(x) else x for x in raw]
@@ -449,7 +453,7 @@ class Repair:
                 found.append((i + 1, "furniture", lines[i].strip(), ""))
         if len(found) < LEAST_MISREAD and not any(kind != "misread" or self._sign_of_scanning(read) for _, kind, read, _ in found):
             found, fixed = [], {i: lines[i] for i in running}
-        return sorted(found), self._paragraphs(roles, lines, fixed, joined)
+        return sorted(found), self._paragraphs(roles, lines, fixed, joined) if whole else ""
 
     def _sign_of_scanning(self, word: str) -> bool:
         """Whether a misread word has more than letters read for letters: other signs, or one letter read as two or two as one."""
@@ -740,7 +744,7 @@ def _read_all(texts: DataFrame, key: str, text: str, repair: Repair, whole: bool
         for batch in batches:
             out = []
             for k, t in zip(batch[key], batch[text], strict=True):
-                found, clean = model.read(t)
+                found, clean = model.read(t, whole)
                 if whole:
                     out.append((k, clean, len(found)))
                 else:
